@@ -41,6 +41,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm.substrings import remove_repeats
+
+    out = remove_repeats(read(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultline.llm.mixing import mix_taken
 
@@ -48,5 +55,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash, op6_token_counts, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash, op6_token_counts, op8_suffix_array_dedup, op9_source_mixing)}
 ORACLES: dict[str, str] = {}
