@@ -55,5 +55,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash, op6_token_counts, op8_suffix_array_dedup, op9_source_mixing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm.passages import remove_passages
+
+    out = remove_passages(read(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash, op6_token_counts, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
