@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from faultline.llm.tables import read
 
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm import toxicity
+    from faultline.llm.labelled import held_out
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    scored = model.score(docs, ("doc_id",))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +49,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm import quality
+    from faultline.llm.labelled import held_out
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultline.llm.substrings import remove_repeats
 
@@ -62,5 +79,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash, op6_token_counts, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
