@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from faultline.llm.tables import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm.html import extract
+
+    pages = extract(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_boilerplate")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultline.llm import toxicity
     from faultline.llm.labelled import held_out
@@ -18,6 +25,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm.embeddings import embedding_classes
+
+    classes = embedding_classes(read(spark, sf_dir, "embeddings"), threshold=0.95)
+    return classes.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultline.llm.decontaminate import phrase_hits
 
@@ -79,5 +93,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
