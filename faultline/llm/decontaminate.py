@@ -182,3 +182,40 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_w
         return got.withColumn("items", F.array_sort("items"))
     keyed = doc_key(docs.select("doc_id", "text"))
     return keyed.drop("text").join(merge_findings([scan_block(keyed.drop("doc_id"), b, window, shard_bytes) for b in blocks], ["key_id", "key_text"]), ["key_id", "key_text"]).drop("key_id", "key_text")
+
+
+def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
+    """docs without the text from the first to the last word of each span that benchmark phrases cover.
+
+    Documents of which no word is left go; null texts and texts without hits stay as they are. With a benchmark of one
+    block this is a narrow job.
+    """
+    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    blocks = blocks_of(benchmark, block_words)
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    if len(blocks) == 1:
+        found = scan_block(texts, blocks[0], window, shard_bytes, keep_text=True)
+    else:
+        keyed = doc_key(texts)
+        found = keyed.join(find_phrases(docs, benchmark, window, block_words, shard_bytes), ["key_id", "key_text"])
+    schema = ", ".join(f"`{c}` {'string' if c == 'text' else kinds[c]}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ts.slices(batches, "text", shard_bytes):
+            data, off = ts.buffer(part.column("text"))
+            starts, ends, of = ts.words(ts.LOWER[data], off, ts.ALNUM)
+            texts, keep = part.column("text").to_pylist(), []
+            for i, spans in enumerate(part.column("spans").to_pylist()):
+                gone = sum(s["end"] - s["start"] for s in spans)
+                keep.append(not gone or gone < of[i + 1] - of[i])
+                if gone:
+                    raw, base = texts[i].encode(), off[i]
+                    edges = [0]
+                    for s in spans:
+                        edges += [int(starts[of[i] + s["start"]] - base), int(ends[of[i] + s["end"] - 1] - base)]
+                    edges.append(len(raw))
+                    texts[i] = b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)).decode()
+            own = {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([own.get(c, part.column(c)) for c in names], names).filter(pa.array(keep))
+
+    return found.select(*names, "spans").mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.tables import cut
+from faultline.llm.tables import cut_table
 from faultline.llm.textscan import slices
 
 HASH_SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", t
 def ball(fp, radius: int):
     """All 64-bit values within `radius` (0 to 2) bits of fp."""
     bits = F.sequence(F.lit(0), F.lit(63))
-    one = F.transform(bits, lambda i: fp.bitwiseXOR(F.expr("1L").cast("long") * 0 + F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    one = F.transform(bits, lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     if radius == 0:
         return F.array(fp)
     if radius == 1:
@@ -90,7 +90,7 @@ def simhash_classes(docs: DataFrame, shingle: int = 5, bits: int = 2, id_column:
     Copies are one fingerprint before anything is compared. Rows whose id is null keep it; they count for the links,
     and component_id is null where no id is known in a component. An empty table gives no rows.
     """
-    fps = cut(fingerprints(docs, shingle, id_column, text_column))
+    fps = cut_table(fingerprints(docs, shingle, id_column, text_column))
     least = fps.groupBy("fp").agg(F.min(id_column).alias("least"))
     linked = components(near_links(least.select("fp"), bits)).withColumnRenamed("node", "fp")
     grouped = least.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -99,11 +99,77 @@ def simhash_classes(docs: DataFrame, shingle: int = 5, bits: int = 2, id_column:
     return fps.join(classes, "fp").select(id_column, "fp", "component_id")
 
 
-def simhash_keep_one(docs: DataFrame, shingle: int = 5, bits: int = 2) -> DataFrame:
-    """Keeps the rows of each near-duplicate group's smallest doc_id, and of these one where a doc_id repeats.
+def long_fingerprint_of(text: bytes, shingle: int, lanes: int) -> list[int]:
+    """A SimHash of 64 * lanes bits, as signed 64-bit numbers; without words all 0."""
+    import xxhash
+
+    from faultline.llm.textscan import BASE, mix
+
+    h, words = xxhash.xxh64_intdigest, text.lower().split()
+    if not words:
+        return [0] * lanes
+    grams = [words] if len(words) <= shingle else zip(*(words[i:] for i in range(shingle)), strict=False)
+    codes = np.array([h(b" ".join(g), HASH_SEED) for g in grams], np.uint64)
+    offsets, out = np.arange(lanes, dtype=np.uint64) * BASE, []
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(codes), 1 << 16):
+            block = mix(codes[k : k + (1 << 16)] + offsets[lane]).astype(">u8")
+            ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(codes)).view(">i8")[0]))
+    return out
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 6) -> DataFrame:
+    """(doc_id, component_id) for each row: near-duplicates by Jaccard similarity of word shingles.
+
+    A similarity of 0.8 leaves some 15 % of a SimHash's bits different, far beyond the balls that can be emitted for one
+    64-bit fingerprint. So texts get 64 * lanes bits; each 32-bit block of these is a fingerprint of its own, whose ball
+    of radius 1 is emitted, and two texts meet if they differ by 2 bits at most in any block. Pairs that meet (each with
+    the one before it and the first of its group) are verified on all bits: no more may differ than the similarity
+    leads to expect. With 12 blocks a pair of similarity 0.8 meets with probability 0.78, of 0.9 with 0.99.
+    """
+    from math import acos, pi
+
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    Rows without a doc_id stay.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([long_fingerprint_of(t, shingle, lanes) for t in texts], pa.list_(pa.int64()))], ["doc_id", "fp"])
+
+    fps = cut_table(docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp array<long>").withColumn("node", F.xxhash64("fp")))
+    nodes = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
+    half = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))
+    blocks = nodes.select("node", F.posexplode(F.flatten(half)).alias("block", "part"))
+    near = F.concat(F.array("part"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("part").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    met = blocks.select("node", F.explode(F.transform(near, lambda v: F.call_function("shiftleft", F.col("block").cast("long"), F.lit(32)).bitwiseOR(v))).alias("v"))
+    order = Window.partitionBy("v").orderBy("node")
+    pairs = met.select("node", F.array(F.lag("node").over(order), F.first("node").over(order)).alias("with"))
+    pairs = pairs.where(F.col("with")[0].isNotNull()).select(F.explode(F.array_distinct("with")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    one, other = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    links = pairs.join(one, "a").join(other, "b").where(differ <= int(share * 64 * lanes)).select("a", "b")
+    roots = nodes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(roots.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its class (doc_id, component_id).
+
+    Of rows that share a doc_id one stays, the one whose text hashes least; rows without a doc_id all stay.
     """
-    classes = simhash_classes(docs, shingle, bits).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.dropDuplicates(["doc_id"]).join(classes, "doc_id", "left_semi") if "doc_id" in docs.columns else docs
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    one = docs.groupBy("doc_id").agg(F.min(text_hash).alias("least"), F.count("*").alias("rows")).where("doc_id is not null")
+    kept = one.join(first, "doc_id", "left_semi")
+    single = docs.join(kept, "doc_id").where(text_hash == F.col("least"))
+    several = single.where("rows > 1").dropDuplicates(["doc_id"])
+    return single.where("rows = 1").unionByName(several).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def near_duplicates_dropped(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates."""
+    return keep_one(docs, cut_table(similar_classes(docs, **options)))

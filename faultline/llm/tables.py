@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; only where it names none (tests on one machine), a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's shared checkpoint folder and reads it again, so that a lost executor loses nothing.
 
@@ -20,7 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -36,10 +42,7 @@ def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Like cut, as a Parquet table: smaller than a checkpoint, for many narrow rows."""
-    import uuid
-
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-")
-    path = f"{folder}/faultline-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
