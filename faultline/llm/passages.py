@@ -29,12 +29,8 @@ def segments(open_docs: DataFrame, window: int) -> DataFrame:
         for part in ts.slices(batches, "text"):
             h, off = repeats.symbols(part.column("text"), "words")
             roll = ts.Rolling(h)
-            lists = part.column("runs")
-            of = np.asarray(lists.offsets, np.int64)
-            flat = lists.values.slice(of[0], of[-1] - of[0])
-            lo, n, anchor, heavy = (np.asarray(flat.field(k).to_numpy(zero_copy_only=False)) for k in range(4))
-            lo, n = lo.astype(np.int64), n.astype(np.int64)
-            doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+            doc, (lo, n, anchor, heavy) = repeats.runs_of(part, 4)
+            lo, n, heavy = lo.astype(np.int64), n.astype(np.int64), heavy.astype(bool)
             key_id, key_text = (np.asarray(part.column(k)) for k in KEYS)
             light = np.flatnonzero(~heavy)
             yield table(anchor[light], doc[light], lo[light], n[light], h, off, key_id, key_text)

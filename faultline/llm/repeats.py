@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from faultline.llm import textscan as ts
 
-ROWS = "known boolean, heavy boolean, h long, c long, key_id long, key_text long, lo int, n int"
-RUNS = "known boolean, heavy boolean, h long, key_id long, key_text long, lo int, n int"
+ROWS = "known boolean, heavy boolean, h long, c long, key_id long, key_text long, lo int, n int, at int"
+RUNS = "known boolean, heavy boolean, h long, key_id long, key_text long, lo int, n int, at int"
 KEYS = ("key_id", "key_text")
 
 
@@ -53,14 +53,34 @@ def first_of_group(columns: list[np.ndarray]) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(m), 0))
 
 
-def record(known, heavy, h, c, key_id, key_text, lo, n) -> pa.RecordBatch:
+def record(known, heavy, h, c, key_id, key_text, lo, n, at) -> pa.RecordBatch:
     signed = lambda x: pa.array(np.asarray(x).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, np.int64), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(known, pa.bool_()), pa.array(heavy, pa.bool_()), signed(h), signed(c), signed(key_id), signed(key_text), pa.array(np.asarray(lo, np.int32)), pa.array(np.asarray(n, np.int32))],
-        ["known", "heavy", "h", "c", "key_id", "key_text", "lo", "n"],
+        [pa.array(known, pa.bool_()), pa.array(heavy, pa.bool_()), *map(signed, (h, c, key_id, key_text)), *(pa.array(np.asarray(x, np.int32)) for x in (lo, n, at))],
+        ["known", "heavy", "h", "c", *KEYS, "lo", "n", "at"],
     )
 
 
+def settled_here(h, c, key_id, key_text, lo, n, at, other_document: bool, heavy: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ROWS from runs of one slice. Runs that repeat an earlier one of the slice are known, and dealt evenly."""
+    if not len(h):
+        return
+    order = np.lexsort((lo, key_text, key_id, c, h))
+    h, c, key_id, key_text, lo, n, at = (x[order] for x in (h, c, key_id, key_text, lo, n, at))
+    first = first_of_group([h, c])
+    done = key_id > key_id[first] if other_document else first != np.arange(len(first))
+    back = np.flatnonzero(done)
+    back = back[np.lexsort((lo[back], key_text[back], key_id[back]))]
+    k_id, k_text, k_lo, k_n = joined_runs(key_id[back], key_text[back], lo[back], n[back])
+    if len(k_id):
+        spread = ts.mix(k_id.view(np.uint64) * ts.BASE + k_text.view(np.uint64) + k_lo.astype(np.uint64))
+        none = np.zeros(len(k_id), np.int64)
+        yield record(np.ones(len(k_id), bool), none.astype(bool), spread, none, k_id, k_text, k_lo, k_n, none)
+    keep = ~done
+    often = np.isin(h[keep].view(np.int64), heavy) if heavy is not None and len(heavy) else np.zeros(keep.sum(), bool)
+    yield record(np.zeros(keep.sum(), bool), often, h[keep], c[keep], key_id[keep], key_text[keep], lo[keep], n[keep], at[keep])
+
+
 def scan(docs: DataFrame, unit: str, window: int, gram: int, other_document: bool, heavy: np.ndarray | None = None) -> DataFrame:
     """Anchored runs of all documents (key_id, key_text, text). What repeats inside a slice is settled there."""
 
@@ -69,26 +89,52 @@ def scan(docs: DataFrame, unit: str, window: int, gram: int, other_document: boo
             values, off = symbols(part.column("text"), unit)
             a = ts.anchors(values, off, window, gram)
             ids, keys = (np.asarray(part.column(k)) for k in KEYS)
-            key_id, key_text = ids[a["doc"]], keys[a["doc"]]
-            order = np.lexsort((a["lo"], key_text, key_id, a["c"], a["h"]))
-            h, c, key_id, key_text, lo, n = (x[order] for x in (a["h"], a["c"], key_id, key_text, a["lo"], a["n"]))
-            if not len(h):
-                continue
-            first = first_of_group([h, c])
-            done = key_id > key_id[first] if other_document else first != np.arange(len(first))
-            back = np.flatnonzero(done)
-            back = back[np.lexsort((lo[back], key_text[back], key_id[back]))]
-            k_id, k_text, k_lo, k_n = joined_runs(key_id[back], key_text[back], lo[back], n[back])
-            spread = ts.mix(k_id.view(np.uint64) * ts.BASE + k_text.view(np.uint64) + k_lo.astype(np.uint64))
-            if len(k_id):
-                yield record(np.ones(len(k_id), bool), np.zeros(len(k_id), bool), spread, np.zeros(len(k_id), np.int64), k_id, k_text, k_lo, k_n)
-            keep = ~done
-            often = np.isin(h[keep].view(np.int64), heavy) if heavy is not None and len(heavy) else np.zeros(keep.sum(), bool)
-            yield record(np.zeros(keep.sum(), bool), often, h[keep], c[keep], key_id[keep], key_text[keep], lo[keep], n[keep])
+            yield from settled_here(a["h"], a["c"], ids[a["doc"]], keys[a["doc"]], a["lo"], a["n"], a["at"], other_document, heavy)
 
     return docs.select(*KEYS, "text").mapInArrow(run, ROWS)
 
 
+def runs_of(part: pa.RecordBatch, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The document of each run in the column `runs`, and the runs' fields."""
+    lists = part.column("runs")
+    of = np.asarray(lists.offsets, np.int64)
+    flat = lists.values.slice(of[0], of[-1] - of[0])
+    return np.repeat(np.arange(len(of) - 1), np.diff(of)), [flat.field(k).to_numpy(zero_copy_only=False) for k in range(fields)]
+
+
+def longer_grams(open_docs: DataFrame, unit: str, window: int, gram: int, other_document: bool) -> DataFrame:
+    """The open runs again, by grams half-way from `gram` to the window.
+
+    Windows that begin well before their anchor share the gram that ends with it and begins earlier, the others the one
+    that begins with it and ends later. Each run is parted by that; most grams at the edges of repeats are unique now.
+    """
+    more = (window - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ts.slices(batches, "text"):
+            values, off = symbols(part.column("text"), unit)
+            roll = ts.Rolling(values)
+            doc, (lo, n, at) = runs_of(part, 3)
+            lo, n, at = (x.astype(np.int64) for x in (lo, n, at))
+            base = off[doc]
+            pos = lo + at
+            out = []
+            for early in (True, False):
+                a = lo if early else np.maximum(lo, pos - more + 1)
+                b = np.minimum(lo + n, pos - more + 1) if early else lo + n
+                some = np.flatnonzero(b > a)
+                a, b, p, d, s = a[some], b[some], pos[some], doc[some], base[some]
+                g0, g1 = (p - more, p + gram) if early else (p, p + gram + more)
+                h = roll.of(g0 + s, g1 + s) + np.uint64(early)
+                c = ts.mix(roll.of(a + s, b - 1 + window + s) + (p - a).astype(np.uint64) * ts.BASE)
+                out.append((h, c, d, a, b - a, p - a))
+            h, c, d, a, m, at = (np.concatenate([x[k] for x in out]) for k in range(6))
+            ids, keys = (np.asarray(part.column(k)) for k in KEYS)
+            yield from settled_here(h, c, ids[d], keys[d], a, m, at, other_document)
+
+    return open_docs.mapInArrow(run, ROWS)
+
+
 def heavy_anchors(docs: DataFrame, unit: str, window: int, gram: int, other_document: bool, one_in: int = 64, least: int = 40, most: int = 10_000) -> np.ndarray:
     """Anchors that very many documents hold with different surroundings, from one document in `one_in`.
 
@@ -150,7 +196,7 @@ def settle(rows: DataFrame, other_document: bool) -> DataFrame:
 
     def pick(batch: pa.RecordBatch, rows: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
         got = batch.filter(pa.array(rows))
-        names = ["heavy", "h", *KEYS, "lo", "n"]
+        names = ["heavy", "h", *KEYS, "lo", "n", "at"]
         return pa.RecordBatch.from_arrays([pa.array(known[rows]), *(got.column(k) for k in names)], ["known", *names])
 
     return ordered.mapInArrow(run, RUNS)

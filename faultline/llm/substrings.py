@@ -28,11 +28,8 @@ def rank_pairs(open_docs: DataFrame, length: int) -> DataFrame:
         for part in ts.slices(batches, "text"):
             data, off = ts.buffer(part.column("text"))
             roll = ts.Rolling(ts.BYTE_VALUES[data])
-            lists = part.column("runs")
-            of = np.asarray(lists.offsets, np.int64)
-            flat = lists.values.slice(of[0], of[-1] - of[0]) if hasattr(lists.values, "slice") else lists.values
-            lo, n = (np.asarray(flat.field(k), np.int64) for k in (0, 1))
-            doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+            doc, (lo, n) = repeats.runs_of(part, 2)
+            lo, n = lo.astype(np.int64), n.astype(np.int64)
             at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             doc = np.repeat(doc, n)
             p = at + off[doc]
@@ -41,9 +38,8 @@ def rank_pairs(open_docs: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((at, key_text, key_id, b, a))
             a, b, at, key_id, key_text = (x[order] for x in (a, b, at, key_id, key_text))
             first = repeats.first_of_group([a, b])
-            twice = (key_id == key_id[first]) & (key_text == key_text[first]) & (at == at[first])  # the same place: a repeated row
-            done = ~twice
-            back = np.flatnonzero(done)
+            again = (key_id != key_id[first]) | (key_text != key_text[first]) | (at != at[first])  # else a repeated row
+            back = np.flatnonzero(again)
             back = back[np.lexsort((at[back], key_text[back], key_id[back]))]
             k = repeats.joined_runs(key_id[back], key_text[back], at[back], np.ones(len(back), np.int64))
             spread = ts.mix(k[0].view(np.uint64) * ts.BASE + k[1].view(np.uint64) + k[2].astype(np.uint64))
@@ -63,19 +59,23 @@ def rank_pairs(open_docs: DataFrame, length: int) -> DataFrame:
 def repeated_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """Runs of windows (key_id, key_text, lo, n) whose bytes also start earlier.
 
-    Sparse prefix doubling. Round one ranks grams of `gram` bytes at the places that anchor windows, sorts pairs of that
-    rank and the rank of what the anchored windows cover, and drops what is unique. Round two sorts, for each window
-    still open, the pair of ranks of its halves (the second at the doubled offset): past that the threshold is reached,
-    equal pairs are equal windows, and all but the first of them start earlier.
+    Sparse prefix doubling, from 32 over 66 to 100 bytes by default. Round one ranks grams of `gram` bytes at the places
+    that anchor windows, sorts pairs of that rank and the rank of what the anchored windows cover, and drops what is
+    unique. Round two does so with the grams that reach half-way further, to the side where the windows lie. Round three
+    sorts, for each window still open, the ranks of its two halves: the threshold is reached, equal pairs are equal
+    windows, and all but the first of them start earlier. Ranks are 64-bit names; a pair is told apart by 128 bits.
+
+    All rounds after the first read the texts from one shuffle.
     """
     heavy = repeats.heavy_anchors(keyed, "bytes", length, gram, False)
-    settled = cut_table(repeats.settle(repeats.scan(keyed, "bytes", length, gram, False, heavy), False))
-    known = settled.where("known").select(*KEYS, "lo", "n")
-    pairs = rank_pairs(repeats.with_runs(keyed, settled.where("not known"), "inner"), length)
+    first = cut_table(repeats.settle(repeats.scan(keyed, "bytes", length, gram, False, heavy), False))
+    open_docs = repeats.with_runs(keyed, first.where("not known"), "inner", ("lo", "n", "at"))
+    second = repeats.settle(repeats.longer_grams(open_docs, "bytes", length, gram, False), False)
+    pairs = rank_pairs(repeats.with_runs(keyed, second.where("not known"), "inner"), length)
     order = Window.partitionBy("known", "a", "b").orderBy(*KEYS, "lo")
-    place = F.row_number().over(order)
-    again = pairs.withColumn("place", place).where(F.col("known") | (F.col("place") > 1)).select(*KEYS, "lo", "n")
-    return known.unionByName(again)
+    again = pairs.withColumn("place", F.row_number().over(order)).where(F.col("known") | (F.col("place") > 1))
+    known = first.where("known").unionByName(second.where("known"))
+    return known.select(*KEYS, "lo", "n").unionByName(again.select(*KEYS, "lo", "n"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -31,18 +31,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Adds key_id and key_text: rows that repeat both id and text share a key; a null id sorts last."""
-    return df.withColumns(
-        {
-            "key_id": F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)),
-            "key_text": F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))),
-        }
-    )
+    """Adds key_id and key_text: rows that repeat both id and text share a key; a null id sorts last.
+
+    key_text is a hash of the text, and 0 for all rows if no id stands twice, which is counted first.
+    """
+    repeated = not df.groupBy(id_column).count().where("count > 1").isEmpty()
+    text = F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))) if repeated else F.lit(0).cast("long")
+    return df.withColumns({"key_id": F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)), "key_text": text})
+
+
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: smaller than a checkpoint, for many narrow rows."""
+    """Like cut, as a Parquet table: smaller than a checkpoint, for many narrow rows.
+
+    Once it is written, the shuffle files behind it are of no more use and are removed.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/faultline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.parquet(path)

@@ -103,14 +103,14 @@ def anchors(values: np.ndarray, off: np.ndarray, window: int, gram: int) -> dict
 
     Equal windows have equal anchors at equal offsets. A row for each run of windows with one anchor:
     doc (index), lo (first window's start in the sequence), n (windows), h (the gram's hash), c (hash of all that the
-    run's windows cover and of where the anchor is in it).
+    run's windows cover and of where the anchor is in it), at (the anchor's place after lo).
     """
     roll = Rolling(values)
     lens = np.diff(off)
     m = len(values) - gram + 1
     n_win = np.maximum(lens - window + 1, 0)
     if m <= 0 or not n_win.sum():
-        return {k: np.zeros(0, np.int64) for k in ("doc", "lo", "n")} | {k: np.zeros(0, U) for k in ("h", "c")}
+        return {k: np.zeros(0, np.int64) for k in ("doc", "lo", "n", "at")} | {k: np.zeros(0, U) for k in ("h", "c")}
     at = np.arange(m)
     h = roll.of(at, at + gram)
     bits = U(max(1, int(m).bit_length()))
@@ -127,7 +127,7 @@ def anchors(values: np.ndarray, off: np.ndarray, window: int, gram: int) -> dict
     n = np.diff(np.append(new, len(anchor)))
     lo, pos, doc = start[new], anchor[new], doc[new]
     c = mix(roll.of(lo, lo + n - 1 + window) + (pos - lo).astype(U) * U(0x9E3779B97F4A7C15))
-    return {"doc": doc, "lo": lo - off[doc], "n": n, "h": h[pos], "c": c}
+    return {"doc": doc, "lo": lo - off[doc], "n": n, "h": h[pos], "c": c, "at": pos - lo}
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
