@@ -1,6 +1,636 @@
-"""The registered queries and their SQL."""
+"""The registered queries: each runs an operator over whole tables. ORACLES has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from faultline import schemas
+from faultline.config import RunConfig
+from faultline.functions import payload
+from faultline.functions import text as t
+from faultline.operators import classify, dedup, filters, investigate, report, similarity
+from faultline.operators import tickets as ticket_ops
+from faultline.plans import bases as b
+from faultline.plans import jobs
+from faultline.plans import sqltext as q
+from faultline.sources import io
+from faultline.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+CONFIG = RunConfig()
+AS_OF = "2024-02-15 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+NORM = q.norm_message("message")
+KEYED = f"keyed AS (SELECT *, {NORM} AS norm FROM logs)"
+
+
+# --- the first question: which distinct errors hit us most?
+
+
+@query(f"""WITH {b.LOGS}, {KEYED}, g AS (SELECT service, {q.short("norm")} AS loghash, count(*) AS n, min(seq) AS first_seq FROM keyed WHERE norm <> '' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY n DESC, loghash) AS rank FROM g) SELECT * FROM r WHERE rank <= 10""")
+def top_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.logs(spark, d).select("seq", "service", t.normalize_log_message("message").alias("norm")).where("norm <> ''")
+    counts = rows.groupBy("service", t.loghash_of("norm").alias("loghash")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("service").orderBy(F.desc("n"), "loghash"))).where("rank <= 10")
+
+
+# --- sources and sinks
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 7 <> 0 THEN source END, 'unknown.logger') AS logger, coalesce(CASE WHEN doc_id % 5 <> 0 THEN 't-' || doc_id END, 'unknown.thread') AS thread,
+CASE WHEN doc_id % 11 = 0 THEN '<no message>' ELSE text END AS message, CASE WHEN doc_id % 4 = 0 THEN 'no detailed log' WHEN doc_id % 4 = 1 THEN CAST(doc_id AS VARCHAR)
+WHEN length(text) > 300 THEN left(text, 300) || '... [truncated]' ELSE text END AS detail FROM documents""")
+def flatten_log_events(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    said = F.when(n % 4 == 1, n.cast("string")).when(n % 4 != 0, F.to_json(F.struct(F.col("text").alias("x"))))
+    said = F.when(n % 4 == 1, said).when(n % 4 != 0, F.regexp_extract(said, r'(?s)^\{"x":(.*)\}$', 1)).otherwise("null")
+    attributes = F.struct(
+        F.when(n % 11 != 0, F.col("text")).alias("message"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.col("lang").alias("service"), F.lit("error").alias("status"), n.cast("string").alias("host"),
+        F.struct(
+            F.struct(F.when(n % 7 != 0, F.col("source")).alias("name"), F.when(n % 5 != 0, F.concat(F.lit("t-"), n)).alias("thread_name")).alias("logger"),
+            F.struct(F.parse_json(said).alias("Log")).alias("properties"),
+            *[F.lit(None).cast("string").alias(c) for c in ("requestId", "request_id", "userId", "user_id", "errorType", "error_type")],
+        ).alias("attributes"),
+    )
+    events = b.table(spark, d, "documents").select(F.array(F.struct(attributes.alias("attributes"))).alias("data"))
+    return io.flatten_log_events(events).select(F.col("host").cast("long").alias("doc_id"), "logger", "thread", "message", "detail")
+
+
+@query(f"WITH {b.LOGS}, {KEYED} SELECT DISTINCT 'team-' || (seq % 4) AS team_id, {q.short(q.key(chr(39) + 'x' + chr(39), 'norm', 'message'))} AS fingerprint FROM keyed")
+def merge_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.logs(spark, d).select("seq", F.concat(F.lit("team-"), F.col("seq") % 4).alias("team_id"), t.fingerprint(F.lit("x"), "message").alias("fingerprint"))
+    return io.merge_fingerprints(rows.where("seq % 2 = 0"), rows)
+
+
+@query(f"WITH {b.AUDIT} SELECT dim, value, n FROM (SELECT 'severity' AS dim, lower(severity) AS value, count(*) AS n FROM audit GROUP BY 2 UNION ALL SELECT 'error_type', error_type, count(*) FROM audit GROUP BY 2)")
+def export_counters(spark: SparkSession, d: str) -> DataFrame:
+    maps = io.counters(report.audit_counts(b.audit(spark, d), "severity", "error_type"))
+    return maps.select("dim", F.explode("counts").alias("value", "n"))
+
+
+@query(f"WITH {b.LOGS} SELECT service, count(*) AS n FROM logs GROUP BY 1")
+def union_team_logs(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.logs(spark, d)
+    return io.union_rows(*[rows.where(F.col("service") == s) for s in ("en", "fr", "de", "es")]).groupBy("service").agg(F.count("*").alias("n"))
+
+
+# --- predicates
+
+
+@query(f"WITH {b.LOGS} SELECT seq, logger, ts FROM logs WHERE service = 'en' AND env = 'prod' AND status IN ('error', 'warn') AND (contains(lower(message), 'tion') OR contains(lower(message), 'ing')) AND ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-03 00:00:00'")
+def filter_logs(spark: SparkSession, d: str) -> DataFrame:
+    return filters.filter_logs(b.logs(spark, d), "en", "prod", "error, warn", "tion, ing", "OR", 48, "2024-01-03 00:00:00").select("seq", "logger", "ts")
+
+
+@query(f"WITH {b.LOGS}, r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, seq) AS n FROM logs) SELECT service, seq FROM r WHERE n <= 60")
+def cap_pages(spark: SparkSession, d: str) -> DataFrame:
+    return filters.cap_pages(b.logs(spark, d), 20, 3).select("service", "seq")
+
+
+@query(f"WITH {b.LOGS}, g AS (SELECT service, count(*) FILTER (contains(lower(message), 'eau') AND status = 'error') AS hits, count(*) AS base FROM logs GROUP BY 1) SELECT service, hits, CASE WHEN hits = 0 THEN base ELSE 0 END AS relaxed_hits FROM g")
+def probe_without_extra(spark: SparkSession, d: str) -> DataFrame:
+    return filters.probe_without_extra(b.logs(spark, d), "prod", "error", "eau")
+
+
+@query("WITH " + b.MESSAGES_SQL + ", m AS (SELECT seq, lower(message) AS x FROM messages) " + " UNION ALL ".join(f"SELECT {q.quoted(k)} AS template, count(*) AS n FROM m WHERE {q.any_of('x', [w.lower() for w in words])}" for k, words in filters.TEMPLATES.items()))
+def template_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.messages(spark, d)
+    return io.union_rows(*[filters.template_filter(rows, k).agg(F.lit(k).alias("template"), F.count("*").alias("n")) for k in filters.TEMPLATES])
+
+
+def questions(spark: SparkSession, d: str, length: int = 24) -> DataFrame:
+    return b.tickets(spark, d).select(
+        F.col("key").alias("question_id"), F.left("description", F.lit(length)).alias("query"), F.lit(None).cast("string").alias("service"), F.lit("prod").alias("env"),
+        F.lit(True).alias("all_status"), "project", F.lit(AS_OF).cast("timestamp").alias("as_of"),
+    )
+
+
+@query(f"""WITH {b.LOGS}, {b.TICKETS}, e AS (SELECT key AS question_id, list_filter(list_transform(regexp_split_to_array(left(description, 12), '[^\\p{{L}}\\p{{N}}_]+'), x -> x), x -> regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w FROM tickets),
+k AS (SELECT question_id, list_filter(list_transform(w, x -> lower(x)), x -> x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})) AS words FROM e)
+SELECT question_id, count(*) AS n, min(seq) AS first_seq FROM k JOIN logs ON len(list_filter(words, x -> NOT contains(lower(message), x))) = 0 GROUP BY 1""")
+def rule_query_filter(spark: SparkSession, d: str) -> DataFrame:
+    found = filters.rule_query_filter(b.logs(spark, d), questions(spark, d, 12))
+    return found.groupBy("question_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+@query(f"WITH {b.AUDIT} SELECT event_id, severity FROM audit WHERE team_service = 'svc-3' AND lower(severity) = 'low' AND error_type = 'signup' AND lower(decision) = 'simulated'")
+def filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filters.filter_audit(b.audit(spark, d), "svc-3", "low", "signup", "SIMULATED").select("event_id", "severity")
+
+
+@query(f"WITH {b.AUDIT} SELECT event_id FROM audit WHERE event_id % 10 = 0 OR ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 100 HOUR")
+def filter_since(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.audit(spark, d).withColumn("ts", F.when(F.col("event_id") % 10 != 0, F.col("ts")))
+    return filters.filter_since(rows, 100, "2024-01-20 00:00:00").select("event_id")
+
+
+@query(f"WITH {b.AUDIT} SELECT event_id, CASE event_id % 3 WHEN 0 THEN ts WHEN 1 THEN date_trunc('second', ts) END AS parsed FROM audit")
+def parse_ts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id") % 3
+    given = F.when(n == 0, F.col("timestamp")).when(n == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "dd/MM/yyyy"))
+    return b.audit(spark, d).select("event_id", t.parse_ts(given).alias("parsed"))
+
+
+TOKENS = f"tokens AS (SELECT DISTINCT project, key, unnest(string_split({q.norm_text('summary')} || ' ' || {q.norm_text('description')}, ' ')) AS token FROM tickets)"
+
+
+@query(f"""WITH {b.TICKETS}, {TOKENS}, asked AS (SELECT doc_id AS query_id, unnest(list_filter(string_split({q.norm_text("left(text, 60)")}, ' '), x -> length(x) >= 3)[1:5]) AS token FROM documents),
+h AS (SELECT DISTINCT query_id, k.key FROM asked JOIN tokens k USING (token) JOIN tickets USING (key) WHERE k.project = 'OPS' AND status NOT IN ('Done', 'Closed', 'Resolved', 'Tested', 'Won''t Do')),
+r AS (SELECT query_id, key, created, row_number() OVER (PARTITION BY query_id ORDER BY created DESC, key) AS n FROM h JOIN tickets USING (key)) SELECT query_id, key, created FROM r WHERE n <= 20""")
+def search_tickets(spark: SparkSession, d: str) -> DataFrame:
+    asked = b.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("OPS").alias("project"), F.left("text", F.lit(60)).alias("query"))
+    return filters.search_tickets(b.tickets(spark, d), asked, "open")
+
+
+# --- columns
+
+
+@query(f"SELECT conv_id, turn, {q.norm_text('text')} AS norm FROM conversations")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "conversations").select("conv_id", "turn", t.normalize_text("text").alias("norm"))
+
+
+@query(f"WITH {b.LOGS} SELECT seq, {NORM} AS norm FROM logs")
+def normalize_log_message(spark: SparkSession, d: str) -> DataFrame:
+    return b.logs(spark, d).select("seq", t.normalize_log_message("message").alias("norm"))
+
+
+@query(f"WITH {b.MESSAGES_SQL} SELECT seq, {NORM} AS norm, {q.masked('message', t.READABLE_MASKS)} AS readable FROM messages")
+def normalize_error_messages(spark: SparkSession, d: str) -> DataFrame:
+    return b.messages(spark, d).select("seq", t.normalize_log_message("message").alias("norm"), t.mask_pii("message").alias("readable"))
+
+
+@query(f"SELECT doc_id, {q.masked('text', t.READABLE_MASKS)} AS masked, {q.masked('text', t.BASIC_MASKS)} AS basic, {q.masked('text', t.SECRET_MASKS)} AS secrets FROM documents")
+def mask_text(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "documents").select("doc_id", t.mask_pii("text").alias("masked"), t.mask_pii_basic("text").alias("basic"), t.mask_secrets("text").alias("secrets"))
+
+
+@query(f"""WITH {b.LOGS}, {KEYED} SELECT seq, CASE WHEN norm = '' THEN '' ELSE {q.short("norm")} END AS loghash, {q.short(q.key("service", "norm", "message"))} AS fingerprint,
+{q.short(q.key("logger", "norm", "message"))} AS logger_fingerprint, {q.key("logger", "norm", "message")} AS log_key FROM keyed""")
+def log_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = dedup.with_fingerprints(dedup.with_keys(b.logs(spark, d)).withColumn("error_type", F.col("service")))
+    return rows.select("seq", "loghash", "fingerprint", "logger_fingerprint", "log_key")
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), x -> regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w, text FROM conversations)
+SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), ' ') AS emails,
+len(list_distinct(list_filter(list_transform(w, x -> lower(x)), x -> x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})))) AS n FROM w""")
+def extract_entities(spark: SparkSession, d: str) -> DataFrame:
+    e = t.extract_entities("text")
+    words = F.filter(F.transform(F.regexp_extract_all("text", F.lit(t.UNICODE + r"\b[a-zA-Z]{4,}\b"), F.lit(0)), F.lower), lambda w: ~w.isin(*t.STOP_WORDS))
+    rows = b.table(spark, d, "conversations").select("conv_id", "turn", e.alias("e"), F.size(F.array_distinct(words)).cast("long").alias("n"))
+    return rows.select("conv_id", "turn", F.array_join("e.emails", " ").alias("emails"), F.when(F.size("e.keywords") == F.least(F.lit(10), "n"), F.col("n")).alias("n"))
+
+
+@query(f"""SELECT doc_id, left(text || chr(10) || source, 4000) AS said, {q.norm_message("trim(text)")} AS original FROM documents""")
+def ticket_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    node = lambda c: F.struct(F.array(F.struct(F.col(c).alias("text"))).alias("content"))
+    tree = F.to_json(F.struct(F.array(node("text"), node("source")).alias("content")))
+    quoted = F.concat(F.lit("Title\nOriginal Log: x\nOriginal Log: "), "text")
+    return b.table(spark, d, "documents").select("doc_id", t.ticket_description_text(tree).alias("said"), t.original_log_of(quoted).alias("original"))
+
+
+@query("SELECT event_id, CASE WHEN value < 30 THEN 'High' WHEN value < 60 THEN 'Medium' ELSE 'Low' END AS priority FROM events")
+def priority_name(spark: SparkSession, d: str) -> DataFrame:
+    given = F.when(F.col("value") < 30, " HIGH ").when(F.col("value") < 60, "medium").when(F.col("value") < 80, "critical")
+    return b.table(spark, d, "events").select("event_id", t.priority_name(given).alias("priority"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN text END AS title, CASE WHEN doc_id % 4 < 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END END AS severity, doc_id % 4 < 2 AS usable FROM documents""")
+def parse_model_answer(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    body = F.to_json(F.struct(F.col("text").alias("ticket_title"), F.lit("what\nhappened").alias("ticket_description"), F.when(n % 2 == 0, "HIGH").alias("severity")))
+    raw = F.replace(body, F.lit("what\\nhappened"), F.lit("what\nhappened"))
+    answer = F.when(n % 4 == 0, F.concat(F.lit("Sure:\n```json\n"), raw, F.lit("\n```"))).when(n % 4 == 1, raw).when(n % 4 == 2, F.lit("[1]")).otherwise(F.lit('{"ticket_title": "", "ticket_description": "x"}'))
+    got = t.parse_model_answer(answer)
+    return b.table(spark, d, "documents").select("doc_id", got["ticket_title"].alias("title"), got["severity"].alias("severity"), got.isNotNull().alias("usable"))
+
+
+@query(f"""WITH {b.LOGS} SELECT seq, '[Service]: ' || service || chr(10) || '[Environment]: prod' || chr(10) || '[Logger]: ' || logger || chr(10) || '[Thread]: ' || thread || chr(10) || '[Message]: ' || message ||
+chr(10) || '[Detail]: <no detail>' || chr(10) || '[Occurrences in last 48h]: ' || count(*) OVER (PARTITION BY service, logger, message) AS prompt FROM logs""")
+def contextual_log(spark: SparkSession, d: str) -> DataFrame:
+    rows = dedup.occurrences(b.logs(spark, d).withColumn("run_id", F.col("service")))
+    return rows.select("seq", payload.contextual_log(rows.columns, 48).alias("prompt"))
+
+
+TITLE = "CASE WHEN length(replace(text, '**', '')) > 120 THEN left(trim(replace(text, '**', ''), ' '), 119) || '…' ELSE trim(replace(text, '**', ''), ' ') END"
+
+
+@query(f"""SELECT doc_id, '[Datadog][' || lang || '] ' || CASE WHEN length(trim(text)) > 120 THEN left(trim(text), 119) || '…' ELSE trim(text) END AS title,
+'datadog-log team-1 env-prod loghash-' || {q.short(q.norm_message("text"))} || ' ' || lang AS labels FROM documents WHERE {q.norm_message("text")} <> ''""")
+def ticket_columns(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.table(spark, d, "documents").select("doc_id", F.col("text").alias("ticket_title"), F.col("lang").alias("error_type"), F.lit("team-1").alias("team_id"), F.lit("prod").alias("env"), t.loghash("text").alias("loghash"))
+    return rows.where("loghash <> ''").select("doc_id", payload.ticket_title(CONFIG).alias("title"), F.array_join(payload.ticket_labels(CONFIG), " ").alias("labels"))
+
+
+@query(f"""WITH {b.LOGS} SELECT seq, 'What' || chr(10) || chr(10) || '---' || chr(10) || '🌍 Environment: prod' || chr(10) || '📦 Service: ' || service || chr(10) || '🕒 Timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || chr(10) ||
+'🧩 Logger: ' || logger || chr(10) || '🧵 Thread: ' || thread || chr(10) || '📝 Original Log: ' || {q.masked("message", t.READABLE_MASKS)} || chr(10) || '🔍 Detail: ' || chr(10) || '📈 Occurrences in last 48h: 2' || chr(10) ||
+'---' || chr(10) || '🔗 Datadog Links:' || chr(10) || '• Similar Errors: https://logs.example.com/logs?query=service%3A' || service || '%20%40logger_name%3A' || logger || '%20status%3Aerror' AS body FROM logs""")
+def ticket_body(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.logs(spark, d).withColumns({"ticket_description": F.lit("  What "), "occurrences": F.lit(2)})
+    return rows.select("seq", payload.ticket_body(rows.columns, CONFIG).alias("body"))
+
+
+@query(f"WITH {b.MESSAGES_SQL} SELECT seq, CASE WHEN contains(message, 'Cart.java') THEN 'Cart.java' END AS file, CASE WHEN contains(message, 'Cart.java') THEN CAST(regexp_extract(message, 'java:(\\d+)', 1) AS INT) END AS line, 'src/main/java/' || replace(logger, '.', '/') || '.java' AS path FROM messages")
+def stack_frames(spark: SparkSession, d: str) -> DataFrame:
+    f = t.stack_frame("message")
+    return b.messages(spark, d).select("seq", f["file"].alias("file"), f["line"].alias("line"), t.logger_source_path("logger")[0].alias("path"))
+
+
+# --- classification
+
+RULED = f"WITH {b.MESSAGES_SQL}, {q.classified('messages')}"
+DUE = "(confidence >= 0.2 AND (severity = 'high' OR (severity = 'medium' AND confidence >= 0.4) OR (severity = 'low' AND confidence >= 0.7)))"
+
+
+@query(f"{RULED} SELECT seq, error_type, round(confidence, 6) AS confidence, severity, {DUE} AS create_ticket FROM classified")
+def classify_messages(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classify(b.messages(spark, d)).select("seq", "error_type", F.round("confidence", 6).alias("confidence"), "severity", "create_ticket")
+
+
+@query(f"WITH {b.LOGS}, {q.classified('logs')} SELECT error_type, severity, count(*) AS n, round(avg(confidence), 6) AS confidence FROM classified GROUP BY 1, 2")
+def classify_documents(spark: SparkSession, d: str) -> DataFrame:
+    ruled = classify.classify_severity(classify.match_error_type(b.logs(spark, d)))
+    return ruled.groupBy("error_type", "severity").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+TITLES = " ".join(f"WHEN error_type = {q.quoted(r.error_type)} THEN {q.quoted(r.title)}" for r in classify.RULES)
+
+
+@query(f"""{RULED}, n AS (SELECT seq, logger, CASE WHEN error_type = 'database-connection' THEN CASE WHEN contains(lower(message), 'timeout') THEN 'Database Connection Timeout' ELSE 'Database Connection Failed' END
+WHEN error_type = 'http-client-error' AND regexp_matches(message, '\\b4\\d{{2}}\\b') THEN 'HTTP ' || regexp_extract(message, '\\b(4\\d{{2}})\\b', 1) || ' Error'
+WHEN error_type = 'http-server-error' AND regexp_matches(message, '\\b5\\d{{2}}\\b') THEN 'HTTP ' || regexp_extract(message, '\\b(5\\d{{2}})\\b', 1) || ' Error' {TITLES} ELSE 'System Error' END AS title FROM classified)
+SELECT seq, left(CASE WHEN contains(logger, 'unknown') THEN title ELSE title || ' in ' || string_split(logger, '.')[-1] END, 120) AS title FROM n""")
+def rule_titles(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classify(b.messages(spark, d)).select("seq", F.col("ticket_title").alias("title"))
+
+
+def _lines(table: dict) -> str:
+    text = lambda ws: q.quoted("\n" + "\n".join("- " + w for w in ws))
+    return "CASE error_type " + " ".join(f"WHEN {q.quoted(k)} THEN {text(v)}" for k, v in table.items() if k) + f" ELSE {text(table[''])} END"
+
+
+@query(f"""{RULED} SELECT seq, '**Problem Summary**' || chr(10) || {q.masked("message", t.BASIC_MASKS)} || chr(10) || chr(10) || '**Analysis Details**' || chr(10) || '- **Error Type**: ' || error_type || chr(10) ||
+'- **Analysis Method**: Rule-based fallback (LLM unavailable)' || chr(10) || '- **Confidence**: ' || format('{{:.2f}}', confidence) || chr(10) || '- **Logger**: ' || logger || chr(10) || '- **Thread**: ' || thread || chr(10) ||
+'- **Timestamp**: 2024-01-01' || chr(10) || chr(10) || '**Possible Causes**' || chr(10) || {_lines(classify.CAUSES)} || chr(10) || chr(10) || '**Suggested Actions**' || chr(10) || {_lines(classify.ACTIONS)} || chr(10) || chr(10) ||
+'**Additional Context**' || chr(10) || 'No additional details available' || chr(10) || chr(10) || '---' || chr(10) || '*This ticket was created using fallback analysis due to LLM service unavailability.*' || chr(10) AS description FROM classified""")
+def rule_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classify(b.messages(spark, d)).select("seq", F.col("ticket_description").alias("description"))
+
+
+@query(f"""{RULED} SELECT count(*) AS total_analyses, count(*) FILTER (severity = 'high') AS high_severity_count, count(*) FILTER (severity = 'medium') AS medium_severity_count, count(*) FILTER (severity = 'low') AS low_severity_count,
+round(count(*) FILTER (error_type <> 'unknown') / count(*) * 100, 4) AS pattern_match_rate, round(count(*) FILTER (error_type = 'unknown') / count(*) * 100, 4) AS unknown_error_rate FROM classified""")
+def classification_stats(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classification_stats(classify.classify_severity(classify.match_error_type(b.messages(spark, d))))
+
+
+# --- joins
+
+ROUTES = """routes AS (SELECT * FROM (VALUES ('team-0', 'OPS', 'en', 3), ('team-1', 'OPS', 'fr', 5), ('team-1', 'OPS', 'de', 5), ('team-2', 'WEB', 'es', 0)) AS r(team_id, project, service, cap))"""
+
+
+@query(f"WITH {b.LOGS}, {ROUTES} SELECT seq, team_id, project, cap, team_id || '|' || service AS run_id FROM logs JOIN routes USING (service)")
+def route_to_teams(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.route_to_teams(b.logs(spark, d), b.teams(spark), CONFIG).select("seq", "team_id", "project", "cap", "run_id")
+
+
+def processed(spark: SparkSession, d: str) -> DataFrame:
+    bad = b.table(spark, d, "labels").where("quality = 0").select("doc_id")
+    return b.table(spark, d, "documents").join(bad, "doc_id").select(F.concat(F.lit("team-"), F.col("doc_id") % 4).alias("team_id"), t.fingerprint(F.col("lang"), "text").alias("fingerprint"))
+
+
+PROCESSED = f"processed AS (SELECT DISTINCT 'team-' || (d.doc_id % 4) AS team_id, {q.short(q.key('lang', q.norm_message('text'), 'text'))} AS fingerprint FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0)"
+
+
+@query(f"WITH {PROCESSED} SELECT doc_id AS cand_id FROM documents WHERE ('team-' || (doc_id % 4), {q.short(q.key('lang', q.norm_message('text'), 'text'))}) IN (SELECT (team_id, fingerprint) FROM processed)")
+def dup_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    cands = b.table(spark, d, "documents").select(F.col("doc_id").alias("cand_id"), F.concat(F.lit("team-"), F.col("doc_id") % 4).alias("team_id"), t.fingerprint(F.col("lang"), "text").alias("fingerprint"))
+    return dedup.dup_fingerprint(cands, processed(spark, d)).select("cand_id")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {q.short(q.norm_message("text"))} AS h FROM documents), w AS (SELECT h, max(doc_id) AS newest FROM t WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT doc_id AS cand_id, 'T-' || newest AS ticket_key FROM t JOIN w USING (h)""")
+def dup_label(spark: SparkSession, d: str) -> DataFrame:
+    docs = b.table(spark, d, "documents").withColumn("loghash", t.loghash("text"))
+    made = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("T-"), "doc_id").alias("key"), F.lit("OPS").alias("project"), F.array(F.concat(F.lit("loghash-"), "loghash")).alias("labels"), F.timestamp_seconds("doc_id").alias("created"), F.lit("To Do").alias("status_category"))
+    return dedup.dup_label(docs.select(F.col("doc_id").alias("cand_id"), F.lit("OPS").alias("project"), "loghash"), made).select("cand_id", "ticket_key")
+
+
+@query("""WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS VARCHAR) AS u, event_type FROM events), p AS (SELECT * FROM e WHERE event_type = 'purchase')
+SELECT a.event_id AS cand_id, 'T-' || arg_max(p.event_id, (p.ts, 'T-' || p.event_id)) AS ticket_key FROM e a JOIN p ON a.u = p.u AND p.ts <= a.ts AND p.ts >= a.ts - INTERVAL 7 DAY WHERE a.event_type = 'error' GROUP BY 1""")
+def dup_error_type(spark: SparkSession, d: str) -> DataFrame:
+    e = b.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("kind"), "event_type")
+    made = e.where("event_type = 'purchase'").select(F.concat(F.lit("T-"), "event_id").alias("key"), F.lit("OPS").alias("project"), F.array(F.lit("datadog-log"), "kind").alias("labels"), F.col("ts").alias("created"))
+    cands = e.where("event_type = 'error'").select(F.col("event_id").alias("cand_id"), F.lit("OPS").alias("project"), F.col("kind").alias("error_type"), F.col("ts").alias("as_of"))
+    return dedup.dup_error_type(cands, made, 7).select("cand_id", "ticket_key")
+
+
+def title_queries(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "documents").select(
+        F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, "WEB").otherwise("OPS").alias("project"), F.left("text", F.lit(120)).alias("title"), F.left("text", F.lit(400)).alias("message"),
+        F.lit(AS_OF).cast("timestamp").alias("as_of"), F.lit("timeout").alias("error_type"), F.col("source").alias("logger"),
+    )
+
+
+@query(f"""WITH {b.TICKETS}, {TOKENS}, o AS (SELECT * FROM tickets WHERE status_category <> 'Done' AND created BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY AND TIMESTAMP '{AS_OF}'),
+a AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'WEB' ELSE 'OPS' END AS project, unnest(list_filter(string_split({q.norm_text("left(text, 120)")}, ' '), x -> length(x) >= 4)[1:8]) AS token FROM documents),
+l AS (SELECT project, key, created FROM o WHERE list_contains(labels, 'datadog-log') QUALIFY row_number() OVER (PARTITION BY project ORDER BY created DESC, key) <= 100),
+h AS (SELECT a.query_id, o.key, o.created FROM a JOIN tokens k ON a.project = k.project AND a.token = k.token JOIN o ON o.key = k.key
+UNION SELECT doc_id, l.key, l.created FROM documents JOIN l ON l.project = CASE WHEN doc_id % 3 = 0 THEN 'WEB' ELSE 'OPS' END)
+SELECT query_id, key, created FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created DESC, key) <= 100""")
+def candidate_tickets(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.candidate_tickets(title_queries(spark, d), b.tickets(spark, d), CONFIG)
+
+
+WORDS = "list_filter(string_split_regex({}, '\\s+'), x -> x <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {q.norm_text("left(text, 120)")} AS x, lead({q.norm_text("left(text, 120)")}) OVER (PARTITION BY lang ORDER BY doc_id) AS y FROM documents),
+s AS (SELECT doc_id, list_distinct({WORDS.format("x")}) AS a, list_distinct({WORDS.format("y")}) AS c FROM p WHERE y IS NOT NULL)
+SELECT doc_id, length(array_to_string(list_intersect(a, c), ' ')) AS sect_len, length(array_to_string(list_filter(a, w -> NOT list_contains(c, w)), ' ')) AS ab_len, length(array_to_string(list_filter(c, w -> NOT list_contains(a, w)), ' ')) AS ba_len FROM s""")
+def token_set_lengths(spark: SparkSession, d: str) -> DataFrame:
+    docs = b.table(spark, d, "documents").select("doc_id", "lang", t.normalize_text(F.left("text", F.lit(120))).alias("x"))
+    pairs = docs.withColumn("y", F.lead("x").over(Window.partitionBy("lang").orderBy("doc_id"))).where("y is not null")
+    sets = similarity.token_sets(F.col("x"), F.col("y"))
+    return pairs.select("doc_id", *[sets[c].alias(c) for c in ("sect_len", "ab_len", "ba_len")])
+
+
+@query()
+def token_set_ratio(spark: SparkSession, d: str) -> DataFrame:
+    docs = b.table(spark, d, "documents").select("doc_id", "lang", t.normalize_text(F.left("text", F.lit(120))).alias("x"))
+    pairs = docs.withColumn("y", F.lead("x").over(Window.partitionBy("lang").orderBy("doc_id"))).where("y is not null")
+    return similarity.with_ratio(pairs, "x", "y", "ratio").select("doc_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def dup_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.dup_similarity(title_queries(spark, d), b.tickets(spark, d), CONFIG).select("query_id", "key", F.round("score", 6).alias("score"), "direct")
+
+
+@query()
+def resolve_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    cands = jobs.candidates(b.messages(spark, d), b.teams(spark), CONFIG, AS_OF)
+    return dedup.resolve_duplicates(cands, b.tickets(spark, d), processed(spark, d), CONFIG).select("cand_id", "run_id", "strategy_name", "existing_key", "decision")
+
+
+@query()
+def custom_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """A chain of one strategy of the caller's own and a built-in one."""
+
+    def short_messages(cands: DataFrame, tickets: DataFrame, config: RunConfig) -> DataFrame:
+        return cands.where(F.char_length("norm") < 40).select("cand_id", F.lit(None).cast("string").alias("ticket_key"), F.lit(1.0).alias("score"), F.lit("short").alias("message"))
+
+    chain = [("short", short_messages), ("error_type", lambda c, k, g: dedup.dup_error_type(c, k, g.error_type_days))]
+    cands = jobs.candidates(b.messages(spark, d), b.teams(spark), CONFIG)
+    return dedup.resolve_duplicates(cands, b.tickets(spark, d), processed(spark, d), CONFIG, chain).select("cand_id", "strategy_name", "decision")
+
+
+@query()
+def correlate(spark: SparkSession, d: str) -> DataFrame:
+    asked = questions(spark, d)
+    found = filters.rule_query_filter(b.logs(spark, d), asked)
+    patterns = investigate.unique_patterns(found).join(asked.select("question_id", "project", "as_of"), "question_id")
+    return investigate.correlate(patterns, b.tickets(spark, d), asked, CONFIG).select("question_id", "key", "score")
+
+
+@query("""WITH t AS (SELECT 'U-' || user_id AS issue_key, event_id AS pos, CAST(event_id AS VARCHAR) AS id, CASE event_type WHEN 'purchase' THEN 'Mark as Done' WHEN 'error' THEN 'Reopen' WHEN 'view' THEN 'Close issue' ELSE 'Go' END AS name,
+CASE event_type WHEN 'signup' THEN 'Resolved' WHEN 'click' THEN 'Closed' ELSE 'In Progress' END AS target FROM events),
+r AS (SELECT *, CASE WHEN target = 'Closed' THEN 1 WHEN target = 'Resolved' THEN 2 WHEN name = 'Close issue' THEN 10 WHEN name = 'Mark as Done' THEN 11 END AS rank FROM t)
+SELECT issue_key, arg_min(id, (rank, pos)) AS id FROM r WHERE rank IS NOT NULL GROUP BY 1""")
+def pick_transition(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    rows = b.table(spark, d, "events").select(
+        F.concat(F.lit("U-"), "user_id").alias("issue_key"), F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("id"),
+        F.when(kind == "purchase", "Mark as Done").when(kind == "error", "Reopen").when(kind == "view", "Close issue").otherwise("Go").alias("name"),
+        F.when(kind == "signup", "Resolved").when(kind == "click", "Closed").otherwise("In Progress").alias("to_status"),
+    )
+    return ticket_ops.pick_transition(rows)
+
+
+# --- aggregates
+
+
+@query(f"WITH {b.LOGS} SELECT seq, count(*) OVER (PARTITION BY service, logger, message) AS occurrences FROM logs")
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.occurrences(b.logs(spark, d).withColumn("run_id", F.col("service"))).select("seq", "occurrences")
+
+
+SUMMARY = """count(*) AS total, count(*) FILTER (decision = 'created') AS created, count(*) FILTER (starts_with(decision, 'duplicate')) AS duplicates, count(*) FILTER (lower(decision) = 'simulated') AS simulated,
+count(*) FILTER (lower(decision) = 'simulated' AND create_ticket) AS would_create, count(*) FILTER (decision = 'cap-reached') AS cap_reached, count(*) FILTER (decision IS NULL) AS unknown_decisions"""
+
+
+@query(f"WITH {b.AUDIT} SELECT {SUMMARY} FROM audit")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.audit_summary(b.audit(spark, d))
+
+
+COUNTS = """counts AS (SELECT 'error_type' AS dim, coalesce(error_type, '<unknown>') AS value, count(*) AS n FROM audit GROUP BY 2 UNION ALL SELECT 'severity', lower(severity), count(*) FROM audit GROUP BY 2
+UNION ALL SELECT 'decision', lower(coalesce(decision, '<unknown>')), count(*) FROM audit GROUP BY 2 UNION ALL SELECT 'fingerprint', fingerprint, count(*) FROM audit GROUP BY 2
+UNION ALL SELECT 'issue', coalesce(jira_key, existing_issue_key, '<none>'), count(*) FROM audit GROUP BY 2)"""
+
+
+@query(f"WITH {b.AUDIT}, {COUNTS} SELECT * FROM counts")
+def audit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.audit_counts(b.audit(spark, d))
+
+
+@query(f"WITH {b.AUDIT}, {COUNTS} SELECT dim, value, n, row_number() OVER (PARTITION BY dim ORDER BY n DESC, value) AS rank FROM counts QUALIFY rank <= 10")
+def top_values(spark: SparkSession, d: str) -> DataFrame:
+    return report.top_n(report.audit_counts(b.audit(spark, d)), 10)
+
+
+@query(f"WITH {b.AUDIT} SELECT team_id, {SUMMARY}, grouping(team_id) = 1 AS is_total FROM audit GROUP BY ROLLUP (team_id)")
+def audit_by_team(spark: SparkSession, d: str) -> DataFrame:
+    return report.audit_by_team(b.audit(spark, d))
+
+
+TREND = "count(*) AS total, count(*) FILTER (decision = 'created') AS created, count(*) FILTER (starts_with(decision, 'duplicate')) AS duplicates"
+
+
+@query(f"WITH {b.AUDIT} SELECT strftime(ts, '%Y-%m-%d') AS bucket, {TREND} FROM audit GROUP BY 1")
+def trends_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return report.temporal_breakdown(b.audit(spark, d), "day")
+
+
+@query(f"WITH {b.AUDIT} SELECT strftime(ts, '%Y-%m-%dT%H:00') AS bucket, {TREND} FROM audit GROUP BY 1")
+def trends_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    return report.temporal_breakdown(b.audit(spark, d), "hour")
+
+
+@query(f"WITH {b.LOGS} SELECT service, left(message, 50) AS pattern, count(*) AS n, min(seq) AS first_seq FROM logs GROUP BY 1, 2")
+def message_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return report.message_patterns(b.logs(spark, d), ("service",))
+
+
+@query(f"""WITH {b.LOGS}, p AS (SELECT service, left(message, 50) AS pattern, count(*) AS n, min(seq) AS first_seq FROM logs GROUP BY 1, 2),
+t AS (SELECT service, CAST(sum(n) AS BIGINT) AS logs, arg_max(pattern, (n, -first_seq)) AS pattern, max(n) AS n FROM p GROUP BY 1)
+SELECT *, 'Found ' || logs || ' error logs. ' || CASE WHEN n > 1 THEN 'Most common pattern (' || n || ' occurrences): ''' || pattern || '...''. ' ELSE '' END AS summary FROM t""")
+def basic_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return report.basic_analysis(b.logs(spark, d), ("service",))
+
+
+@query("""SELECT count(*) AS processed, count(*) FILTER (event_type = 'purchase') AS created, count(*) FILTER (event_type = 'signup') AS simulated, count(*) FILTER (event_type = 'view') AS duplicates, count(*) FILTER (event_type = 'error') AS errors,
+round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 6) AS duration_s, round(count(*) / (epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6), 6) AS logs_per_s, round(avg(value), 6) AS avg_s, round(min(value), 6) AS min_s, round(max(value), 6) AS max_s FROM events""")
+def run_stats(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "created").when(kind == "signup", "simulated").when(kind == "view", "duplicate").when(kind == "error", "error").otherwise("skipped")
+    at = F.col("ts").cast("timestamp")
+    return report.run_stats(b.table(spark, d, "events").select(action.alias("action"), F.col("value").alias("processing_s"), at.alias("started"), at.alias("ended")))
+
+
+@query(f"WITH {b.LOGS}, {KEYED} SELECT count(*) AS total_checked, count(DISTINCT {q.key('logger', 'norm', 'message')}) AS unique_logs, count(*) - count(DISTINCT {q.key('logger', 'norm', 'message')}) AS duplicates_found FROM keyed")
+def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.dedup_stats(dedup.with_keys(b.logs(spark, d)))
+
+
+@query("""WITH s AS (SELECT event_type AS operation, value AS v FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 100)
+SELECT operation, count(*) AS n, round(avg(v) * 1000, 2) AS avg_ms, round(min(v) * 1000, 2) AS min_ms, round(max(v) * 1000, 2) AS max_ms, round(sum(v) * 1000, 2) AS total_ms FROM s GROUP BY 1""")
+def operation_stats(spark: SparkSession, d: str) -> DataFrame:
+    return report.operation_stats(b.table(spark, d, "events").select(F.col("event_type").alias("operation"), F.col("event_id").alias("seq"), F.col("value").alias("duration_s")))
+
+
+@query(f"WITH {b.AUDIT} SELECT team_id, team_service, CAST(grouping(team_id, team_service) AS INT) AS level, {TREND} FROM audit GROUP BY CUBE (team_id, team_service)")
+def metric_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return report.metric_rollup(b.audit(spark, d))
+
+
+@query(f"WITH {b.AUDIT} SELECT CAST(hour(ts) AS INT) AS hour, error_type, count(*) AS n FROM audit GROUP BY 1, 2")
+def errors_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    return report.errors_by_hour(b.audit(spark, d))
+
+
+@query(f"WITH {b.MESSAGES_SQL} SELECT service, 'Cart.java' AS file, CAST(regexp_extract(message, 'java:(\\d+)', 1) AS INT) AS line, count(*) AS n FROM messages WHERE contains(message, 'Cart.java') GROUP BY 1, 3")
+def fault_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    return report.fault_hotspots(b.messages(spark, d).withColumn("detail", F.col("message")))
+
+
+# --- firsts, caps, order
+
+
+@query(f"WITH {b.LOGS}, {KEYED} SELECT service AS run_id, min(seq) AS seq, {q.key('logger', 'norm', 'message')} AS log_key, count(*) AS seen FROM keyed GROUP BY 1, 3")
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    rows = dedup.with_keys(b.logs(spark, d)).withColumn("run_id", F.col("service"))
+    return dedup.first_seen(rows, keep=("message",)).select("run_id", "seq", "log_key", "seen")
+
+
+@query(f"WITH {b.LOGS}, {KEYED} SELECT seq, seq > min(seq) OVER (PARTITION BY service, {q.key('logger', 'norm', 'message')}) AS skipped FROM keyed")
+def mark_seen(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.mark_seen(dedup.with_keys(b.logs(spark, d)).withColumn("run_id", F.col("service"))).select("seq", "skipped")
+
+
+def in_run_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Events as candidates: a type a user, a loghash a user and hour, so that a loghash has one type."""
+    e = b.table(spark, d, "events")
+    h = F.concat_ws("-", "user_id", F.hour(F.col("ts").cast("timestamp")))
+    return e.select(
+        F.col("event_id").alias("cand_id"), F.concat(F.lit("r"), F.col("user_id") % 8).alias("run_id"), F.lit("OPS").alias("project"), F.col("event_id").alias("seq"), F.lit(5).alias("cap"), h.alias("fingerprint"), h.alias("loghash"),
+        F.concat(F.lit("u"), "user_id").alias("error_type"), F.lit(True).alias("create_ticket"), F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("strategy_name"),
+    )
+
+
+@query("""WITH e AS (SELECT event_id, user_id, 'r' || (user_id % 8) AS run, user_id || '-' || hour(CAST(ts AS TIMESTAMP)) AS h FROM events), f AS (SELECT run, user_id, min(event_id) AS first FROM e GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY first) AS nth FROM f), m AS (SELECT e.*, o.first, o.nth FROM e JOIN o USING (run, user_id)),
+k AS (SELECT *, first_value(h) OVER (PARTITION BY run, user_id ORDER BY event_id) AS h0, row_number() OVER (PARTITION BY run, user_id, h ORDER BY event_id) AS again FROM m)
+SELECT event_id AS cand_id, CASE WHEN nth > 5 THEN 'cap-reached' WHEN event_id = first THEN 'created' WHEN h = h0 OR again > 1 THEN 'duplicate-fingerprint' ELSE 'duplicate-error-type' END AS in_run FROM k""")
+def resolve_in_run(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.resolve_in_run(in_run_candidates(spark, d))
+
+
+@query("SELECT event_id AS cand_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3 THEN 'created' ELSE 'cap-reached' END AS decision FROM events")
+def apply_cap(spark: SparkSession, d: str) -> DataFrame:
+    rows = b.table(spark, d, "events").select(F.col("event_id").alias("cand_id"), F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.lit(3).alias("cap"))
+    return dedup.apply_cap(rows).select("cand_id", "decision")
+
+
+@query(f"""WITH {b.LOGS}, g AS (SELECT service, left({q.norm_text("message")}, 100) AS pattern, min(seq) AS seq FROM logs GROUP BY 1, 2)
+SELECT service, pattern, seq, row_number() OVER (PARTITION BY service ORDER BY seq) AS rank FROM g QUALIFY rank <= 10""")
+def unique_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return investigate.unique_patterns(b.logs(spark, d), ("service",)).select("service", "pattern", "seq", "rank")
+
+
+@query("""WITH g AS (SELECT CAST(user_id AS VARCHAR) AS group_id, 'K-' || event_id AS key, event_id AS n, event_type IN ('purchase', 'signup') AS closed FROM events), p AS (SELECT group_id, min(n) AS first, count(*) AS size FROM g GROUP BY 1 HAVING count(*) >= 2),
+o AS (SELECT g.*, 'K-' || p.first AS primary_key FROM g JOIN p USING (group_id) WHERE g.n <> p.first)
+SELECT group_id, key, primary_key, 'skip' AS action, 'already closed' AS detail FROM o WHERE closed UNION ALL SELECT group_id, key, primary_key, 'comment', 'This ticket has been identified as a duplicate of [' || primary_key || '].' FROM o WHERE NOT closed
+UNION ALL SELECT group_id, key, primary_key, unnest(['link', 'close']), 'Duplicate' FROM o WHERE NOT closed
+UNION ALL SELECT group_id, primary_key, primary_key, 'summary', CASE WHEN count(*) FILTER (NOT closed) = 0 THEN 'No open duplicates to consolidate (' || count(*) FILTER (closed) || ' already closed)'
+ELSE 'Consolidated ' || count(*) FILTER (NOT closed) || ' tickets into ' || primary_key || CASE WHEN count(*) FILTER (closed) > 0 THEN ' (skipped ' || count(*) FILTER (closed) || ' already closed)' ELSE '' END END FROM o GROUP BY 1, 2, 3""")
+def consolidate(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "Done").when(F.col("event_type") == "signup", "Won't Fix").otherwise("Open")
+    return ticket_ops.consolidate(b.table(spark, d, "events").select(F.col("user_id").cast("string").alias("group_id"), F.concat(F.lit("K-"), "event_id").alias("key"), status.alias("status")))
+
+
+@query(f"""WITH {b.TICKETS}, n AS (SELECT 'BM-' || (doc_id % 40) AS key, list_sort(list_distinct(list('loghash-' || {q.short(q.norm_message("text"))}))) AS new FROM documents WHERE doc_id % 10 = 0 AND {q.norm_message("text")} <> '' GROUP BY 1)
+SELECT key, array_to_string(list_concat(labels, coalesce(new, [])), ' ') AS labels FROM tickets LEFT JOIN n USING (key)""")
+def merge_ticket_labels(spark: SparkSession, d: str) -> DataFrame:
+    hits = b.table(spark, d, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("BM-"), F.col("doc_id") % 40).alias("ticket_key"), t.loghash("text").alias("loghash"))
+    return dedup.merge_ticket_labels(b.tickets(spark, d), hits).select("key", F.array_join("labels", " ").alias("labels"))
+
+
+# --- time
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+r AS (SELECT event_id, user_id, ts, n, ts AS last, TRUE AS allowed FROM e WHERE n = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.ts, e.n, CASE WHEN e.ts >= r.last + INTERVAL 120 MINUTE THEN e.ts ELSE r.last END, e.ts >= r.last + INTERVAL 120 MINUTE FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, allowed FROM r""")
+def comment_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    hits = b.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.lit("team-0").alias("team_id"), F.col("user_id").cast("string").alias("ticket_key"), F.col("ts").cast("timestamp").alias("ts"))
+    return dedup.comment_cooldown(hits, 120).select("event_id", "allowed")
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events), m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 120 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def error_bursts(spark: SparkSession, d: str) -> DataFrame:
+    return streams.error_bursts(b.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "120 minutes", ("user_id",))
+
+
+@query(f"""WITH {b.AUDIT}, w AS (SELECT *, unnest([0, 15, 30, 45]) AS back FROM audit), x AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(back) AS start FROM w)
+SELECT start, start + INTERVAL 1 HOUR AS "end", {TREND} FROM x GROUP BY 1""")
+def sliding_trends(spark: SparkSession, d: str) -> DataFrame:
+    return streams.stream_trends(b.audit(spark, d), "1 hour", "15 minutes")
+
+
+# --- jobs
+
+
+def _run_jobs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return jobs.triage_job(b.messages(spark, d), b.teams(spark), b.tickets(spark, d), processed(spark, d), CONFIG, AS_OF)
+
+
+@query()
+def triage_job(spark: SparkSession, d: str) -> DataFrame:
+    return _run_jobs(spark, d)["decisions"].select("run_id", "seq", "fingerprint", "error_type", "severity", "decision", "occurrences")
+
+
+@query()
+def triage_tickets(spark: SparkSession, d: str) -> DataFrame:
+    rows = _run_jobs(spark, d)["new_tickets"]
+    return rows.select("cand_id", "project", "summary", "description", F.array_join("labels", " ").alias("labels"), "severity")
+
+
+@query()
+def investigate_job(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.investigate_job(questions(spark, d), b.logs(spark, d), b.tickets(spark, d), CONFIG)["actions"]
+
+
+@query(f"WITH {b.AUDIT}, own AS (SELECT * FROM audit WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 240 HOUR AND lower(severity) = 'high') SELECT strftime(ts, '%Y-%m-%d') AS bucket, {TREND} FROM own GROUP BY 1")
+def report_job(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.report_job(b.audit(spark, d), 240, "2024-01-30 00:00:00", severity="HIGH")["trends"]
