@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A corpus table. Batches that go to Python are held to 8 MB, as texts are long and ten thousand of them are many MB."""
+    spark.conf.set(BATCH_BYTES, str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
