@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from faultline.config import RunConfig
 from faultline.functions.text import fingerprint, log_key, logger_fingerprint, loghash_of, normalize_log_message
 from faultline.operators.similarity import dup_similarity
+from faultline.sources.io import settled
 
 HITS = "cand_id long, ticket_key string, score double, message string"
 # Which decision a strategy leads to.
@@ -121,7 +122,7 @@ def similarity_hits(cands: DataFrame, tickets: DataFrame, config: RunConfig) ->
 def resolve_duplicates(cands: DataFrame, tickets: DataFrame, processed: DataFrame, config: RunConfig, strategies: list[tuple[str, Callable]] | None = None) -> DataFrame:
     """Candidates with strategy_name, existing_key, score and decision: the first strategy of the chain that hits.
 
-    Each strategy sees only what the ones before left. strategies: (name, function) in order; by default fingerprint,
+    Each strategy sees only what the ones before left; its hits are checkpointed, so none runs twice. strategies: (name, function) in order; by default fingerprint,
     loghash, error_type, similarity. decision is null where none hits.
     """
     chain = strategies or [
@@ -132,7 +133,7 @@ def resolve_duplicates(cands: DataFrame, tickets: DataFrame, processed: DataFram
     ]
     left, found = cands, None
     for name, strategy in chain:
-        hits = strategy(left, tickets, config).withColumn("strategy_name", F.lit(name))
+        hits = settled(strategy(left, tickets, config).withColumn("strategy_name", F.lit(name)))
         found = hits if found is None else found.unionByName(hits)
         left = left.join(hits.select("cand_id"), "cand_id", "left_anti")
     decision = F.lit(None).cast("string")
@@ -249,7 +250,7 @@ def comment_cooldown(hits: DataFrame, minutes: int, last: DataFrame | None = Non
         rows = rows.withColumn("_last", F.lit(None).cast("timestamp"))
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in hits.columns) + ", allowed boolean"
-    gap = pd.Timedelta(minutes=minutes)
+    gap, columns = pd.Timedelta(minutes=minutes), list(hits.columns)
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, before = None, None
@@ -261,7 +262,7 @@ def comment_cooldown(hits: DataFrame, minutes: int, last: DataFrame | None = Non
                 ok = before is None or ts - before >= gap
                 before = ts if ok else before
                 allowed.append(ok)
-            yield frame[hits.columns].assign(allowed=allowed)
+            yield frame[columns].assign(allowed=allowed)
 
     return rows.repartition("team_id", "ticket_key").sortWithinPartitions("team_id", "ticket_key", "ts", "_n").mapInPandas(fold, schema)
 

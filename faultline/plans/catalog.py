@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline import schemas
 from faultline.config import RunConfig
 from faultline.functions import payload
 from faultline.functions import text as t
@@ -122,9 +121,9 @@ def questions(spark: SparkSession, d: str, length: int = 24) -> DataFrame:
     )
 
 
-@query(f"""WITH {b.LOGS}, {b.TICKETS}, e AS (SELECT key AS question_id, list_filter(list_transform(regexp_split_to_array(left(description, 12), '[^\\p{{L}}\\p{{N}}_]+'), x -> x), x -> regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w FROM tickets),
-k AS (SELECT question_id, list_filter(list_transform(w, x -> lower(x)), x -> x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})) AS words FROM e)
-SELECT question_id, count(*) AS n, min(seq) AS first_seq FROM k JOIN logs ON len(list_filter(words, x -> NOT contains(lower(message), x))) = 0 GROUP BY 1""")
+@query(f"""WITH {b.LOGS}, {b.TICKETS}, e AS (SELECT key AS question_id, list_filter(list_transform(regexp_split_to_array(left(description, 12), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x), lambda x: regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w FROM tickets),
+k AS (SELECT question_id, list_filter(list_transform(w, lambda x: lower(x)), lambda x: x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})) AS words FROM e)
+SELECT question_id, count(*) AS n, min(seq) AS first_seq FROM k JOIN logs ON len(list_filter(words, lambda x: NOT contains(lower(message), x))) = 0 GROUP BY 1""")
 def rule_query_filter(spark: SparkSession, d: str) -> DataFrame:
     found = filters.rule_query_filter(b.logs(spark, d), questions(spark, d, 12))
     return found.groupBy("question_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
@@ -151,7 +150,7 @@ def parse_ts(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = f"tokens AS (SELECT DISTINCT project, key, unnest(string_split({q.norm_text('summary')} || ' ' || {q.norm_text('description')}, ' ')) AS token FROM tickets)"
 
 
-@query(f"""WITH {b.TICKETS}, {TOKENS}, asked AS (SELECT doc_id AS query_id, unnest(list_filter(string_split({q.norm_text("left(text, 60)")}, ' '), x -> length(x) >= 3)[1:5]) AS token FROM documents),
+@query(f"""WITH {b.TICKETS}, {TOKENS}, asked AS (SELECT doc_id AS query_id, unnest(list_filter(string_split({q.norm_text("left(text, 60)")}, ' '), lambda x: length(x) >= 3)[1:5]) AS token FROM documents),
 h AS (SELECT DISTINCT query_id, k.key FROM asked JOIN tokens k USING (token) JOIN tickets USING (key) WHERE k.project = 'OPS' AND status NOT IN ('Done', 'Closed', 'Resolved', 'Tested', 'Won''t Do')),
 r AS (SELECT query_id, key, created, row_number() OVER (PARTITION BY query_id ORDER BY created DESC, key) AS n FROM h JOIN tickets USING (key)) SELECT query_id, key, created FROM r WHERE n <= 20""")
 def search_tickets(spark: SparkSession, d: str) -> DataFrame:
@@ -189,9 +188,9 @@ def log_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", "loghash", "fingerprint", "logger_fingerprint", "log_key")
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), x -> regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w, text FROM conversations)
+@query(f"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w, text FROM conversations)
 SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), ' ') AS emails,
-len(list_distinct(list_filter(list_transform(w, x -> lower(x)), x -> x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})))) AS n FROM w""")
+len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})))) AS n FROM w""")
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
     e = t.extract_entities("text")
     words = F.filter(F.transform(F.regexp_extract_all("text", F.lit(t.UNICODE + r"\b[a-zA-Z]{4,}\b"), F.lit(0)), F.lower), lambda w: ~w.isin(*t.STOP_WORDS))
@@ -230,10 +229,7 @@ def contextual_log(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", payload.contextual_log(rows.columns, 48).alias("prompt"))
 
 
-TITLE = "CASE WHEN length(replace(text, '**', '')) > 120 THEN left(trim(replace(text, '**', ''), ' '), 119) || '…' ELSE trim(replace(text, '**', ''), ' ') END"
-
-
-@query(f"""SELECT doc_id, '[Datadog][' || lang || '] ' || CASE WHEN length(trim(text)) > 120 THEN left(trim(text), 119) || '…' ELSE trim(text) END AS title,
+@query(f"""SELECT doc_id, '[Datadog][' || lang || '] ' || CASE WHEN length(trim(replace(text, '**', ''))) > 120 THEN left(trim(replace(text, '**', '')), 119) || '…' ELSE trim(replace(text, '**', '')) END AS title,
 'datadog-log team-1 env-prod loghash-' || {q.short(q.norm_message("text"))} || ' ' || lang AS labels FROM documents WHERE {q.norm_message("text")} <> ''""")
 def ticket_columns(spark: SparkSession, d: str) -> DataFrame:
     rows = b.table(spark, d, "documents").select("doc_id", F.col("text").alias("ticket_title"), F.col("lang").alias("error_type"), F.lit("team-1").alias("team_id"), F.lit("prod").alias("env"), t.loghash("text").alias("loghash"))
@@ -350,7 +346,7 @@ def title_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {b.TICKETS}, {TOKENS}, o AS (SELECT * FROM tickets WHERE status_category <> 'Done' AND created BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY AND TIMESTAMP '{AS_OF}'),
-a AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'WEB' ELSE 'OPS' END AS project, unnest(list_filter(string_split({q.norm_text("left(text, 120)")}, ' '), x -> length(x) >= 4)[1:8]) AS token FROM documents),
+a AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'WEB' ELSE 'OPS' END AS project, unnest(list_filter(string_split({q.norm_text("left(text, 120)")}, ' '), lambda x: length(x) >= 4)[1:8]) AS token FROM documents),
 l AS (SELECT project, key, created FROM o WHERE list_contains(labels, 'datadog-log') QUALIFY row_number() OVER (PARTITION BY project ORDER BY created DESC, key) <= 100),
 h AS (SELECT a.query_id, o.key, o.created FROM a JOIN tokens k ON a.project = k.project AND a.token = k.token JOIN o ON o.key = k.key
 UNION SELECT doc_id, l.key, l.created FROM documents JOIN l ON l.project = CASE WHEN doc_id % 3 = 0 THEN 'WEB' ELSE 'OPS' END)
@@ -359,12 +355,12 @@ def candidate_tickets(spark: SparkSession, d: str) -> DataFrame:
     return similarity.candidate_tickets(title_queries(spark, d), b.tickets(spark, d), CONFIG)
 
 
-WORDS = "list_filter(string_split_regex({}, '\\s+'), x -> x <> '')"
+WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {q.norm_text("left(text, 120)")} AS x, lead({q.norm_text("left(text, 120)")}) OVER (PARTITION BY lang ORDER BY doc_id) AS y FROM documents),
 s AS (SELECT doc_id, list_distinct({WORDS.format("x")}) AS a, list_distinct({WORDS.format("y")}) AS c FROM p WHERE y IS NOT NULL)
-SELECT doc_id, length(array_to_string(list_intersect(a, c), ' ')) AS sect_len, length(array_to_string(list_filter(a, w -> NOT list_contains(c, w)), ' ')) AS ab_len, length(array_to_string(list_filter(c, w -> NOT list_contains(a, w)), ' ')) AS ba_len FROM s""")
+SELECT doc_id, length(array_to_string(list_intersect(a, c), ' ')) AS sect_len, length(array_to_string(list_filter(a, lambda w: NOT list_contains(c, w)), ' ')) AS ab_len, length(array_to_string(list_filter(c, lambda w: NOT list_contains(a, w)), ' ')) AS ba_len FROM s""")
 def token_set_lengths(spark: SparkSession, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents").select("doc_id", "lang", t.normalize_text(F.left("text", F.lit(120))).alias("x"))
     pairs = docs.withColumn("y", F.lead("x").over(Window.partitionBy("lang").orderBy("doc_id"))).where("y is not null")
@@ -611,18 +607,18 @@ def sliding_trends(spark: SparkSession, d: str) -> DataFrame:
 # --- jobs
 
 
-def _run_jobs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _triage(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return jobs.triage_job(b.messages(spark, d), b.teams(spark), b.tickets(spark, d), processed(spark, d), CONFIG, AS_OF)
 
 
 @query()
 def triage_job(spark: SparkSession, d: str) -> DataFrame:
-    return _run_jobs(spark, d)["decisions"].select("run_id", "seq", "fingerprint", "error_type", "severity", "decision", "occurrences")
+    return _triage(spark, d)["decisions"].select("run_id", "seq", "fingerprint", "error_type", "severity", "decision", "occurrences")
 
 
 @query()
 def triage_tickets(spark: SparkSession, d: str) -> DataFrame:
-    rows = _run_jobs(spark, d)["new_tickets"]
+    rows = _triage(spark, d)["new_tickets"]
     return rows.select("cand_id", "project", "summary", "description", F.array_join("labels", " ").alias("labels"), "severity")
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from faultline.config import RunConfig
 from faultline.functions import payload
-from faultline.operators import classify, dedup, filters, investigate, report, tickets as ticket_ops
+from faultline.operators import classify, dedup, filters, investigate, report
+from faultline.operators import tickets as ticket_ops
+from faultline.sources.io import settled
 
 
 def candidates(logs: DataFrame, teams: DataFrame, config: RunConfig, as_of=None, answer: str | None = None) -> DataFrame:
@@ -22,13 +24,13 @@ def candidates(logs: DataFrame, teams: DataFrame, config: RunConfig, as_of=None,
     ruled = classify.analyse(first, answer) if answer else classify.classify(first)
     when = F.lit(as_of).cast("timestamp") if as_of is not None else F.col("ts")
     out = dedup.with_fingerprints(ruled).withColumns({"as_of": when, "title": F.col("ticket_title"), "cand_id": F.xxhash64("run_id", "log_key")})
-    return out
+    return settled(out)  # distinct errors only; all that follows reads this
 
 
 def triage_job(logs: DataFrame, teams: DataFrame, tickets: DataFrame, processed: DataFrame, config: RunConfig, as_of=None, answer: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
     """decisions (an audit row a candidate), new_tickets, fingerprints (the store after the run)."""
     cands = candidates(logs, teams, config, as_of, answer)
-    found = dedup.resolve_duplicates(cands, tickets, processed, config)
+    found = settled(dedup.resolve_duplicates(cands, tickets, processed, config))
     said = dedup.resolve_in_run(found, config.dry_run, exact)
     rows = found.drop("decision").join(said.withColumnRenamed("in_run", "decision"), "cand_id")
     made = rows.where(F.col("decision").isin("created", "simulated"))
@@ -50,7 +52,7 @@ def triage_job(logs: DataFrame, teams: DataFrame, tickets: DataFrame, processed:
 def investigate_job(questions: DataFrame, logs: DataFrame, tickets: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
     """logs, patterns, related (tickets), summary and actions for many questions at once."""
     found = filters.rule_query_filter(logs, questions)
-    patterns = investigate.unique_patterns(found).join(questions.select("question_id", "project", "as_of"), "question_id")
+    patterns = settled(investigate.unique_patterns(found).join(questions.select("question_id", "project", "as_of"), "question_id"))
     related = investigate.correlate(patterns, tickets, questions, config)
     groups = related.join(tickets.select("key", "status"), "key").select(F.col("question_id").alias("group_id"), "key", "status")
     return {"logs": found, "patterns": patterns, "related": related, "summary": report.basic_analysis(found, ("question_id",), related), "actions": ticket_ops.consolidate(groups)}

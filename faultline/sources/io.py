@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,14 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def write_fingerprints(rows: DataFrame, path: str) -> None:
     """Replaces the partitions of the teams in rows. rows must not read from path lazily: write elsewhere and swap, or checkpoint first."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("team_id").parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoints df in the folder that the cluster names for it, so that what follows doesn't compute or plan it again.
+
+    Only where the session names no folder (tests on one machine) is one made here.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-"))
+    return df.checkpoint()
