@@ -121,7 +121,8 @@ def decontaminate(
     """
     found = find_phrases(docs, benchmark, window, block_words, shard_bytes)
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    return doc_key(docs.select(keep)).join(found, ["key_id", "key_text"]).drop("key_id", "key_text")
+    keyed = doc_key(docs.select("doc_id", "text", F.struct(*keep).alias("row")))
+    return keyed.join(found, ["key_id", "key_text"]).select("row.*", "n_words", "spans", "items")
 
 
 def blocks_of(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
@@ -162,7 +163,7 @@ def merge_findings(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    merged = every.groupBy(*keys).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = every.distinct().groupBy(*keys).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Spans of several blocks can overlap: each is cut to what lies beyond the ones before it.
     cut_spans = F.aggregate(
         "spans",
@@ -190,15 +191,14 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     Documents of which no word is left go; null texts and texts without hits stay as they are. With a benchmark of one
     block this is a narrow job.
     """
-    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     blocks = blocks_of(benchmark, block_words)
-    texts = docs.withColumn("text", F.col("text").cast("string"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
     if len(blocks) == 1:
         found = scan_block(texts, blocks[0], window, shard_bytes, keep_text=True)
     else:
-        keyed = doc_key(texts)
+        keyed = doc_key(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")))
         found = keyed.join(find_phrases(docs, benchmark, window, block_words, shard_bytes), ["key_id", "key_text"])
-    schema = ", ".join(f"`{c}` {'string' if c == 'text' else kinds[c]}" for c in names)
+    row = texts.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(batches, "text", shard_bytes):
@@ -215,7 +215,7 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                         edges += [int(starts[of[i] + s["start"]] - base), int(ends[of[i] + s["end"] - 1] - base)]
                     edges.append(len(raw))
                     texts[i] = b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)).decode()
-            own = {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([own.get(c, part.column(c)) for c in names], names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "text"]).filter(pa.array(keep))
 
-    return found.select(*names, "spans").mapInArrow(run, schema)
+    out = found.select("row", "text", "spans").mapInArrow(run, f"row {row}, text string")
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -160,10 +160,10 @@ def remove_passages(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFr
     empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
-    keyed = doc_key(docs.select(names).withColumn("text", F.col("text").cast("string")))
-    covered = repeats.with_runs(keyed, repeated_passages(keyed.select(*KEYS, "text"), window, gram), "left")
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"text": "string"}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in names) + ", n_words long, n_removed long, kept_words string"
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
+    keyed = doc_key(whole)
+    covered = repeats.with_runs(keyed, repeated_passages(keyed, window, gram), "left")
+    row = whole.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(batches, "text", 2 << 20):
@@ -182,10 +182,10 @@ def remove_passages(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFr
                 n_removed.append(gone)
                 kept.append(b" ".join(w).decode())
                 after.append(kept[-1] if gone else text)
-            own = {"text": pa.array(after, pa.string())}
             yield pa.RecordBatch.from_arrays(
-                [*(own.get(c, part.column(c) if c in part.schema.names else None) for c in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                [*names, "n_words", "n_removed", "kept_words"],
+                [part.column("row"), pa.array(after, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                ["row", "text", "n_words", "n_removed", "kept_words"],
             )
 
-    return covered.select(*names, "runs").mapInArrow(run, schema)
+    out = covered.select("row", "text", "runs").mapInArrow(run, f"row {row}, text string, n_words long, n_removed long, kept_words string")
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names], "n_words", "n_removed", "kept_words")

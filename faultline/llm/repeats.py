@@ -68,7 +68,8 @@ def settled_here(h, c, key_id, key_text, lo, n, at, other_document: bool, heavy:
     order = np.lexsort((lo, key_text, key_id, c, h))
     h, c, key_id, key_text, lo, n, at = (x[order] for x in (h, c, key_id, key_text, lo, n, at))
     first = first_of_group([h, c])
-    done = key_id > key_id[first] if other_document else first != np.arange(len(first))
+    there = (key_id == key_id[first]) & (key_text == key_text[first]) & (lo == lo[first])  # a repeated row is the same place
+    done = key_id > key_id[first] if other_document else ~there
     back = np.flatnonzero(done)
     back = back[np.lexsort((lo[back], key_text[back], key_id[back]))]
     k_id, k_text, k_lo, k_n = joined_runs(key_id[back], key_text[back], lo[back], n[back])
@@ -76,7 +77,7 @@ def settled_here(h, c, key_id, key_text, lo, n, at, other_document: bool, heavy:
         spread = ts.mix(k_id.view(np.uint64) * ts.BASE + k_text.view(np.uint64) + k_lo.astype(np.uint64))
         none = np.zeros(len(k_id), np.int64)
         yield record(np.ones(len(k_id), bool), none.astype(bool), spread, none, k_id, k_text, k_lo, k_n, none)
-    keep = ~done
+    keep = ~done & (~there | (first == np.arange(len(first))))
     often = np.isin(h[keep].view(np.int64), heavy) if heavy is not None and len(heavy) else np.zeros(keep.sum(), bool)
     yield record(np.zeros(keep.sum(), bool), often, h[keep], c[keep], key_id[keep], key_text[keep], lo[keep], n[keep], at[keep])
 
@@ -154,19 +155,18 @@ def settle(rows: DataFrame, other_document: bool) -> DataFrame:
     ordered = dealt.sortWithinPartitions("known", "heavy", "h", "c", *KEYS, "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # h, c, the group's first key_id, whether its h has several surroundings
+        last = None  # h, c, where the group begins (key_id, key_text, lo), whether its h has several surroundings
         waiting: list[pa.RecordBatch] = []  # open rows of an anchor with one kind of surroundings so far
         for batch in batches:
             if not batch.num_rows:
                 continue
             known, heavy = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), bool) for k in ("known", "heavy"))
-            h, c, key_id = (np.asarray(batch.column(k)) for k in ("h", "c", "key_id"))
+            h, c, key_id, key_text, lo = (np.asarray(batch.column(k)) for k in ("h", "c", *KEYS, "lo"))
             m = len(h)
             plain = ~known
             group_c, group_h = first_of_group([known, heavy, h, c]), first_of_group([known, heavy, h])
-            first_id = key_id[group_c]
+            first_id, first_text, first_lo = key_id[group_c], key_text[group_c], lo[group_c]
             repeat = group_c != np.arange(m)
-            several = np.zeros(m, bool)
             n_c = np.cumsum(~repeat)
             ends_h = np.append(np.flatnonzero(group_h[1:] != group_h[:-1]), m - 1)
             starts_h = group_h[ends_h]
@@ -174,7 +174,7 @@ def settle(rows: DataFrame, other_document: bool) -> DataFrame:
             if last is not None and plain[0] and not heavy[0] and last[0] == h[0]:
                 in_first = group_h == 0
                 same_c = in_first & (group_c == 0) & (c == last[1])
-                first_id = np.where(same_c, last[2], first_id)
+                first_id, first_text, first_lo = (np.where(same_c, x, y) for x, y in zip(last[2], (first_id, first_text, first_lo), strict=True))
                 repeat |= same_c
                 many[0] = many[0] or last[3] or not same_c[0]
                 if many[0]:
@@ -183,16 +183,17 @@ def settle(rows: DataFrame, other_document: bool) -> DataFrame:
             else:
                 waiting = []
             several = np.repeat(many, ends_h - starts_h + 1)
-            done = plain & (key_id > first_id if other_document else repeat)
-            open_ = plain & ~done & (several | heavy)
+            there = (key_id == first_id) & (key_text == first_text) & (lo == first_lo)  # a repeated row is the same place
+            done = plain & (key_id > first_id if other_document else ~there)
+            open_ = plain & ~done & (several | heavy) & ~(there & repeat)
             out = known | done | open_
-            tail = (group_h == starts_h[-1]) & plain & ~done & ~heavy
+            tail = (group_h == starts_h[-1]) & plain & ~done & ~heavy & ~(there & repeat)
             if not many[-1] and tail.any():
                 waiting.append(pick(batch, tail, np.zeros(m, bool)))
             if out.any():
                 yield pick(batch, out, known | done)
             end = m - 1
-            last = (h[end], c[end], first_id[end], bool(many[-1])) if plain[end] and not heavy[end] else None
+            last = (h[end], c[end], (first_id[end], first_text[end], first_lo[end]), bool(many[-1])) if plain[end] and not heavy[end] else None
 
     def pick(batch: pa.RecordBatch, rows: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
         got = batch.filter(pa.array(rows))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +130,6 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     the one before it and the first of its group) are verified on all bits: no more may differ than the similarity
     leads to expect. With 12 blocks a pair of similarity 0.8 meets with probability 0.78, of 0.9 with 0.99.
     """
-    from math import acos, pi
-
     share = acos(2 * similarity / (1 + similarity)) / pi
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -162,12 +161,12 @@ def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     Of rows that share a doc_id one stays, the one whose text hashes least; rows without a doc_id all stay.
     """
     first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    one = docs.groupBy("doc_id").agg(F.min(text_hash).alias("least"), F.count("*").alias("rows")).where("doc_id is not null")
-    kept = one.join(first, "doc_id", "left_semi")
-    single = docs.join(kept, "doc_id").where(text_hash == F.col("least"))
-    several = single.where("rows > 1").dropDuplicates(["doc_id"])
-    return single.where("rows = 1").unionByName(several).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), F.struct(*docs.columns).alias("row"))
+    known = rows.where("doc_id is not null")
+    least = known.groupBy("doc_id").agg(F.min("hash").alias("hash"), F.count("*").alias("copies")).join(first, "doc_id", "left_semi")
+    kept = known.join(least, ["doc_id", "hash"])
+    one = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["doc_id"]))
+    return one.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")
 
 
 def near_duplicates_dropped(docs: DataFrame, **options) -> DataFrame:

@@ -73,7 +73,7 @@ def repeated_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     second = repeats.settle(repeats.longer_grams(open_docs, "bytes", length, gram, False), False)
     pairs = rank_pairs(repeats.with_runs(keyed, second.where("not known"), "inner"), length)
     order = Window.partitionBy("known", "a", "b").orderBy(*KEYS, "lo")
-    again = pairs.withColumn("place", F.row_number().over(order)).where(F.col("known") | (F.col("place") > 1))
+    again = pairs.withColumn("place", F.rank().over(order)).where(F.col("known") | (F.col("place") > 1))
     known = first.where("known").unionByName(second.where("known"))
     return known.select(*KEYS, "lo", "n").unionByName(again.select(*KEYS, "lo", "n"))
 

@@ -92,7 +92,7 @@ class Features:
         return [
             float(np.log1p(n)), float((flags & 1).sum() / n), float(hit.sum() / n), float(min(hit.sum(), 50)), float(weight.sum() / n), float(weight.max()),
             float((near * hit).sum() / n), float(you.sum() / n), float(capitals / chars), float((flags & 16 > 0).sum() / n), float(signs / chars), float(kinds[33] / chars),
-            float((flags & 4 > 0).sum() / n), float((flags & 8 > 0).sum() / n), float(digits / chars), float(len(_STRETCH.findall(text[:])) / n),
+            float((flags & 4 > 0).sum() / n), float((flags & 8 > 0).sum() / n), float(digits / chars), float(len(_STRETCH.findall(text)) / n),
         ]
 
 
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(12))
     rows = rows.withColumn("part", part).repartition(8, "doc_id").persist()
     try:
-        seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.min(F.when(F.col("part") >= 6, F.col("label"))).alias("least"), F.max(F.when(F.col("part") >= 6, F.col("label"))).alias("most")).first()
+        seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.min(F.when(F.col("part").between(6, 9), F.col("label"))).alias("least"), F.max(F.when(F.col("part").between(6, 9), F.col("label"))).alias("most")).first()
         if not seen["n"] or seen["least"] == seen["most"]:
             return ToxicityModel(Features(), None, [], float(seen["rate"] or 0.0))
         lexicon = learn_lexicon(rows.where("part < 6").select("text", "label"))
@@ -194,5 +194,5 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """docs without the rows whose score reaches the threshold. Rows with null or empty texts are scored like any other."""
     model = train(docs, labels, **options)
-    scored = model.score(docs, tuple(dict.fromkeys([*docs.columns, "text"])))
-    return scored.where(F.col("score") < threshold).select(docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return model.score(whole, ("row",)).where(F.col("score") < threshold).select("row.*")
