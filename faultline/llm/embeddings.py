@@ -15,6 +15,8 @@ from faultline.llm.components import components
 from faultline.llm.tables import cut_table
 
 MARGIN = 1e-6
+#: A cell's code: the dimension, the block (of at most BLOCKS) and six bits for each of at most five grid coordinates.
+BLOCKS, GRID_BITS = 4096, 30
 
 
 @lru_cache(8)
@@ -37,6 +39,8 @@ def distinct_vectors(vectors: DataFrame, id_column: str, vector_column: str) ->
 def spread(vectors: DataFrame, threshold: float, block_dims: int, grid_dims: int) -> DataFrame:
     """Rows (cell, home, block, node, copies, u): each vector at its own cell of every block, and at those it probes.
 
+    u: the vector's bytes, in single precision where that loses nothing.
+
     Unit vectors with a cosine of at least `threshold` are within 2 - 2 * threshold of each other (squared). Rotated and
     split into blocks, in one block at least they are within the block's share of that, in proportion to its dimensions.
     The first grid_dims coordinates of a block give its cell, twice the share's radius wide; a vector probes the cells
@@ -54,12 +58,12 @@ def spread(vectors: DataFrame, threshold: float, block_dims: int, grid_dims: int
                 node, copies = (np.asarray(batch.column(c)) for c in ("node", "copies"))
                 for dim in np.unique(np.diff(of)).tolist():
                     own = np.flatnonzero(np.diff(of) == dim)
-                    u = unit_vectors(np.stack([flat[of[i] - of[0] : of[i + 1] - of[0]] for i in own]))
-                    yield from deal(u, node[own], copies[own], dim)
+                    yield from deal(np.stack([flat[of[i] - of[0] : of[i + 1] - of[0]] for i in own]), node[own], copies[own], dim)
 
-    def deal(u: np.ndarray, node: np.ndarray, copies: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
-        turned = u @ rotation(dim)
-        packed = [x.tobytes() for x in u]
+    def deal(v: np.ndarray, node: np.ndarray, copies: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+        turned = unit_vectors(v) @ rotation(dim)
+        single = v.astype(np.float32)
+        packed = [x.tobytes() if (x == y).all() else y.tobytes() for x, y in zip(single, v, strict=True)]
         for b, start in enumerate(range(0, dim, block_dims)):
             part = turned[:, start : start + block_dims]
             radius = np.sqrt(budget * part.shape[1] / dim) + MARGIN
@@ -79,9 +83,9 @@ def spread(vectors: DataFrame, threshold: float, block_dims: int, grid_dims: int
                 after = ~differs.any(axis=1) | (to[rows, first] > cell[rows, first])
                 at = np.flatnonzero(reach & after)
                 home = not any(step)
-                code = np.full(len(at), dim * 1000 + b, np.int64)
-                for j in range(to.shape[1]):
-                    code = code * 64 + (to[at, j] + 32)
+                code = np.full(len(at), (dim * BLOCKS + b) << GRID_BITS, np.int64)
+                for j in range(to.shape[1]):  # cells 64 apart share a code: more is compared then, not less
+                    code += (to[at, j] & 63) << (6 * j)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(code), pa.array(np.full(len(at), home)), pa.array(np.full(len(at), b, np.int32)), pa.array(node[at]), pa.array(copies[at]), pa.array([packed[i] for i in at], pa.binary())],
                     ["cell", "home", "block", "node", "copies", "u"],
@@ -90,6 +94,14 @@ def spread(vectors: DataFrame, threshold: float, block_dims: int, grid_dims: int
     return vectors.select("v", "node", "copies").mapInArrow(run, "cell long, home boolean, block int, node long, copies long, u binary")
 
 
+def unpack(packed: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors, in double precision, of the bytes of vectors."""
+    if len({len(x) for x in packed}) == 1:
+        kind = np.float32 if len(packed[0]) == 4 * dim else np.float64
+        return unit_vectors(np.frombuffer(b"".join(packed), kind).reshape(len(packed), dim).astype(np.float64))
+    return unit_vectors(np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * dim else np.float64).astype(np.float64) for x in packed]))
+
+
 def meet(dealt: DataFrame, threshold: float, block_dims: int, tile: int = 2048, most: int = 20_000) -> DataFrame:
     """(a, b, n): vectors that verified links lead from a to b, or for b null how many copies a is linked with.
 
@@ -97,13 +109,14 @@ def meet(dealt: DataFrame, threshold: float, block_dims: int, tile: int = 2048,
     them. A task holds one shard's home rows and streams the other rows of the cell past them, in tiles: block distances
     first, then exact cosines of what is within the block's share. A pair counts in the first block that finds it.
     """
-    sizes = dealt.where("home").groupBy("cell").count().select("cell", F.ceil(F.col("count") / most).cast("int").alias("shards"))
-    rows = dealt.join(sizes, "cell")
-    spread_home = rows.where("home").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("role", F.lit(0))
-    # Home rows meet the home rows of every shard from their own on, so that each pair of them meets once.
-    visits = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("shard", F.explode(F.when(F.col("home"), F.sequence(F.col("own"), F.col("shards") - 1)).otherwise(F.sequence(F.lit(0), F.col("shards") - 1))))
-    visits = visits.withColumn("role", F.when(F.col("home") & (F.col("own") == F.col("shard")), 1).otherwise(2)).where("not home or own < shard").select("cell", "shard", "role", "block", "node", "copies", "u")
-    both = spread_home.select("cell", "shard", "role", "block", "node", "copies", "u").unionByName(visits)
+    crowded = dealt.where("home").groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("shards")).where("shards > 1")
+    crowded = cut_table(crowded)
+    few = crowded.count() <= 100_000  # 12 bytes each: then they are sent, else joined by a shuffle
+    rows = dealt.join(F.broadcast(crowded) if few else crowded, "cell", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    own = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).otherwise(F.lit(-1))
+    # Home rows also visit the home rows of later shards, so that each pair of them meets once.
+    stops = F.transform(F.sequence(F.greatest(own, F.lit(0)), F.col("shards") - 1), lambda k: F.struct(k.alias("shard"), F.when(k == own, 0).otherwise(2).alias("role")))
+    both = rows.withColumn("stop", F.explode(stops)).select("cell", "stop.shard", "stop.role", "block", "node", "copies", "u")
     ordered = both.repartition("cell", "shard").sortWithinPartitions("cell", "shard", "role", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +131,7 @@ def meet(dealt: DataFrame, threshold: float, block_dims: int, tile: int = 2048,
                 if (cell[a], shard[a]) != key:
                     yield from held.links()
                     key, held = (cell[a], shard[a]), Home()
-                vectors = np.frombuffer(b"".join(u.slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
+                vectors = unpack(u.slice(a, b - a).to_pylist(), (int(cell[a]) >> GRID_BITS) // BLOCKS)
                 if role[a] == 0:
                     held.add(vectors, node[a:b], copies[a:b], int(block[a]))
                 else:
