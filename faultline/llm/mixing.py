@@ -72,7 +72,7 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, seed: int
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.substring("text", 1, 64), F.lit(seed)).alias("draw"),
+        F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce(F.col("text"), F.lit("")), F.lit(seed)).alias("draw"),
     ).withColumn("slice", F.pmod(F.shiftright("draw", 20), F.lit(buckets)).cast("int"))
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     inside = Window.partitionBy("source").orderBy("slice")
