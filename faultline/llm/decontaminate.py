@@ -104,7 +104,7 @@ def decontaminate(
     benchmark: DataFrame,
     window: int = 10,
     block_words: int = 2_000_000,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Finds every benchmark phrase in every document.
 
@@ -153,7 +153,7 @@ def scan_block(docs: DataFrame, block: DataFrame, window: int, shard_bytes: int,
     return docs.mapInArrow(scan, schema)
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 4 << 20) -> DataFrame:
+def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 1 << 20) -> DataFrame:
     """(key_id, key_text, n_words, spans, items) for each distinct id and text."""
     return merge_findings([scan_block(doc_key(docs.select("doc_id", "text")).drop("doc_id"), b, window, shard_bytes) for b in blocks_of(benchmark, block_words)], ["key_id", "key_text"])
 
@@ -175,7 +175,7 @@ def merge_findings(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return merged.withColumn("spans", cut_spans)
 
 
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 4 << 20) -> DataFrame:
+def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 1 << 20) -> DataFrame:
     """A row for each row of docs, without their texts: doc_id, n_words, spans, items. No shuffle while the benchmark is one block."""
     blocks = blocks_of(benchmark, block_words)
     if len(blocks) == 1:
@@ -185,7 +185,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_w
     return keyed.drop("text").join(merge_findings([scan_block(keyed.drop("doc_id"), b, window, shard_bytes) for b in blocks], ["key_id", "key_text"]), ["key_id", "key_text"]).drop("key_id", "key_text")
 
 
-def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 4 << 20) -> DataFrame:
+def remove_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, shard_bytes: int = 1 << 20) -> DataFrame:
     """docs without the text from the first to the last word of each span that benchmark phrases cover.
 
     Documents of which no word is left go; null texts and texts without hits stay as they are. With a benchmark of one

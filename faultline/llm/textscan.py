@@ -69,7 +69,7 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, off)
 
 
-@lru_cache(4)
+@lru_cache(2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     p, q = np.full(n + 1, BASE), np.full(n + 1, BASE_INV)
     p[0] = q[0] = 1

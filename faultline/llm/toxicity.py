@@ -76,7 +76,7 @@ class Features:
         if not n:
             return [0.0] * len(FEATURES)
         known = self.known
-        if len(known) > 100_000:
+        if len(known) > 50_000:
             known.clear()
         for w in set(raw).difference(known):
             known[w] = self.look_up(w)
