@@ -121,14 +121,17 @@ def long_fingerprint_of(text: bytes, shingle: int, lanes: int) -> list[int]:
     return out
 
 
-def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 6) -> DataFrame:
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 6, tile: int = 2000) -> DataFrame:
     """(doc_id, component_id) for each row: near-duplicates by Jaccard similarity of word shingles.
 
     A similarity of 0.8 leaves some 15 % of a SimHash's bits different, far beyond the balls that can be emitted for one
     64-bit fingerprint. So texts get 64 * lanes bits; each 32-bit block of these is a fingerprint of its own, whose ball
     of radius 1 is emitted once for all texts that share it, and two texts meet if they differ by 2 bits at most in any
-    block. Pairs that meet (each with the one before it and the first of its group) are verified on all bits: no more may differ than the similarity
+    block. Pairs that meet are verified on all bits: no more may differ than the similarity
     leads to expect. With 12 blocks a pair of similarity 0.8 meets with probability 0.78, of 0.9 with 0.99.
+
+    Every pair that meets is settled, in two rounds. The first verifies few pairs of each group and joins near copies to
+    classes. The second compares all pairs of a group that are not of one class yet, large groups in tiles of `tile` texts.
     """
     share = acos(2 * similarity / (1 + similarity)) / pi
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -140,25 +143,71 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     fps = cut_table(docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp array<long>").withColumn("node", F.xxhash64("fp")))
     nodes = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
-    half = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    blocks = nodes.select("node", F.posexplode(F.flatten(half)).alias("block", "part"))
-    # Texts with an equal block meet without a ball: each with the first of them, which alone emits the ball.
-    reps = blocks.groupBy("block", "part").agg(F.min("node").alias("rep"))
-    equal = blocks.join(reps, ["block", "part"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    near = F.concat(F.array("part"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("part").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    met = reps.select("rep", F.explode(F.transform(near, lambda v: F.call_function("shiftleft", F.col("block").cast("long"), F.lit(32)).bitwiseOR(v))).alias("v"))
-    order = Window.partitionBy("v").orderBy("rep")
-    pairs = met.select("rep", F.array(F.lag("rep").over(order), F.first("rep").over(order)).alias("with"))
-    pairs = pairs.where(F.col("with")[0].isNotNull()).select(F.explode(F.array_distinct("with")).alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.unionByName(equal).where("a <> b").distinct()
-    one, other = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    links = pairs.join(one, "a").join(other, "b").where(differ <= int(share * 64 * lanes)).select("a", "b")
-    roots = nodes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    alike = differ <= int(share * 64 * lanes)
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        one, other = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
+        return pairs.join(one, "a").join(other, "b").where(alike).select("a", "b")
+
+    blocks = block_codes(nodes)
+    reps = blocks.groupBy("code").agg(F.min("node").alias("rep"))
+    crowd = cut_table(ball_groups(reps))
+    order = Window.partitionBy("v").orderBy("code")
+    chain = crowd.select(F.col("code").alias("d"), F.array(F.lag("code").over(order), F.first("code").over(order)).alias("with"))
+    chain = chain.select("d", F.explode("with").alias("c")).where("c <> d").distinct()
+    c, d = reps.select(F.col("code").alias("c"), F.col("rep").alias("a")), reps.select(F.col("code").alias("d"), F.col("rep").alias("b"))
+    equal = blocks.join(reps, "code").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    few = chain.join(c, "c").join(d, "d").select("a", "b").unionByName(equal).where("a <> b").distinct()
+    classes = nodes.select("node", "fp", "least").join(components(settled(few)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = cut_table(classes)
+    links = settled(open_pairs(classes, crowd, alike, tile))
+    at = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
+    joined = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).withColumnRenamed("root", "top")
+    roots = classes.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(roots.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+def block_codes(nodes: DataFrame) -> DataFrame:
+    """(node, code): a row for each 32-bit block of a fingerprint, its number in the upper half of the code."""
+    half = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))
+    parts = nodes.select("node", F.posexplode(F.flatten(half)).alias("block", "part"))
+    return parts.select("node", F.call_function("shiftleft", F.col("block").cast("long"), F.lit(32)).bitwiseOR(F.col("part")).alias("code"))
+
+
+def ball_groups(codes: DataFrame) -> DataFrame:
+    """(v, code) for distinct codes that share a value v of their balls of radius 1 with another: at most 33 for each v."""
+    one = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    met = codes.select("code", F.explode(F.concat(F.array("code"), one)).alias("v"))
+    order = Window.partitionBy("v").orderBy("code")
+    near = met.select("v", "code", F.lag("code").over(order).alias("before"), F.lead("code").over(order).alias("after"))
+    return near.where("before is not null or after is not null").select("v", "code")
+
+
+def open_pairs(classes: DataFrame, crowd: DataFrame, alike, tile: int) -> DataFrame:
+    """(a, b), distinct: all pairs of nodes of different roots whose codes in a block are equal or share a ball, and that are alike.
+
+    classes: (node, fp, root). A code's nodes are dealt to tiles of about `tile`; each pair of tiles is a group of its own.
+    """
+    blocks = block_codes(classes).join(classes.select("node", "root"), "node")
+    groups = blocks.groupBy("code").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    groups = groups.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    side = lambda c: groups.select(F.col("code").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("lo", "hi", "tiles")])
+    near = crowd.select("v", F.col("code").alias("c")).join(crowd.select("v", F.col("code").alias("d")), "v").where("c < d").select("c", "d").distinct()
+    near = near.join(side("c"), "c").join(side("d"), "d").where("least(lo_c, lo_d) <> greatest(hi_c, hi_d)").select("c", "d", "tiles_c", "tiles_d")
+    same = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"), F.col("tiles").alias("tiles_c"), F.col("tiles").alias("tiles_d"))
+    met = cut_table(near.unionByName(same))
+    rows = blocks.join(met.select(F.explode(F.array("c", "d")).alias("code")).distinct(), "code", "left_semi").join(classes.select("node", "fp"), "node")
+    left = rows.select(F.col("code").alias("c"), F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("x")).join(met, "c")
+    left = left.withColumn("i", F.expr("cast(pmod(xxhash64(a), tiles_c) as int)")).withColumn("j", F.explode(F.expr("sequence(if(c = d, i, 0), tiles_d - 1)")))
+    right = rows.select(F.col("code").alias("d"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("y")).join(met, "d")
+    right = right.withColumn("j", F.expr("cast(pmod(xxhash64(b), tiles_d) as int)")).withColumn("i", F.explode(F.expr("sequence(0, if(c = d, j, tiles_c - 1))")))
+    found = left.drop("tiles_c", "tiles_d").join(right.drop("tiles_c", "tiles_d"), ["c", "d", "i", "j"])
+    found = found.where("root_a <> root_b and (c <> d or i <> j or a < b)").where(alike)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class (doc_id, component_id).
 

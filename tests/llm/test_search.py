@@ -153,3 +153,40 @@ def test_registered(spark, docs):
     assert (got.loc[got["n_items"] == 0, "items_sha256"] == none).all()
     prints = queries.op5_simhash(spark, sf).toPandas()
     assert prints["fingerprint"].str.fullmatch("[0-9a-f]{16}").all()
+
+
+def like_texts(seed=3, n=240, template=260):
+    """Texts with one long passage in common, many of them edited copies of each other; some of few words."""
+    rng = np.random.default_rng(seed)
+    shared, out = [f"t{k}" for k in range(template)], []
+    for i in range(n):
+        if i % 3 and i > 3:
+            w = out[int(rng.integers(max(0, i - 40), i))].split()
+            for k in rng.integers(0, len(w), int(rng.integers(1, 9))):
+                w[k] = f"e{i}x{k}"
+        elif i % 24 == 0:
+            w = [f"s{i}x{k}" for k in range(int(rng.integers(4, 14)))]
+        else:
+            w = shared + [f"o{i}x{k}" for k in range(int(rng.integers(40, 110)))]
+        out.append(" ".join(w))
+    return out
+
+
+def shingle_set(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def meet(p, q):
+    return any(bin((x ^ y) >> shift & 0xFFFFFFFF).count("1") <= 2 for x, y in zip(p, q, strict=True) for shift in (0, 32))
+
+
+def test_all_similar_pairs_that_meet_are_in_one_class(spark):
+    texts = like_texts()
+    got = dict(simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile=7).collect())
+    sets, fps = [shingle_set(t) for t in texts], [simhash.long_fingerprint_of(t.encode(), 5, 6) for t in texts]
+    bits = lambda p, q: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(p, q, strict=True))
+    jaccard = lambda p, q: len(p & q) / len(p | q)
+    due = [(i, j) for j in range(len(texts)) for i in range(j) if meet(fps[i], fps[j]) and jaccard(sets[i], sets[j]) >= 0.8 and bits(fps[i], fps[j]) <= 55]
+    assert len(due) > 100
+    assert [(i, j) for i, j in due if got[i] != got[j]] == []
