@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from faultline.llm.tables import cut_table
 from faultline.llm.textscan import slices
 
 HASH_SEED = 42
+#: Sets of fewer shingles are not judged by their bits.
+SMALL = 32
 
 
 def fingerprint_of(text: bytes, shingle: int) -> int:
@@ -100,17 +102,34 @@ def simhash_classes(docs: DataFrame, shingle: int = 5, bits: int = 2, id_column:
     return fps.join(classes, "fp").select(id_column, "fp", "component_id")
 
 
-def long_fingerprint_of(text: bytes, shingle: int, lanes: int) -> list[int]:
-    """A SimHash of 64 * lanes bits, as signed 64-bit numbers; without words all 0."""
+def shingle_codes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
-    from faultline.llm.textscan import BASE, mix
-
     h, words = xxhash.xxh64_intdigest, text.lower().split()
     if not words:
-        return [0] * lanes
+        return np.zeros(0, np.uint64)
     grams = [words] if len(words) <= shingle else zip(*(words[i:] for i in range(shingle)), strict=False)
-    codes = np.array([h(b" ".join(g), HASH_SEED) for g in grams], np.uint64)
+    return np.unique(np.array([h(b" ".join(g), HASH_SEED) for g in grams], np.uint64))
+
+
+def set_name(codes: np.ndarray) -> int:
+    """A hash of a set of shingles, as a signed number."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(codes.tobytes(), HASH_SEED)).astype(np.int64))
+
+
+def long_fingerprint_of(text: bytes, shingle: int, lanes: int) -> list[int]:
+    """A SimHash of 64 * lanes bits of a text's distinct shingles, as signed 64-bit numbers; without words all 0."""
+    return long_fingerprint(shingle_codes(text, shingle), lanes)
+
+
+def long_fingerprint(codes: np.ndarray, lanes: int) -> list[int]:
+    from faultline.llm.textscan import BASE, mix
+
+    if not len(codes):
+        return [0] * lanes
     offsets, out = np.arange(lanes, dtype=np.uint64) * BASE, []
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
@@ -127,28 +146,47 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     A similarity of 0.8 leaves some 15 % of a SimHash's bits different, far beyond the balls that can be emitted for one
     64-bit fingerprint. So texts get 64 * lanes bits; each 32-bit block of these is a fingerprint of its own, whose ball
     of radius 1 is emitted once for all texts that share it, and two texts meet if they differ by 2 bits at most in any
-    block. Pairs that meet are verified on all bits: no more may differ than the similarity
-    leads to expect. With 12 blocks a pair of similarity 0.8 meets with probability 0.78, of 0.9 with 0.99.
+    block. With 12 blocks a pair of similarity 0.8 meets with probability 0.78, of 0.9 with 0.99. Pairs that meet are
+    decided by the exact Jaccard similarity of their sets of shingles, which are read again for these texts alone. Before
+    that go pairs whose numbers of shingles rule it out, and pairs that differ in more bits than expected by six
+    standard deviations; sets of under SMALL shingles, whose bits are no fair sample, are spared that.
 
     Every pair that meets is settled, in two rounds. The first verifies few pairs of each group and joins near copies to
     classes. The second compares all pairs of a group that are not of one class yet, large groups in tiles of `tile` texts.
     """
     share = acos(2 * similarity / (1 + similarity)) / pi
     kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([long_fingerprint_of(t, shingle, lanes) for t in texts], pa.list_(pa.int64()))], ["doc_id", "fp"])
+            sets = [shingle_codes(t, shingle) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            columns = [[set_name(c) for c in sets], [len(c) for c in sets], [long_fingerprint(c, lanes) for c in sets]]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *map(pa.array, columns, kinds)], ["doc_id", "mark", "node", "n", "fp"])
+
+    def scan_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [shingle_codes(t, shingle).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "codes"])
 
-    fps = cut_table(docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp array<long>").withColumn("node", F.xxhash64("fp")))
-    nodes = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
+    fps = cut_table(texts.mapInArrow(scan, f"doc_id {kind}, mark long, node long, n long, fp array<long>"))
+    nodes = fps.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.min(F.struct("mark", "doc_id")).alias("pick"))
+    nodes = cut_table(nodes)
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    alike = differ <= int(share * 64 * lanes)
+    bits = 64 * lanes
+    near_bits = (F.least("n_a", "n_b") < SMALL) | (differ <= int(share * bits + 6 * sqrt(share * (1 - share) * bits)))
+    alike = (F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity) & near_bits
 
     def settled(pairs: DataFrame) -> DataFrame:
-        one, other = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
-        return pairs.join(one, "a").join(other, "b").where(alike).select("a", "b")
+        """Those of the pairs (a, b) that are similar."""
+        pairs = cut_table(pairs)
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "pick")
+        found = texts.alias("t").join(asked, (F.col("t.mark") == F.col("pick.mark")) & F.col("t.doc_id").eqNullSafe(F.col("pick.doc_id"))).select("node", "text")
+        sets = cut_table(found.dropDuplicates(["node"]).mapInArrow(scan_sets, "node long, codes array<long>"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut_table(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"))
 
     blocks = block_codes(nodes)
     reps = blocks.groupBy("code").agg(F.min("node").alias("rep"))
@@ -159,7 +197,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     c, d = reps.select(F.col("code").alias("c"), F.col("rep").alias("a")), reps.select(F.col("code").alias("d"), F.col("rep").alias("b"))
     equal = blocks.join(reps, "code").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     few = chain.join(c, "c").join(d, "d").select("a", "b").unionByName(equal).where("a <> b").distinct()
-    classes = nodes.select("node", "fp", "least").join(components(settled(few)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    one, other = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("y"))
+    few = few.join(one, "a").join(other, "b").where(alike).select("a", "b")
+    classes = nodes.select("node", "n", "fp", "least").join(components(settled(few)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = cut_table(classes)
     links = settled(open_pairs(classes, crowd, alike, tile))
     at = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
@@ -170,9 +210,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
 
 def block_codes(nodes: DataFrame) -> DataFrame:
-    """(node, code): a row for each 32-bit block of a fingerprint, its number in the upper half of the code."""
+    """(node, code): a row for each 32-bit block of a fingerprint, its number in the upper half of the code. Texts without words have none."""
     half = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    parts = nodes.select("node", F.posexplode(F.flatten(half)).alias("block", "part"))
+    parts = nodes.where("n > 0").select("node", F.posexplode(F.flatten(half)).alias("block", "part"))
     return parts.select("node", F.call_function("shiftleft", F.col("block").cast("long"), F.lit(32)).bitwiseOR(F.col("part")).alias("code"))
 
 
@@ -188,7 +228,7 @@ def ball_groups(codes: DataFrame) -> DataFrame:
 def open_pairs(classes: DataFrame, crowd: DataFrame, alike, tile: int) -> DataFrame:
     """(a, b), distinct: all pairs of nodes of different roots whose codes in a block are equal or share a ball, and that are alike.
 
-    classes: (node, fp, root). A code's nodes are dealt to tiles of about `tile`; each pair of tiles is a group of its own.
+    classes: (node, n, fp, root). A code's nodes are dealt to tiles of about `tile`; each pair of tiles is a group of its own.
     """
     blocks = block_codes(classes).join(classes.select("node", "root"), "node")
     groups = blocks.groupBy("code").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -198,10 +238,10 @@ def open_pairs(classes: DataFrame, crowd: DataFrame, alike, tile: int) -> DataFr
     near = near.join(side("c"), "c").join(side("d"), "d").where("least(lo_c, lo_d) <> greatest(hi_c, hi_d)").select("c", "d", "tiles_c", "tiles_d")
     same = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"), F.col("tiles").alias("tiles_c"), F.col("tiles").alias("tiles_d"))
     met = cut_table(near.unionByName(same))
-    rows = blocks.join(met.select(F.explode(F.array("c", "d")).alias("code")).distinct(), "code", "left_semi").join(classes.select("node", "fp"), "node")
-    left = rows.select(F.col("code").alias("c"), F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("x")).join(met, "c")
+    rows = blocks.join(met.select(F.explode(F.array("c", "d")).alias("code")).distinct(), "code", "left_semi").join(classes.select("node", "n", "fp"), "node")
+    left = rows.select(F.col("code").alias("c"), F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("fp").alias("x")).join(met, "c")
     left = left.withColumn("i", F.expr("cast(pmod(xxhash64(a), tiles_c) as int)")).withColumn("j", F.explode(F.expr("sequence(if(c = d, i, 0), tiles_d - 1)")))
-    right = rows.select(F.col("code").alias("d"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("y")).join(met, "d")
+    right = rows.select(F.col("code").alias("d"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("fp").alias("y")).join(met, "d")
     right = right.withColumn("j", F.expr("cast(pmod(xxhash64(b), tiles_d) as int)")).withColumn("i", F.explode(F.expr("sequence(0, if(c = d, j, tiles_c - 1))")))
     found = left.drop("tiles_c", "tiles_d").join(right.drop("tiles_c", "tiles_d"), ["c", "d", "i", "j"])
     found = found.where("root_a <> root_b and (c <> d or i <> j or a < b)").where(alike)

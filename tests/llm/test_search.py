@@ -190,3 +190,18 @@ def test_all_similar_pairs_that_meet_are_in_one_class(spark):
     due = [(i, j) for j in range(len(texts)) for i in range(j) if meet(fps[i], fps[j]) and jaccard(sets[i], sets[j]) >= 0.8 and bits(fps[i], fps[j]) <= 55]
     assert len(due) > 100
     assert [(i, j) for i, j in due if got[i] != got[j]] == []
+
+
+def test_classes_are_those_of_exact_similarity(spark):
+    texts = like_texts(seed=4)
+    texts += ["w " * 400, "w " * 200 + " ".join(f"q{k}" for k in range(60)), None, "", texts[5].upper()]
+    got = dict(simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile=7).collect())
+    sets, fps = [shingle_set(t or "") for t in texts], [simhash.long_fingerprint_of((t or "").encode(), 5, 6) for t in texts]
+    similar = [(i, j) for j in range(len(texts)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in similar:
+        if sets[i] == sets[j] or meet(fps[i], fps[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    assert [got[i] for i in range(len(texts))] == root
+    assert sum(got[i] == got[j] for i, j in similar) / len(similar) > 0.9
