@@ -8,7 +8,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm import textscan as ts
@@ -155,7 +155,7 @@ def parse(pages: DataFrame, hot: dict[str, int]) -> DataFrame:
                 marked.append(page.article is not None)
                 text.append(" ".join(page.article) if page.article is not None else "")
                 stream.append("\n".join(page.other if page.article is not None else page.kept))
-            salt = [d % hot[h] if h in hot else 0 for h, d in zip(hosts, draws, strict=True)]
+            salt = [d % hot[h] if h in hot else -1 for h, d in zip(hosts, draws, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(salt, pa.int32()), part.column("draw"), pa.array(marked), pa.array(text, pa.string()), pa.array(stream, pa.string())],
                 ["page_id", "url", "host", "salt", "draw", "marked", "text", "stream"],
@@ -202,6 +202,45 @@ def repeated_tokens(streams: list[str], run_tokens: int) -> list[np.ndarray]:
     return [hit[at[i] : at[i] + k] for i, k in enumerate(n.tolist())]
 
 
+def windows(streams: list[str], run_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all windows of run_tokens tokens, their first tokens, and where each stream's tokens start."""
+    data, off = ts.buffer(pa.array(streams, pa.string()))
+    starts, ends, of = ts.words(data, off, ~ts.SPACES)
+    stream = np.repeat(np.arange(len(streams)), np.diff(of))
+    at = np.flatnonzero(np.arange(len(stream)) + run_tokens <= np.asarray(of)[1:][stream])
+    if not len(at):
+        return np.zeros(0, np.int64), at, of
+    roll = ts.Rolling(ts.hashes(data, starts, ends) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return roll.of(at, at + run_tokens).view(np.int64), at, of
+
+
+def named_tokens(streams: list[str], run_tokens: int, names: np.ndarray) -> list[np.ndarray]:
+    """For each stream, which of its tokens are covered by windows of these names."""
+    name, at, of = windows(streams, run_tokens)
+    at = at[np.isin(name, names)]
+    change = np.zeros(of[-1] + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + run_tokens, -1)
+    return np.split(np.cumsum(change)[:-1] > 0, of[1:-1])
+
+
+def shared_windows(parsed: DataFrame, run_tokens: int) -> DataFrame:
+    """(host, salt, name): the windows of each share of a host that another share of it holds too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ts.slices(batches, "stream"):
+            host, salt, streams = (part.column(c).to_pylist() for c in ("host", "salt", "stream"))
+            shares: dict[tuple[str, int], list[str]] = {}
+            for h, k, x in zip(host, salt, streams, strict=True):
+                shares.setdefault((h, k), []).append(x)
+            for (h, k), some in shares.items():
+                names = np.unique(windows(some, run_tokens)[0])
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(names), pa.string()), pa.array([k] * len(names), pa.int32()), pa.array(names)], ["host", "salt", "name"])
+
+    held = parsed.select("host", "salt", "stream").mapInArrow(run, "host string, salt int, name long").distinct()
+    return held.withColumn("shares", F.count("*").over(Window.partitionBy("host", "name"))).where("shares > 1").drop("shares")
+
+
 def extract(pages: DataFrame, run_tokens: int = 10, host_pages: int = 2000, id_column: str = "page_id") -> DataFrame:
     """(page_id, url, text, n_boilerplate) for each row of pages (page_id, url, html).
 
@@ -211,44 +250,53 @@ def extract(pages: DataFrame, run_tokens: int = 10, host_pages: int = 2000, id_c
     blocks when those are removed whose words are all inside runs of at least run_tokens words that other pages of the
     host hold as well; a page of which nothing would remain is left whole.
 
-    The runs come from suffix arrays over the token streams of a host's pages, at most host_pages at a time. Pages are
-    shuffled by host; hosts with very many pages are dealt by page as well, each share finding the host's runs on its
-    own. n_boilerplate counts the covered words (for marked pages, among the words outside the article).
+    The runs come from suffix arrays over the token streams of a host's pages. Pages are shuffled by host; those of hosts
+    with over host_pages are dealt by page as well, to shares of about host_pages. Runs that pages of different shares
+    hold are found by the hashes of all windows of run_tokens words and sent to the shares that hold them, so the result
+    doesn't depend on how pages are dealt. n_boilerplate counts the covered words (for marked pages, among the words outside the article).
 
     Null html gives an empty text, null urls are one host; rows that repeat are treated alike; an empty table gives no
     rows. Other columns are not read.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
-    rows = pages.select(F.col(id_column).alias("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"), F.pmod(F.xxhash64(id_column, "url"), F.lit(1 << 40)).alias("draw"))
+    rows = pages.select(F.col(id_column).alias("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"), F.pmod(F.xxhash64(id_column, "url", "html"), F.lit(1 << 40)).alias("draw"))
     counts = rows.groupBy("host").count()
-    hot = {r["host"]: -(-r["count"] // host_pages) for r in counts.where(F.col("count") > host_pages).orderBy(F.desc("count")).limit(5000).collect()}
+    hot = {r["host"]: -(-r["count"] // host_pages) for r in counts.where(F.col("count") > host_pages).collect()}
     parsed = parse(rows, hot)
-    ordered = parsed.repartition("host", "salt").sortWithinPartitions("host", "salt", "draw")
+    every = parsed.withColumn("name", F.lit(None).cast("long"))
+    if hot:  # pages are parsed again for the names: a second read takes less than the disk of a parsed copy
+        every = every.unionByName(shared_windows(parsed.where("salt >= 0"), run_tokens), allowMissingColumns=True)
+    ordered = every.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("name").desc_nulls_last(), "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key, count = None, 0
+        names: list[np.ndarray] = []
+        key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             host, salt = batch.column("host").to_pylist(), np.asarray(batch.column("salt"))
             cuts = [0, *(i for i in range(1, len(host)) if host[i] != host[i - 1] or salt[i] != salt[i - 1]), len(host)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                while a < b:
-                    if held and ((host[a], salt[a]) != key or count >= host_pages):
-                        yield finish(held)
-                        held, count = [], 0
-                    key = (host[a], salt[a])
-                    take = min(b - a, host_pages - count)
-                    held.append(batch.slice(a, take))
-                    count, a = count + take, a + take
+                if (host[a], salt[a]) != key:
+                    if held:
+                        yield finish(held, names)
+                    key, held, names = (host[a], salt[a]), [], []
+                piece = batch.slice(a, b - a)
+                first = len(piece) - piece.column("name").null_count  # the names come before the pages
+                if first:
+                    names.append(piece.column("name").slice(0, first).to_numpy())
+                if first < len(piece):
+                    held.append(piece.slice(first))
         if held:
-            yield finish(held)
+            yield finish(held, names)
 
-    def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def finish(held: list[pa.RecordBatch], names: list[np.ndarray]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         streams = t.column("stream").to_pylist()
         covered = repeated_tokens(streams, run_tokens)
+        if names:
+            covered = [c | o for c, o in zip(covered, named_tokens(streams, run_tokens, np.concatenate(names)), strict=True)]
         text = t.column("text").to_pylist()
         for i, marked in enumerate(t.column("marked").to_pylist()):
             if not marked:

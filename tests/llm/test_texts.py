@@ -78,6 +78,21 @@ def test_extraction(spark):
     assert [got[10 + i].text for i in range(4)] == [f"own words of page number {i} are kept" for i in range(4)]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
+def test_a_host_in_shares_gives_what_it_gives_as_a_whole(spark):
+    rng = np.random.default_rng(8)
+    w = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    menu, rare = w(30), [w(15) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        own = [w(int(rng.integers(8, 40))), rare[i // 2]]  # each rare block is on two pages
+        mark = f"<article><p>{w(12)}</p></article>" if i % 6 == 0 else ""
+        rows.append((i, f"http://{'big' if i < 55 else 'small'}.example.com/{i}", f"<body><div>{menu}</div>{mark}{''.join(f'<div>{x}</div>' for x in own)}</body>"))
+    pages = spark.createDataFrame(rows + [rows[3], rows[3]], "page_id long, url string, html string")
+    result = lambda n: sorted(map(tuple, html.extract(pages, host_pages=n).collect()))
+    whole = result(2000)
+    assert sum(r[3] > 30 for r in whole) > 40
+    assert result(20) == whole and result(4) == whole and result(1) == whole
+
 
 def labelled(spark, n=900):
     rng = np.random.default_rng(0)
