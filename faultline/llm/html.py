@@ -40,11 +40,21 @@ def hints(attributes: str) -> set[str]:
 
 
 class Page:
-    """Parts a page into blocks. article: the blocks of the main text, or None if no element marks it; other: the rest."""
+    """Parts a page into blocks. article: the blocks of the main text, or None if no element marks any; other: the rest.
+
+    An article is looked for first, then a main element. What only a comment, a script or a section of readers' comments
+    holds, or what is empty, marks nothing: the next is tried.
+    """
 
     def __init__(self, html: str):
-        marks = [m[1].lower() if m[1] else "main" for m in _ANY_MAIN.finditer(html)]
-        self.wanted = "article" if "article" in marks else "main" if marks else None
+        marks = {m[1].lower() if m[1] else "main" for m in _ANY_MAIN.finditer(html)}
+        for wanted in [w for w in ("article", "main") if w in marks] + [None]:
+            self.read(html, wanted)
+            if self.article:
+                break
+
+    def read(self, html: str, wanted: str | None) -> None:
+        self.wanted = wanted
         self.article: list[str] | None = [] if self.wanted else None
         self.other: list[str] = []
         self.kept: list[str] = []  # without a marked article: blocks that no element or hint rules out

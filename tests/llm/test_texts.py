@@ -93,6 +93,18 @@ def test_a_host_in_shares_gives_what_it_gives_as_a_whole(spark):
     assert sum(r[3] > 30 for r in whole) > 40
     assert result(20) == whole and result(4) == whole and result(1) == whole
 
+def test_main_text_is_marked_by_elements_only():
+    body = "<main><p>the text</p><section class='comments'><article class='comment'>a reader</article></section></main><p>rest</p>"
+    assert html.Page(body).article == ["the text"]
+    assert html.Page("<main><p>the text</p><article class='comment'>a reader</article></main>").article is not None
+    assert "the text" in html.Page("<main><p>the text</p><article class='comment'>a reader</article></main>").article
+    assert html.Page("<script>x = '<article>'</script><div role=main>the text</div>").article == ["the text"]
+    for unmarked in ("<!-- <article> --><p>the text</p>", "<article> </article><main></main><p>the text</p>", "<script>'<main>'</script><p>the text</p>"):
+        page = html.Page(unmarked)
+        assert page.article is None and page.kept == ["the text"]
+    both = html.Page("<main><p>around</p><article>the text</article></main>")
+    assert both.article == ["the text"] and both.other == ["around"]
+
 
 def labelled(spark, n=900):
     rng = np.random.default_rng(0)
