@@ -180,7 +180,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_w
     blocks = blocks_of(benchmark, block_words)
     if len(blocks) == 1:
         got = scan_block(docs.select("doc_id", F.col("text").cast("string").alias("text")), blocks[0], window, shard_bytes)
-        return got.withColumn("items", F.array_sort("items"))
+        return got.withColumn("items", F.array_sort(F.array_distinct("items")))
     keyed = doc_key(docs.select("doc_id", "text"))
     return keyed.drop("text").join(merge_findings([scan_block(keyed.drop("doc_id"), b, window, shard_bytes) for b in blocks], ["key_id", "key_text"]), ["key_id", "key_text"]).drop("key_id", "key_text")
 

@@ -205,3 +205,10 @@ def test_classes_are_those_of_exact_similarity(spark):
             root = [min(a, b) if r in (a, b) else r for r in root]
     assert [got[i] for i in range(len(texts))] == root
     assert sum(got[i] == got[j] for i, j in similar) / len(similar) > 0.9
+
+
+def test_items_that_stand_twice_are_named_once(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "one two three"), (7, "four five six"), (None, "two three four"), (None, "three four five")], "item_id long, text string")
+    for block in (2_000_000, 3):
+        assert [r["items"] for r in decontaminate.phrase_hits(docs, bench, window=3, block_words=block).collect()] == [["", "7"]]
