@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import cut
+from faultline.llm.tables import cut_table, drop_tables
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,24 +17,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round every node points to the neighbour (or itself) with the least pseudo-random priority, and the graph is
     contracted along these pointers. Priorities are drawn anew each round, so paths shrink by a constant factor and the
     edges left decline geometrically. Pointers are grouped with map-side combine and joined back by shuffle; nothing is
-    collected. An empty graph gives no rows.
+    collected, and the tables of a round go when the next has replaced them. The result is a table of cut_table. An empty
+    graph gives no rows.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    edges = cut_table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = cut_table(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     for turn in range(max_rounds):
         if edges.isEmpty():
+            drop_tables(edges)
             return labels
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("to"))
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.min(F.least(rank("a"), rank("b")))["to"].alias("to"))
-        to = cut(to)
-        edges = cut(
-            edges.join(to, "a")
-            .select(F.col("to").alias("x"), F.col("b").alias("a"))
-            .join(to, "a")
-            .select(F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        labels = cut(labels.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        to = cut_table(both.groupBy("a").agg(F.min(F.least(rank("a"), rank("b")))["to"].alias("to")))
+        moved = edges.join(to, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(to, "a")
+        fewer = cut_table(moved.select(F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b")).where("a <> b").distinct())
+        named = cut_table(labels.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        drop_tables(edges, labels, to)
+        edges, labels = fewer, named
     raise RuntimeError(f"no convergence in {max_rounds} rounds")

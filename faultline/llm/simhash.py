@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.llm import textscan as ts
 from faultline.llm.components import components
-from faultline.llm.tables import cut_table
+from faultline.llm.tables import cut_table, drop_tables
 from faultline.llm.textscan import slices
 
 HASH_SEED = 42
@@ -102,166 +104,253 @@ def simhash_classes(docs: DataFrame, shingle: int = 5, bits: int = 2, id_column:
     return fps.join(classes, "fp").select(id_column, "fp", "component_id")
 
 
-def shingle_codes(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted; a text of fewer words is one shingle, one without words has none."""
-    import xxhash
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's word shingles, sorted, and where each text's begin.
 
-    h, words = xxhash.xxh64_intdigest, text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = [words] if len(words) <= shingle else zip(*(words[i:] for i in range(shingle)), strict=False)
-    return np.unique(np.array([h(b" ".join(g), HASH_SEED) for g in grams], np.uint64))
+    Words are what white space parts, A-Z lower-cased. A text of fewer words is one shingle, one without words has none.
+    """
+    data, off = ts.buffer(texts)
+    low = ts.LOWER[data]
+    starts, ends, of = ts.words(low, off, ~ts.SPACES)
+    n = np.diff(of)
+    grams = np.where(n > shingle, n - shingle + 1, np.minimum(n, 1))
+    text = np.repeat(np.arange(len(n)), grams)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(grams) - grams, grams) + of[text]
+    codes = ts.Rolling(ts.hashes(low, starts, ends)).of(at, np.minimum(at + shingle, of[text + 1]))
+    order = np.lexsort((codes, text))
+    codes, text = codes[order], text[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])
+    return codes[new], np.searchsorted(text[new], np.arange(len(n) + 1))
+
+
+def set_names(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A hash of each set of shingles; that of no shingles is 0."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ts.mix(codes + ts.BASE))))
+    return ts.mix(sums[of[1:]] - sums[of[:-1]]).view(np.int64)
+
+
+#: For each value of a byte its eight bits as eight counters of a byte each: up to 255 of them can be added at once.
+COUNTERS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+PIECE, CHUNK = 128, 1 << 15
+
+
+def long_fingerprints(codes: np.ndarray, of: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash of 64 * lanes bits of each set of shingles, a row each of signed 64-bit numbers; without shingles all 0."""
+    n = np.diff(of)
+    some = np.flatnonzero(n)
+    out = np.zeros((len(n), lanes), np.int64)
+    edges = np.union1d(of[:-1][some], np.arange(0, len(codes), PIECE))
+    first = np.searchsorted(edges, of[:-1][some])
+    offsets = np.arange(lanes, dtype=np.uint64) * ts.BASE
+    for lane in range(lanes if len(some) else 0):
+        parts = []
+        for k in range(0, len(codes), CHUNK):
+            own = edges[np.searchsorted(edges, k) : np.searchsorted(edges, k + CHUNK)] - k
+            block = ts.mix(codes[k : k + CHUNK] + offsets[lane]).view(np.uint8).reshape(-1, 8)
+            parts.append(np.add.reduceat(COUNTERS[block], own, axis=0))
+        ones = np.add.reduceat(np.concatenate(parts).view(np.uint8).reshape(-1, 64).astype(np.int64), first, axis=0)
+        out[some, lane] = np.packbits(2 * ones > n[some, None], axis=1).view(">i8")[:, 0]
+    return out
 
 
-def set_name(codes: np.ndarray) -> int:
-    """A hash of a set of shingles, as a signed number."""
-    import xxhash
+def text_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """(doc_id, node, n, fp array<long>, codes array<int>) for each row: the name of its set of shingles, their number, its bits, the set."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    return int(np.uint64(xxhash.xxh64_intdigest(codes.tobytes(), HASH_SEED)).astype(np.int64))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            codes, of = shingle_sets(part.column("text"), shingle)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, lanes * len(part) + 1, lanes), pa.int32()), pa.array(long_fingerprints(codes, of, lanes).ravel()))
+            sets = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(codes.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_names(codes, of)), pa.array(np.diff(of)), bits, sets], ["doc_id", "node", "n", "fp", "codes"])
 
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, node long, n long, fp array<long>, codes array<int>")
 
-def long_fingerprint_of(text: bytes, shingle: int, lanes: int) -> list[int]:
-    """A SimHash of 64 * lanes bits of a text's distinct shingles, as signed 64-bit numbers; without words all 0."""
-    return long_fingerprint(shingle_codes(text, shingle), lanes)
 
+def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, blocks_at_once: int = 12, tile: int = 2000, lot: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) for each row and (node, least, root) for each distinct set of shingles: near-duplicates have one root.
 
-def long_fingerprint(codes: np.ndarray, lanes: int) -> list[int]:
-    from faultline.llm.textscan import BASE, mix
+    A Jaccard similarity of 0.8 leaves some 15 % of a SimHash's bits different, far beyond the balls that can be emitted
+    for one 64-bit fingerprint. So texts get 64 * lanes bits; each 32-bit block of these is a fingerprint of its own, whose
+    ball of radius 1 is emitted once for all texts that share it, and two texts meet if they differ by 2 bits at most in
+    any block. With 24 blocks a pair of similarity 0.8 meets with probability 0.95, of 0.85 with 0.99. Pairs that meet are
+    decided by the Jaccard similarity of their sets of shingles (named by 32 bits). Before that go pairs whose numbers of
+    shingles rule it out, and pairs that differ in more bits than expected by four standard deviations; sets of under
+    SMALL shingles, whose bits are no fair sample, are spared that.
 
-    if not len(codes):
-        return [0] * lanes
-    offsets, out = np.arange(lanes, dtype=np.uint64) * BASE, []
-    for lane in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(codes), 1 << 16):
-            block = mix(codes[k : k + (1 << 16)] + offsets[lane]).astype(">u8")
-            ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(codes)).view(">i8")[0]))
+    Blocks are taken blocks_at_once at a time, which bounds the disk that their balls take. Every pair that meets and is
+    not of one class yet is settled, in two steps: first few pairs of each group, which join near copies to classes, then
+    all pairs across classes, large groups in tiles of `tile` texts. Sets travel to at most max(lot, texts / 2) pairs at a time.
+
+    Rows without words are one node. Null texts have no words. An empty table gives no rows. Both results are tables of
+    cut_table; all others are removed.
+    """
+    wide = cut_table(text_sets(docs, shingle, lanes))
+    rows = cut_table(wide.select("doc_id", "node"))
+    nodes = cut_table(wide.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("codes").alias("codes"), F.min("doc_id").alias("least")))
+    drop_tables(wide)
+    lot = max(lot, nodes.count() // 2)
+    alike = alike_in_bits(similarity, 64 * lanes)
+    one, other = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fp").alias(f"fp_{s}")) for s in ("a", "b"))
+    classes = cut_table(nodes.select("node", F.col("node").alias("root")))
+
+    def merged(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The classes, joined where any of the pairs (a, b) are similar."""
+        at = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
+        pairs = cut_table(pairs.join(at("a"), "a").join(at("b"), "b").where("root_a <> root_b").join(one, "a").join(other, "b").where(alike).select("a", "b", "root_a", "root_b"))
+        links = [similar_pairs(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(lots)) == k), nodes, similarity) for lots in [-(-pairs.count() // lot)] for k in range(lots)]
+        drop_tables(pairs)
+        if not links:
+            return classes
+        every = reduce(DataFrame.unionByName, links)
+        joined = components(every.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        out = cut_table(classes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        drop_tables(classes, joined, *links)
+        return out
+
+    for start in range(0, 2 * lanes, blocks_at_once):
+        blocks = block_codes(nodes, start, blocks_at_once)
+        reps = cut_table(blocks.groupBy("code").agg(F.min("node").alias("rep")))
+        crowd = cut_table(ball_groups(reps))
+        classes = merged(classes, few_pairs(blocks, reps, crowd))
+        met = open_pairs(blocks.join(classes, "node"), crowd, one, other, alike, tile)
+        classes = merged(classes, met)
+        drop_tables(reps, crowd, met)
+    out = cut_table(nodes.select("node", "least").join(classes, "node"))
+    drop_tables(nodes, classes)
+    return rows, out
+
+
+def alike_in_bits(similarity: float, bits: int) -> Column:
+    """Whether sets of n_a and n_b shingles with the bits fp_a and fp_b may be similar: see similar_nodes."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    differ = F.aggregate(F.zip_with("fp_a", "fp_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    near = differ <= int(share * bits + 4 * sqrt(share * (1 - share) * bits))
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & ((F.least("n_a", "n_b") < SMALL) | near)
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, ...) whose sets of shingles have the similarity, as a table."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut_table(nodes.select("node", "codes").join(asked, "node", "left_semi"))
+    x, y = (sets.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}")) for s in ("a", "b"))
+    shared = F.size(F.array_intersect("codes_a", "codes_b"))
+    out = cut_table(pairs.join(x, "a").join(y, "b").where(shared >= similarity * (F.size("codes_a") + F.size("codes_b") - shared)).select(pairs.columns))
+    drop_tables(sets)
     return out
 
 
-def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 6, tile: int = 2000) -> DataFrame:
-    """(doc_id, component_id) for each row: near-duplicates by Jaccard similarity of word shingles.
+def block_codes(nodes: DataFrame, start: int, count: int) -> DataFrame:
+    """(node, code): a row for each of the 32-bit blocks of a fingerprint, its number in the upper half of the code. Sets without shingles have none."""
+    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    parts = nodes.where("n > 0").select("node", F.posexplode(F.slice(halves, start + 1, count)).alias("block", "part"))
+    return parts.select("node", F.call_function("shiftleft", (F.col("block") + start).cast("long"), F.lit(32)).bitwiseOR(F.col("part")).alias("code"))
 
-    A similarity of 0.8 leaves some 15 % of a SimHash's bits different, far beyond the balls that can be emitted for one
-    64-bit fingerprint. So texts get 64 * lanes bits; each 32-bit block of these is a fingerprint of its own, whose ball
-    of radius 1 is emitted once for all texts that share it, and two texts meet if they differ by 2 bits at most in any
-    block. With 12 blocks a pair of similarity 0.8 meets with probability 0.78, of 0.9 with 0.99. Pairs that meet are
-    decided by the exact Jaccard similarity of their sets of shingles, which are read again for these texts alone. Before
-    that go pairs whose numbers of shingles rule it out, and pairs that differ in more bits than expected by six
-    standard deviations; sets of under SMALL shingles, whose bits are no fair sample, are spared that.
 
-    Every pair that meets is settled, in two rounds. The first verifies few pairs of each group and joins near copies to
-    classes. The second compares all pairs of a group that are not of one class yet, large groups in tiles of `tile` texts.
-    """
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+#: A ball has the code itself, sent with the mark 32, and what differs from it in bit 0 to 31, sent with the bit's number.
+FLIPS, MARK_BITS = np.append(np.int64(1) << np.arange(32), 0), 6
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sets = [shingle_codes(t, shingle) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            columns = [[set_name(c) for c in sets], [len(c) for c in sets], [long_fingerprint(c, lanes) for c in sets]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *map(pa.array, columns, kinds)], ["doc_id", "mark", "node", "n", "fp"])
 
-    def scan_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sets = [shingle_codes(t, shingle).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "codes"])
-
-    fps = cut_table(texts.mapInArrow(scan, f"doc_id {kind}, mark long, node long, n long, fp array<long>"))
-    nodes = fps.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.min(F.struct("mark", "doc_id")).alias("pick"))
-    nodes = cut_table(nodes)
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    bits = 64 * lanes
-    near_bits = (F.least("n_a", "n_b") < SMALL) | (differ <= int(share * bits + 6 * sqrt(share * (1 - share) * bits)))
-    alike = (F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity) & near_bits
-
-    def settled(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar."""
-        pairs = cut_table(pairs)
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "pick")
-        found = texts.alias("t").join(asked, (F.col("t.mark") == F.col("pick.mark")) & F.col("t.doc_id").eqNullSafe(F.col("pick.doc_id"))).select("node", "text")
-        sets = cut_table(found.dropDuplicates(["node"]).mapInArrow(scan_sets, "node long, codes array<long>"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return cut_table(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"))
-
-    blocks = block_codes(nodes)
-    reps = blocks.groupBy("code").agg(F.min("node").alias("rep"))
-    crowd = cut_table(ball_groups(reps))
-    order = Window.partitionBy("v").orderBy("code")
-    chain = crowd.select(F.col("code").alias("d"), F.array(F.lag("code").over(order), F.first("code").over(order)).alias("with"))
-    chain = chain.select("d", F.explode("with").alias("c")).where("c <> d").distinct()
-    c, d = reps.select(F.col("code").alias("c"), F.col("rep").alias("a")), reps.select(F.col("code").alias("d"), F.col("rep").alias("b"))
+def ball_groups(reps: DataFrame) -> DataFrame:
+    """(v, code, first, before) for codes that share a value v of their balls of radius 1 with another: at most 33 for each v.
+
+    first and before: the first code of v's group and the one before this. A value is sent as one number with a mark of
+    which bit differs, from which its code follows.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.asarray(batch.column("code"))[:, None] ^ FLIPS
+            yield pa.RecordBatch.from_arrays([pa.array(((values << MARK_BITS) | np.arange(33)).ravel())], ["p"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)  # the last group, which can go on in the next batch
+        for batch in batches:
+            p = np.concatenate((held, np.asarray(batch.column("p"))))
+            whole = int(np.searchsorted(p, (p[-1] >> MARK_BITS) << MARK_BITS)) if len(p) else 0
+            held = p[whole:]
+            yield several(p[:whole])
+        yield several(held)
+
+    def several(p: np.ndarray) -> pa.RecordBatch:
+        v, code = p >> MARK_BITS, (p >> MARK_BITS) ^ FLIPS[p & 63]
+        new = np.ones(len(p) + 1, bool)
+        new[1:-1] = v[1:] != v[:-1]
+        first = np.maximum.accumulate(np.where(new[:-1], np.arange(len(p)), 0))
+        at = np.flatnonzero(~(new[:-1] & new[1:]))
+        before = np.where(new[:-1], 0, np.arange(len(p)) - 1)[at]
+        return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(code[at]), pa.array(code[first[at]]), pa.array(code[before], mask=new[at])], ["v", "code", "first", "before"])
+
+    sent = reps.select("code").mapInArrow(emit, "p long").repartition(F.shiftright("p", MARK_BITS)).sortWithinPartitions("p")
+    return sent.mapInArrow(groups, "v long, code long, first long, before long")
+
+
+def few_pairs(blocks: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(a, b), distinct: each node with the least of its code, and that with those of two codes that share a ball with it."""
+    chain = crowd.groupBy("code").agg(F.min(F.when(F.col("first") != F.col("code"), F.col("first"))).alias("x"), F.max("before").alias("y"))
+    chain = chain.select(F.col("code").alias("d"), F.explode(F.array_distinct(F.array_compact(F.array("x", "y")))).alias("c"))
+    c, d = (reps.select(F.col("code").alias(k), F.col("rep").alias(s)) for k, s in (("c", "a"), ("d", "b")))
     equal = blocks.join(reps, "code").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    few = chain.join(c, "c").join(d, "d").select("a", "b").unionByName(equal).where("a <> b").distinct()
-    one, other = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("x")), nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("y"))
-    few = few.join(one, "a").join(other, "b").where(alike).select("a", "b")
-    classes = nodes.select("node", "n", "fp", "least").join(components(settled(few)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = cut_table(classes)
-    links = settled(open_pairs(classes, crowd, alike, tile))
-    at = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
-    joined = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).withColumnRenamed("root", "top")
-    roots = classes.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
-    lowest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(roots.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def block_codes(nodes: DataFrame) -> DataFrame:
-    """(node, code): a row for each 32-bit block of a fingerprint, its number in the upper half of the code. Texts without words have none."""
-    half = F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    parts = nodes.where("n > 0").select("node", F.posexplode(F.flatten(half)).alias("block", "part"))
-    return parts.select("node", F.call_function("shiftleft", F.col("block").cast("long"), F.lit(32)).bitwiseOR(F.col("part")).alias("code"))
-
-
-def ball_groups(codes: DataFrame) -> DataFrame:
-    """(v, code) for distinct codes that share a value v of their balls of radius 1 with another: at most 33 for each v."""
-    one = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    met = codes.select("code", F.explode(F.concat(F.array("code"), one)).alias("v"))
-    order = Window.partitionBy("v").orderBy("code")
-    near = met.select("v", "code", F.lag("code").over(order).alias("before"), F.lead("code").over(order).alias("after"))
-    return near.where("before is not null or after is not null").select("v", "code")
-
-
-def open_pairs(classes: DataFrame, crowd: DataFrame, alike, tile: int) -> DataFrame:
+    pairs = chain.join(c, "c").join(d, "d").select("a", "b").unionByName(equal).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_pairs(blocks: DataFrame, crowd: DataFrame, one: DataFrame, other: DataFrame, alike: Column, tile: int) -> DataFrame:
     """(a, b), distinct: all pairs of nodes of different roots whose codes in a block are equal or share a ball, and that are alike.
 
-    classes: (node, n, fp, root). A code's nodes are dealt to tiles of about `tile`; each pair of tiles is a group of its own.
+    A table. blocks: (node, code, root). Of two codes that met, the larger's largest class is set apart: its nodes meet only nodes of
+    other classes, so that many near copies of one class don't meet each other again. A code's nodes are dealt to tiles of
+    about `tile`; each pair of tiles is a group of its own.
     """
-    blocks = block_codes(classes).join(classes.select("node", "root"), "node")
-    groups = blocks.groupBy("code").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    groups = groups.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    side = lambda c: groups.select(F.col("code").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("lo", "hi", "tiles")])
+    sizes = blocks.groupBy("code", "root").agg(F.count("*").alias("m"))
+    groups = cut_table(sizes.groupBy("code").agg(F.sum("m").alias("n"), F.max_by("root", F.struct("m", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")))
+    side = lambda c: groups.select(F.col("code").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "top", "lo", "hi")])
     near = crowd.select("v", F.col("code").alias("c")).join(crowd.select("v", F.col("code").alias("d")), "v").where("c < d").select("c", "d").distinct()
-    near = near.join(side("c"), "c").join(side("d"), "d").where("least(lo_c, lo_d) <> greatest(hi_c, hi_d)").select("c", "d", "tiles_c", "tiles_d")
-    same = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"), F.col("tiles").alias("tiles_c"), F.col("tiles").alias("tiles_d"))
-    met = cut_table(near.unionByName(same))
-    rows = blocks.join(met.select(F.explode(F.array("c", "d")).alias("code")).distinct(), "code", "left_semi").join(classes.select("node", "n", "fp"), "node")
-    left = rows.select(F.col("code").alias("c"), F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("fp").alias("x")).join(met, "c")
-    left = left.withColumn("i", F.expr("cast(pmod(xxhash64(a), tiles_c) as int)")).withColumn("j", F.explode(F.expr("sequence(if(c = d, i, 0), tiles_d - 1)")))
-    right = rows.select(F.col("code").alias("d"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("fp").alias("y")).join(met, "d")
-    right = right.withColumn("j", F.expr("cast(pmod(xxhash64(b), tiles_d) as int)")).withColumn("i", F.explode(F.expr("sequence(0, if(c = d, j, tiles_c - 1))")))
-    found = left.drop("tiles_c", "tiles_d").join(right.drop("tiles_c", "tiles_d"), ["c", "d", "i", "j"])
-    found = found.where("root_a <> root_b and (c <> d or i <> j or a < b)").where(alike)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class (doc_id, component_id).
+    same = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"))
+    met = near.unionByName(same).join(side("c"), "c").join(side("d"), "d").where("least(lo_c, lo_d) <> greatest(hi_c, hi_d)")
+    tiles = lambda c: F.ceil(F.col(f"n_{c}") / tile).cast("int").alias(f"tiles_{c}")
+    beyond = lambda c: ((F.col(f"lo_{c}") != F.col("top")) | (F.col(f"hi_{c}") != F.col("top"))).alias(f"beyond_{c}")
+    met = met.withColumn("top", F.when(F.col("n_c") >= F.col("n_d"), F.col("top_c")).otherwise(F.col("top_d"))).select("c", "d", "top", tiles("c"), tiles("d"), beyond("c"), beyond("d"))
+    met = cut_table(met)
+    left, right = (blocks.select(F.col("code").alias(k), F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for k, s in (("c", "a"), ("d", "b")))
+
+    def joined(some: DataFrame, a_rows: Column, b_rows: Column) -> DataFrame:
+        a = left.join(some, "c").where(a_rows).join(one, "a").withColumn("i", F.expr("cast(pmod(xxhash64(a), tiles_c) as int)")).withColumn("j", F.explode(F.expr("sequence(0, tiles_d - 1)")))
+        b = right.join(some, "d").where(b_rows).join(other, "b").withColumn("j", F.expr("cast(pmod(xxhash64(b), tiles_d) as int)")).withColumn("i", F.explode(F.expr("sequence(0, tiles_c - 1)")))
+        b = b.drop("top", "tiles_c", "tiles_d", "beyond_c", "beyond_d")
+        return a.join(b, ["c", "d", "i", "j"]).where("root_a <> root_b and (c <> d or root_a = top or a < b)").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    every = joined(met.where("beyond_d"), F.lit(True), F.col("root_b") != F.col("top"))
+    rest = joined(met.where("beyond_c and c <> d"), F.col("root_a") != F.col("top"), F.col("root_b") == F.col("top"))
+    out = cut_table(every.unionByName(rest).distinct())
+    drop_tables(groups, met)
+    return out
+
+
+def similar_classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, component_id) for each row: near-duplicates by Jaccard similarity of word shingles. Options: see similar_nodes."""
+    rows, nodes = similar_nodes(docs, **options)
+    lowest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(nodes.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id, distinct).
 
     Of rows that share a doc_id one stays, the one whose text hashes least; rows without a doc_id all stay.
     """
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), F.struct(*docs.columns).alias("row"))
     known = rows.where("doc_id is not null")
-    least = known.groupBy("doc_id").agg(F.min("hash").alias("hash"), F.count("*").alias("copies")).join(first, "doc_id", "left_semi")
+    least = known.groupBy("doc_id").agg(F.min("hash").alias("hash"), F.count("*").alias("copies")).join(ids, "doc_id", "left_semi")
     kept = known.join(least, ["doc_id", "hash"])
     one = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["doc_id"]))
     return one.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")
 
 
 def near_duplicates_dropped(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates."""
-    return keep_one(docs, cut_table(similar_classes(docs, **options)))
+    """docs with one row of each group of near-duplicates, that with the smallest doc_id; the other options are those of similar_nodes."""
+    rows, nodes = similar_nodes(docs, **options)
+    ids = cut_table(nodes.groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct())
+    drop_tables(rows, nodes)
+    return keep_ids(docs, ids)

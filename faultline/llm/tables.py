@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +20,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where it names none (tests on one machine), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-")
-
+    """The folder that the cluster names for checkpoints. Only a session on one machine (tests) may go without: it gets a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return _own_folder(context.applicationId)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and reads it again, so that a lost executor loses nothing.
 
-    Only where the session names no folder (tests on one machine) is one made here.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+@lru_cache(1)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"faultline-{application}-")
 
 
 def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -49,9 +49,9 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: smaller than a checkpoint, for many narrow rows.
+    """Writes df as Parquet to the shared folder and reads it again, so that what follows doesn't compute it anew.
 
-    Once it is written, the shuffle files behind it are of no more use and are removed.
+    Once it is written, the shuffle files behind it are of no more use and are removed. drop_tables removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/faultline-{uuid.uuid4().hex}"
@@ -61,4 +61,17 @@ def cut_table(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes tables of cut_table. Nothing that still is to be computed may read them."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.cut_path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

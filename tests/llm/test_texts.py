@@ -1,6 +1,7 @@
 """Tokens, mixing, extraction, scoring and the pipeline."""
 
 import os
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -42,23 +43,55 @@ def targets(sizes, weights, most):
     return got
 
 
+def fair_queue(corpus, weights, most):
+    """A queue in Python: every source's copies in the order of their draws, merged by finish time until the budget is reached."""
+    rows = [(r[0], r[1], r[3], len((r[1] or "").encode().split())) for r in corpus]
+    sizes = {}
+    for _, _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want = targets(sizes, weights, most)
+    draw = lambda i, t: md5("|".join(str(x) for x in (i, t) if x is not None).encode()).hexdigest()[:15]
+    copies = []
+    for s in sizes:
+        own, at = sorted((draw(i, t), i, n) for i, t, x, n in rows if x == s), 0
+        for turn in range(most):
+            for _, i, n in own:
+                if at < want[s]:
+                    copies.append(((at + n) / want[s], s is None, s or "", i, turn, n))
+                at += n
+    taken, sent, budget = {}, 0, sum(want.values())
+    for _, _, s, i, _, n in sorted(copies):
+        if sent + n / 2 <= budget:
+            taken[i] = taken.get(i, 0) + n
+        sent += n
+    return taken
+
+
 def test_mixing(docs, corpus, no_docs):
+    docs = docs.withColumns({c: F.lit("mine") for c in ("slice", "slices", "draw", "through", "size", "target", "turn", "finish", "time", "row", "taken")})
     rows = mixing.mix_taken(docs).collect()
     assert len(rows) == len(corpus)
-    sizes, taken = {}, {}
+    sizes, taken, own = {}, {}, {}
     for r in corpus:
         sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").encode().split())
     want = targets(sizes, (5, 2, 1), 3)
     for r in rows:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
+        own[r.doc_id] = own.get(r.doc_id, 0) + r.taken
     largest = {s: max(r.size for r in rows if r.source == s) for s in sizes}
-    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in sizes)
-    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_taken(docs).collect()), key=str)
-    plan = mixing.mix_schedule(docs).collect()
-    assert [r.finish for r in plan] == sorted(r.finish for r in plan)
-    assert sum(r.size for r in plan) == sum(taken.values())
-    assert mixing.mix_taken(no_docs).collect() == []
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    queue = fair_queue(corpus, (5, 2, 1), 3)
+    assert own == {i: queue.get(i, 0) for i in own}
+    for n in (20_000, 5):
+        assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_taken(docs, rows_a_slice=n).collect()), key=str)
+        plan = mixing.mix_schedule(docs, rows_a_slice=n).collect()
+        assert [r.finish for r in plan] == sorted(r.finish for r in plan)
+        sent = {}
+        for r in plan:
+            sent[r.doc_id] = sent.get(r.doc_id, 0) + r.size
+        assert {i: n for i, n in sent.items() if n} == {i: n for i, n in own.items() if n}
+    assert mixing.mix_taken(no_docs).collect() == [] and mixing.mix_schedule(no_docs).collect() == []
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
