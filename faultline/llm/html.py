@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from faultline.llm import textscan as ts
 from faultline.llm.fmindex import suffix_array
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HINTS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*", r"\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_NAME}(?:\s*=\s*(?:{_VALUE})?+)?+)*+)>", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*=\s*({_VALUE})?+)?+")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 RAW = frozenset(("script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "head", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -24,19 +25,34 @@ APART = frozenset(("nav", "footer", "aside", "form", "menu", "button", "select",
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Words in class, id or role that mark what is no article.
+#: Words that mark what is no article: a class, id or role of only these, or of these and words of PLACES, rules an element out.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner nav navbar navigation menu menus "
     "breadcrumb breadcrumbs sidebar complementary widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses "
     "discussion footer contentinfo masthead copyright pagination pager toolbar search teaser teasers".split()
 )
+PLACES = frozenset("area articles bar block bottom box button buttons col column container content form group header hero icons inner item items link links list main media outer page panel post posts primary row secondary section site slot stories text thread title top unit wrap wrapper".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 _ANY_MAIN = re.compile(r"<(article|main)\b|role\s*=\s*[\"']?main\b|articleBody", re.I)
 
 
-def hints(attributes: str) -> set[str]:
-    return {w.lower() for m in _HINTS.finditer(attributes) for w in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes of a tag by HTML's rules: quotes count only where a value begins, of repeated names the first."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(tag):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
+def names_of(attributes: dict[str, str]) -> list[list[str]]:
+    """The words of each class, id and role."""
+    names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split()
+    return [[w.lower() for w in _PARTS.findall(n)] for n in names] + [[w.lower() for w in _PARTS.findall(attributes.get("aria-label", ""))]]
+
+
+def ruled_out(names: list[list[str]]) -> bool:
+    return any(HINTS.intersection(n) and HINTS.union(PLACES).issuperset(n) for n in names)
 
 
 class Page:
@@ -44,6 +60,9 @@ class Page:
 
     An article is looked for first, then a main element. What only a comment, a script or a section of readers' comments
     holds, or what is empty, marks nothing: the next is tried.
+
+    A class or id rules an element out if all its words do so (comments, site-footer). Where only one of its words would
+    (social-history), blocks of the article in it are suspect: they go if other pages of the host repeat them.
     """
 
     def __init__(self, html: str):
@@ -56,11 +75,12 @@ class Page:
     def read(self, html: str, wanted: str | None) -> None:
         self.wanted = wanted
         self.article: list[str] | None = [] if self.wanted else None
+        self.suspect: list[int] = []  # places of blocks in the article
         self.other: list[str] = []
         self.kept: list[str] = []  # without a marked article: blocks that no element or hint rules out
         self.parts: list[str] = []
-        inside, skip, depth, end, reader = 0, "", 0, 0, False
-        main_tag = ""
+        inside, skip, depth, end = 0, "", 0, 0
+        main_tag, self.doubt, doubts = "", "", 0
         at, size = 0, len(html)
         lower = None
         while at < size:
@@ -86,7 +106,8 @@ class Page:
                         continue
                 at = size if end < 0 else end
                 continue
-            if tag in INLINE and not _HINTS.search(m[3]) and tag != skip:
+            attributes = attributes_of(m[3]) if m[3] and not closing else {}
+            if tag in INLINE and tag != skip and not attributes.keys() & {"class", "id", "role", "aria-label"}:
                 continue
             if tag not in INLINE:
                 self.close(inside > 0, bool(skip))
@@ -101,6 +122,9 @@ class Page:
                         skip = ""
                 if not skip and inside and tag == main_tag:
                     inside -= 1
+                if not skip and tag == self.doubt:
+                    doubts -= 1
+                    self.doubt = self.doubt if doubts else ""
                 continue
             if skip and (skip in ("p",) and tag not in INLINE or skip == "li" and tag == "li"):
                 skip = ""
@@ -111,16 +135,18 @@ class Page:
                 continue
             if tag in VOID or m[3].endswith("/"):
                 continue
-            marks = hints(m[3])
-            is_main = tag == self.wanted or self.wanted == "main" and ("main" in marks and "role" in m[3].lower() or "articleBody" in m[3])
-            if is_main and not (inside and marks & READERS) and not (marks & READERS):
+            names = names_of(attributes)
+            marks = {w for n in names for w in n}
+            is_main = tag == self.wanted or self.wanted == "main" and ("main" in attributes.get("role", "").lower().split() or "articleBody" in m[3])
+            if is_main and not marks & READERS:
                 if not inside:
                     main_tag = tag
                 inside += 1
                 continue
             if inside and tag == main_tag:
                 inside += 1
-            out = tag in APART or tag == "header" and not inside or bool(marks & HINTS) and tag not in ("html", "body", "main") or bool(_HIDDEN.search(m[3]))
+            hidden = attributes.get("hidden", "false").lower() != "false" or attributes.get("aria-hidden", "").lower() == "true" or _NONE.search(attributes.get("style", ""))
+            out = tag in APART or tag == "header" and not inside or ruled_out(names) and tag not in ("html", "body", "main") or bool(hidden)
             if "header" in marks and not inside and tag not in ("html", "body"):
                 out = True
             if out:
@@ -129,6 +155,10 @@ class Page:
                 if inside and tag == main_tag:
                     inside -= 1
                 skip, depth = tag, 1
+            elif self.doubt:
+                doubts += tag == self.doubt
+            elif inside and marks & HINTS and tag not in INLINE:
+                self.doubt, doubts = tag, 1
         self.close(inside > 0, bool(skip))
 
     def text(self) -> str:
@@ -143,6 +173,8 @@ class Page:
         if not text:
             return
         if self.wanted and inside and not skipped:
+            if self.doubt:
+                self.suspect.append(len(self.article))
             self.article.append(text)
         else:
             self.other.append(text)
@@ -150,7 +182,7 @@ class Page:
                 self.kept.append(text)
 
 
-PARSED = "page_id {id}, url {url}, host string, salt int, draw long, marked boolean, text string, stream string"
+PARSED = "page_id {id}, url {url}, host string, salt int, draw long, marked boolean, suspect array<int>, text string, stream string"
 
 
 def parse(pages: DataFrame, hot: dict[str, int]) -> DataFrame:
@@ -159,16 +191,17 @@ def parse(pages: DataFrame, hot: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(batches, "html"):
             hosts, draws = part.column("host").to_pylist(), part.column("draw").to_pylist()
-            marked, text, stream = [], [], []
+            marked, suspect, text, stream = [], [], [], []
             for html in part.column("html").to_pylist():
                 page = Page(html or "")
                 marked.append(page.article is not None)
-                text.append(" ".join(page.article) if page.article is not None else "")
-                stream.append("\n".join(page.other if page.article is not None else page.kept))
+                suspect.append(page.suspect)
+                text.append("\n".join(page.article or ()))
+                stream.append("\n".join(page.other + [page.article[i] for i in page.suspect] if page.article is not None else page.kept))
             salt = [d % hot[h] if h in hot else -1 for h, d in zip(hosts, draws, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(salt, pa.int32()), part.column("draw"), pa.array(marked), pa.array(text, pa.string()), pa.array(stream, pa.string())],
-                ["page_id", "url", "host", "salt", "draw", "marked", "text", "stream"],
+                [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(salt, pa.int32()), part.column("draw"), pa.array(marked), pa.array(suspect, pa.list_(pa.int32())), pa.array(text, pa.string()), pa.array(stream, pa.string())],
+                ["page_id", "url", "host", "salt", "draw", "marked", "suspect", "text", "stream"],
             )
 
     return pages.mapInArrow(run, PARSED.format(id=kinds["page_id"], url=kinds["url"]))
@@ -255,8 +288,8 @@ def extract(pages: DataFrame, run_tokens: int = 10, host_pages: int = 2000, id_c
     """(page_id, url, text, n_boilerplate) for each row of pages (page_id, url, html).
 
     Each page is parted into blocks. If an <article> (or else <main>, role=main or articleBody) marks the main text, its
-    blocks are the text, without menus, forms, adverts, notices, comments and so on inside it; repetition never removes
-    from a marked article, whose passages other pages may hold too. Otherwise the text is what remains of all other
+    blocks are the text, without menus, forms, adverts, notices, comments and so on inside it. Passages of an article that
+    other pages hold too stay; only of its suspect blocks (see Page) go those that are repeated as a whole. Otherwise the text is what remains of all other
     blocks when those are removed whose words are all inside runs of at least run_tokens words that other pages of the
     host hold as well; a page of which nothing would remain is left whole.
 
@@ -307,14 +340,17 @@ def extract(pages: DataFrame, run_tokens: int = 10, host_pages: int = 2000, id_c
         covered = repeated_tokens(streams, run_tokens)
         if names:
             covered = [c | o for c, o in zip(covered, named_tokens(streams, run_tokens, np.concatenate(names)), strict=True)]
-        text = t.column("text").to_pylist()
-        for i, marked in enumerate(t.column("marked").to_pylist()):
-            if not marked:
-                blocks = streams[i].split("\n")
-                ends = np.cumsum([len(x.encode().split()) for x in blocks])
-                hits = np.concatenate(([0], np.cumsum(covered[i])))
-                own = [x for x, a, e in zip(blocks, [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if hits[e] - hits[a] < e - a]
-                text[i] = " ".join(own or blocks)
+        text = []
+        for i, (marked, suspect, article) in enumerate(zip(*(t.column(c).to_pylist() for c in ("marked", "suspect", "text")), strict=True)):
+            blocks = streams[i].split("\n")
+            ends = np.cumsum([len(x.encode().split()) for x in blocks])
+            hits = np.concatenate(([0], np.cumsum(covered[i])))
+            unique = [hits[e] - hits[a] < e - a for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            if marked:  # the suspect blocks are the last ones of the stream
+                gone = {k for k, own in zip(suspect, unique[len(unique) - len(suspect) :], strict=True) if not own}
+                blocks = article.split("\n")
+                unique = [k not in gone for k in range(len(blocks))]
+            text.append(" ".join([x for x, own in zip(blocks, unique, strict=True) if own] or blocks))
         return pa.RecordBatch.from_arrays([t.column("page_id"), t.column("url"), pa.array(text, pa.string()), pa.array([int(c.sum()) for c in covered], pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
     kinds = {f.name: f.dataType.simpleString() for f in parsed.schema.fields}

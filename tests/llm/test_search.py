@@ -114,8 +114,10 @@ def test_near_duplicates_dropped(docs, corpus):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
-    roots = {r.node: r.root for r in components(edges).collect()}
-    assert len({roots[i] for i in range(201)}) == 1 and roots[500] == roots[501] != roots[0]
+    for last in (10, 1 << 16):
+        roots = {r.node: r.root for r in components(edges, last=last).collect()}
+        assert len({roots[i] for i in range(201)}) == 1 and roots[500] == roots[501] != roots[0]
+    assert components(edges.limit(0)).collect() == []
 
 
 def test_embeddings(spark):

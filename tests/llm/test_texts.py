@@ -139,6 +139,60 @@ def test_main_text_is_marked_by_elements_only():
     assert both.article == ["the text"] and both.other == ["around"]
 
 
+def test_attributes_by_the_rules_of_html():
+    assert html.Page("<article><p title=it's>Hello world</p><p>it's fine</p></article>").article == ["Hello world", "it's fine"]
+    assert html.Page("<article><p title=\"a > b\" class = x>one<p data-x='</article>'>two</article>").article == ["one", "two"]
+    assert html.Page("<article><img alt=\"5\" tall\"/><a href=/x/>y</a> z<p class=\"open>t</p></article>").article[0] == "y z"
+    assert html.Page("<article><div title='class=ad'>kept</div><div CLASS=Ad>gone</div><p hidden>gone</p><p style='Display: none'>gone</p></article>").article == ["kept"]
+    assert html.attributes_of(" a=1 a=2 B='x y' c d= e") == {"a": "1", "b": "x y", "c": "", "d": "e"}
+    assert html.Page("<article>" + "<p a='" * 3000 + "x</article>") is not None  # in time that grows with the page only
+
+
+def test_one_word_of_a_class_only_makes_suspect(spark):
+    page = html.Page("<article><div class='social-history'>of towns</div><p class=search-results>we found</p><div class='share-bar'>share</div><div class='site-footer'>foot</div></article>")
+    assert page.article == ["of towns", "we found"] and page.suspect == [0, 1]
+    told = "follow us on all of the usual networks and tell your friends about it today"
+    rows = [(i, f"http://h.example.com/{i}", f"<article><p>text {i} own words</p><div class='social-history'><p>{told}</p></div><div class='social-history'>{i} is told only here and by no other page of all these</div></article>") for i in range(4)]
+    rows.append((9, "http://other.example.com/9", rows[0][2]))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i} own words {i} is told only here and by no other page of all these" for i in range(4))
+    assert told in got[9]
+
+
+def test_repeated_tokens_against_brute_force():
+    rng = np.random.default_rng(6)
+    shared = [rng.integers(0, 50, 14).tolist() for _ in range(4)]
+    streams = []
+    for i in range(25):
+        w = rng.integers(0, 8 if i % 5 == 0 else 5000, int(rng.integers(0, 60))).tolist()
+        for k in rng.integers(0, 4, int(rng.integers(0, 3))):
+            at = int(rng.integers(0, len(w) + 1))
+            w[at:at] = shared[k][: int(rng.integers(8, 15))]
+        streams.append(" ".join(f"é{x}" for x in w))
+    streams += [streams[3], "", " ".join(f"x{k % 7}" for k in range(200))]
+    words = [s.split() for s in streams]
+    where = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 9):
+            where.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    want = []
+    for w in words:
+        hit = [False] * len(w)
+        for k in range(len(w) - 9):
+            if len(where[tuple(w[k : k + 10])]) > 1:
+                hit[k : k + 10] = [True] * 10
+        want.append(hit)
+    assert [c.tolist() for c in html.repeated_tokens(streams, 10)] == want and any(map(any, want))
+
+
+def test_long_and_like_pages(spark):
+    long = "".join(f"<p>word{k} and more</p>" for k in range(20_000))
+    rows = [(1, "http://h.example.com/1", f"<body><nav>menu</nav><article>{long}</article></body>")] + [(k, "http://h.example.com/2", "<body><nav>menu</nav><div>the very same words on every one of these pages here</div></body>") for k in (2, 3, 4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got[1].split()) == 60_000
+    assert {got[k] for k in (2, 3, 4)} == {"the very same words on every one of these pages here"}  # nothing else would remain
+
+
 def labelled(spark, n=900):
     rng = np.random.default_rng(0)
     calm = "the of and tion ing stea rend ouat erth anly blea haon shre wher ndea".split()
