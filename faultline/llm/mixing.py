@@ -82,7 +82,7 @@ def scheduled(rows: DataFrame, weights: tuple[float, ...], max_repeat: int) -> D
     Documents of a source come in the order of their draws, again for each turn. finish is the virtual time at which a copy
     is through: the words of its source up to and with it over the source's target. At time 1 every source has sent its
     target. All copies that begin before that are sorted by finish (then source, null last, doc_id, turn) and taken until
-    the total budget, the sum of the targets, is reached; the last one is taken if at least half of it fits.
+    the total budget, all sizes (so all targets) together, is reached; the last one is taken if at least half of it fits.
 
     Both running totals, of a source's words and of the queue's, take two steps, so that no source and no task has to
     hold them all: sums of slices first, of the draws or of virtual time, and their running sums, then running sums inside
@@ -90,7 +90,7 @@ def scheduled(rows: DataFrame, weights: tuple[float, ...], max_repeat: int) -> D
     """
     parts = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sizes = parts.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
-    targets = source_targets(sizes, weights, max_repeat).withColumn("budget", F.sum("target").over(Window.partitionBy()))
+    targets = source_targets(sizes, weights, max_repeat).withColumn("budget", F.sum("source_size").over(Window.partitionBy()))
     inside = Window.partitionBy("source").orderBy("slice")
     parts = parts.select("source", "slice", (F.sum("slice_size").over(inside) - F.col("slice_size")).alias("before"))
     parts = parts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "source_size", "target", "budget")
