@@ -220,13 +220,24 @@ def _resolve_by_windows(cands: DataFrame, dry_run: bool) -> DataFrame:
     return c.select("cand_id", said.alias("in_run"))
 
 
-def apply_cap(cands: DataFrame, dry_run: bool = False) -> DataFrame:
-    """Adds decision: the first `cap` rows (by seq) of a run are created, the rest cap-reached; 0 is no cap."""
-    order = Window.partitionBy("run_id").orderBy("seq")
+def apply_cap(cands: DataFrame, dry_run: bool = False, rows_a_slice: int = 20_000) -> DataFrame:
+    """Adds decision: the first `cap` rows (by seq) of a run are created, the rest cap-reached; 0 is no cap.
+
+    A row's place in its run is found in two steps, so that no run is one task: rows are counted by slices of seq, of about
+    rows_a_slice each if seq is dealt evenly, and numbered inside their slice.
+    """
     if dry_run:
         return cands.withColumn("decision", F.lit("simulated"))
-    free = (F.col("cap") == 0) | (F.row_number().over(order) <= F.col("cap"))
-    return cands.withColumn("decision", F.when(free, "created").otherwise("cap-reached"))
+    spans = cands.groupBy("run_id").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"), F.ceil(F.count("*") / rows_a_slice).alias("_n"))
+    part = F.floor((F.col("seq") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_n"))
+    sliced = cands.alias("s").join(spans.alias("r"), F.col("s.run_id").eqNullSafe(F.col("r.run_id"))).select("s.*", part.alias("_slice"))
+    counts = sliced.groupBy("run_id", "_slice").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("run_id").orderBy("_slice")) - F.col("_rows")
+    counts = counts.select("run_id", "_slice", before.alias("_before"))
+    rows = sliced.alias("s").join(counts.alias("c"), [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("run_id", "_slice")]).select("s.*", "_before")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("run_id", "_slice").orderBy("seq"))
+    free = (F.col("cap") == 0) | (place <= F.col("cap"))
+    return rows.withColumn("decision", F.when(free, "created").otherwise("cap-reached")).select(*cands.columns, "decision")
 
 
 def merge_ticket_labels(tickets: DataFrame, dup_hits: DataFrame) -> DataFrame:

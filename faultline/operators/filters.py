@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import extract_entities, normalize_text
+from faultline.sources.io import settled
 
 # The canned searches (any of the phrases, in rows with status error).
 TEMPLATES = {
@@ -64,11 +65,19 @@ def template_filter(logs: DataFrame, name: str) -> DataFrame:
     return logs.where((F.col("status") == "error") & reduce(lambda a, b: a | b, [says("message", t) for t in TEMPLATES[name.lower()]]))
 
 
+#: Letters of a term by which it is looked up among longer words.
+LEAD = 4
+
+
 def rule_query_filter(logs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, log columns): logs of the question's service and env that say all of its ids and keywords.
 
-    Service: the given one, or else the first service-looking word; without either, logs of all services match. The
-    join is on env (and service where known), so each question meets only rows of its own partition.
+    Service: the given one, or else the first service-looking word; without either, logs of all services match.
+
+    A log says a term if its message contains it, also inside a longer word. So the distinct words of all logs are looked
+    up by the first letters of the terms, which gives the words that hold each term and in how many logs they are. A
+    question meets the logs that have a word with its rarest term, and only these are checked for all its terms.
+    Questions without terms match all logs of their env, as they ask for.
     """
     e = extract_entities("query")
     asked = questions.select("question_id", "all_status", F.col("env").alias("q_env"), F.col("service").alias("q_service"), e.alias("e")).select(
@@ -78,11 +87,25 @@ def rule_query_filter(logs: DataFrame, questions: DataFrame) -> DataFrame:
         F.coalesce("q_service", F.try_element_at(F.col("e.services"), F.lit(1))).alias("q_service"),
         F.concat(F.transform(F.slice("e.uuids", 1, 2), F.lower), F.slice("e.keywords", 1, 5)).alias("terms"),
     )
-    low = logs.withColumn("_low", F.lower("message"))
-    matches = (F.col("all_status") | (F.col("status") == "error")) & F.forall("terms", lambda t: F.contains(F.col("_low"), t))
-    named = low.join(asked.where("q_service is not null"), (F.col("service") == F.col("q_service")) & (F.col("env") == F.col("q_env"))).where(matches)
-    free = low.join(asked.where("q_service is null"), F.col("env") == F.col("q_env")).where(matches)
-    return named.unionByName(free).select("question_id", *logs.columns)
+    keyed = logs.withColumns({"_key": F.xxhash64(*logs.columns), "_low": F.lower("message")})
+    words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
+    # A term's first run of letters and digits lies inside one such run of any message that contains the term.
+    terms = asked.select("question_id", F.explode("terms").alias("term")).select("question_id", F.regexp_extract("term", "[a-z0-9]+", 0).alias("core"))
+    cores = terms.select("core", F.left("core", F.lit(LEAD)).alias("lead")).distinct()
+    leads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") - LEAD + 1), lambda i: F.substring("word", i, F.lit(LEAD))))
+    known = words.groupBy("word").agg(F.count("*").alias("logs")).withColumn("lead", F.explode(leads))
+    holding = settled(known.join(cores, "lead").where(F.contains("word", "core")).select("core", "word", "logs"))
+    often = holding.groupBy("core").agg(F.sum("logs").alias("logs"))
+    rarest = terms.join(often, "core", "left").groupBy("question_id").agg(F.min_by("core", F.struct(F.coalesce("logs", F.lit(0)), "core")).alias("core"))
+    met = words.join(rarest.join(holding.select("core", "word"), "core").select("question_id", "word"), "word").select("_key", "question_id").distinct()
+    matches = (F.col("all_status") | (F.col("status") == "error")) & (F.col("q_service").isNull() | (F.col("service") == F.col("q_service")))
+    said = keyed.join(met, "_key").join(asked, "question_id").where((F.col("env") == F.col("q_env")) & matches & F.forall("terms", lambda t: F.contains(F.col("_low"), t)))
+    # A question without terms is dealt to both kinds of status, or to errors alone, so that it is joined by equal keys.
+    kinds = F.when(F.col("all_status"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    bare = asked.where("size(terms) = 0").withColumn("q_error", F.explode(kinds))
+    error = F.coalesce(F.col("status") == "error", F.lit(False))
+    every = logs.withColumn("_error", error).join(bare, (F.col("env") == F.col("q_env")) & (F.col("_error") == F.col("q_error"))).where(matches)
+    return said.select("question_id", *logs.columns).unionByName(every.select("question_id", *logs.columns))
 
 
 def filter_audit(rows: DataFrame, service: str | None = None, severity: str | None = None, error_type: str | None = None, decision: str | None = None) -> DataFrame:
@@ -110,17 +133,25 @@ def status_matches(status: str | None) -> Column:
 
 
 def ticket_tokens(tickets: DataFrame) -> DataFrame:
-    """The inverted index (project, token, key) over summaries and descriptions."""
+    """The inverted index (project, token, key, created) over summaries and descriptions."""
     words = F.split(F.concat_ws(" ", normalize_text("summary"), normalize_text("description")), " ")
-    return tickets.select("project", "key", F.explode(F.array_distinct(words)).alias("token")).where("token <> ''")
+    return tickets.select("project", "key", "created", F.explode(F.array_distinct(words)).alias("token")).where("token <> ''")
+
+
+def newest(hits: DataFrame, by: tuple[str, ...], n: int) -> DataFrame:
+    """The n newest tickets (key, created) of each group."""
+    order = Window.partitionBy(*by).orderBy(F.desc("created"), "key")
+    return hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
 def search_tickets(tickets: DataFrame, queries: DataFrame, status: str | None = None, most: int = 20) -> DataFrame:
-    """(query_id, key, created): the newest tickets of the project that hold any of the first five words of 3 letters."""
+    """(query_id, key, created): the newest tickets of the project that hold any of the first five words of 3 letters.
+
+    The list of each word is cut to its newest tickets first: no others can be among the newest of a query. So a query
+    meets at most five times `most` tickets, however common its words are.
+    """
     words = F.filter(F.split(normalize_text("query"), " "), lambda w: F.char_length(w) >= 3)
-    asked = queries.select("query_id", "project", F.explode(F.slice(words, 1, 5)).alias("token"))
-    open_ = tickets.where(status_matches(status))
-    hits = asked.join(ticket_tokens(open_), ["project", "token"]).select("query_id", "project", "key").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("created"), "key")
-    found = hits.join(open_.select("project", "key", "created"), ["project", "key"])
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("query_id", "key", "created")
+    asked = queries.select("query_id", "project", F.explode(F.array_distinct(F.slice(words, 1, 5))).alias("token"))
+    lists = newest(ticket_tokens(tickets.where(status_matches(status))), ("project", "token"), most)
+    hits = asked.join(lists, ["project", "token"]).select("query_id", "key", "created").distinct()
+    return newest(hits, ("query_id",), most)

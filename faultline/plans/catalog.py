@@ -45,8 +45,9 @@ KEYED = f"keyed AS (SELECT *, {NORM} AS norm FROM logs)"
 @query(f"""WITH {b.LOGS}, {KEYED}, g AS (SELECT service, {q.short("norm")} AS loghash, count(*) AS n, min(seq) AS first_seq FROM keyed WHERE norm <> '' GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY n DESC, loghash) AS rank FROM g) SELECT * FROM r WHERE rank <= 10""")
 def top_errors(spark: SparkSession, d: str) -> DataFrame:
-    rows = b.logs(spark, d).select("seq", "service", t.normalize_log_message("message").alias("norm")).where("norm <> ''")
-    counts = rows.groupBy("service", t.loghash_of("norm").alias("loghash")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    rows = b.logs(spark, d).select("seq", "service", t.normalize_log_message("message").alias("norm"))
+    counts = rows.groupBy("service", t.loghash_of("norm").alias("loghash")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max(F.col("norm") != "").alias("said"))
+    counts = counts.where("said").drop("said")  # a filter of norm itself would normalise every message a second time
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("service").orderBy(F.desc("n"), "loghash"))).where("rank <= 10")
 
 
@@ -114,18 +115,22 @@ def template_filter(spark: SparkSession, d: str) -> DataFrame:
     return io.union_rows(*[filters.template_filter(rows, k).agg(F.lit(k).alias("template"), F.count("*").alias("n")) for k in filters.TEMPLATES])
 
 
-def questions(spark: SparkSession, d: str, length: int = 24) -> DataFrame:
+def questions(spark: SparkSession, d: str) -> DataFrame:
     return b.tickets(spark, d).select(
-        F.col("key").alias("question_id"), F.left("description", F.lit(length)).alias("query"), F.lit(None).cast("string").alias("service"), F.lit("prod").alias("env"),
+        F.col("key").alias("question_id"), F.col("description").alias("query"), F.lit(None).cast("string").alias("service"), F.lit("prod").alias("env"),
         F.lit(True).alias("all_status"), "project", F.lit(AS_OF).cast("timestamp").alias("as_of"),
     )
 
 
-@query(f"""WITH {b.LOGS}, {b.TICKETS}, e AS (SELECT key AS question_id, list_filter(list_transform(regexp_split_to_array(left(description, 12), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x), lambda x: regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w FROM tickets),
-k AS (SELECT question_id, list_filter(list_transform(w, lambda x: lower(x)), lambda x: x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})) AS words FROM e)
-SELECT question_id, count(*) AS n, min(seq) AS first_seq FROM k JOIN logs ON len(list_filter(words, lambda x: NOT contains(lower(message), x))) = 0 GROUP BY 1""")
+ASKED = f"""asked AS (SELECT key AS question_id, list_filter(regexp_split_to_array(description, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-zA-Z]{{4,}}$')) AS w FROM tickets),
+said AS (SELECT question_id, list_filter(list_transform(w, lambda x: lower(x)), lambda x: x NOT IN ({", ".join(map(q.quoted, t.STOP_WORDS))})) AS w FROM asked),
+terms AS (SELECT question_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] AS words FROM said)"""
+
+
+@query(f"""WITH {b.LOGS}, {b.TICKETS}, {ASKED}
+SELECT question_id, count(*) AS n, min(seq) AS first_seq FROM terms JOIN logs ON len(list_filter(words, lambda x: NOT contains(lower(message), x))) = 0 GROUP BY 1""")
 def rule_query_filter(spark: SparkSession, d: str) -> DataFrame:
-    found = filters.rule_query_filter(b.logs(spark, d), questions(spark, d, 12))
+    found = filters.rule_query_filter(b.logs(spark, d), questions(spark, d))
     return found.groupBy("question_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
@@ -150,11 +155,11 @@ def parse_ts(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = f"tokens AS (SELECT DISTINCT project, key, unnest(string_split({q.norm_text('summary')} || ' ' || {q.norm_text('description')}, ' ')) AS token FROM tickets)"
 
 
-@query(f"""WITH {b.TICKETS}, {TOKENS}, asked AS (SELECT doc_id AS query_id, unnest(list_filter(string_split({q.norm_text("left(text, 60)")}, ' '), lambda x: length(x) >= 3)[1:5]) AS token FROM documents),
+@query(f"""WITH {b.TICKETS}, {TOKENS}, asked AS (SELECT doc_id AS query_id, unnest(list_filter(string_split({q.norm_text("text")}, ' '), lambda x: length(x) >= 3)[1:5]) AS token FROM documents),
 h AS (SELECT DISTINCT query_id, k.key FROM asked JOIN tokens k USING (token) JOIN tickets USING (key) WHERE k.project = 'OPS' AND status NOT IN ('Done', 'Closed', 'Resolved', 'Tested', 'Won''t Do')),
 r AS (SELECT query_id, key, created, row_number() OVER (PARTITION BY query_id ORDER BY created DESC, key) AS n FROM h JOIN tickets USING (key)) SELECT query_id, key, created FROM r WHERE n <= 20""")
 def search_tickets(spark: SparkSession, d: str) -> DataFrame:
-    asked = b.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("OPS").alias("project"), F.left("text", F.lit(60)).alias("query"))
+    asked = b.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("OPS").alias("project"), F.col("text").alias("query"))
     return filters.search_tickets(b.tickets(spark, d), asked, "open")
 
 
@@ -340,7 +345,7 @@ def dup_error_type(spark: SparkSession, d: str) -> DataFrame:
 
 def title_queries(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "documents").select(
-        F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, "WEB").otherwise("OPS").alias("project"), F.left("text", F.lit(120)).alias("title"), F.left("text", F.lit(400)).alias("message"),
+        F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, "WEB").otherwise("OPS").alias("project"), F.left("text", F.lit(120)).alias("title"), F.col("text").alias("message"),
         F.lit(AS_OF).cast("timestamp").alias("as_of"), F.lit("timeout").alias("error_type"), F.col("source").alias("logger"),
     )
 
@@ -358,21 +363,24 @@ def candidate_tickets(spark: SparkSession, d: str) -> DataFrame:
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {q.norm_text("left(text, 120)")} AS x, lead({q.norm_text("left(text, 120)")}) OVER (PARTITION BY lang ORDER BY doc_id) AS y FROM documents),
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text (x) and that of the next one of its language (y), normalised."""
+    docs = b.table(spark, d, "documents").select("doc_id", "lang", t.normalize_text("text").alias("x"))
+    return docs.withColumn("y", F.lead("x").over(Window.partitionBy("lang").orderBy("doc_id"))).where("y is not null")
+
+
+@query(f"""WITH p AS (SELECT doc_id, {q.norm_text("text")} AS x, lead({q.norm_text("text")}) OVER (PARTITION BY lang ORDER BY doc_id) AS y FROM documents),
 s AS (SELECT doc_id, list_distinct({WORDS.format("x")}) AS a, list_distinct({WORDS.format("y")}) AS c FROM p WHERE y IS NOT NULL)
 SELECT doc_id, length(array_to_string(list_intersect(a, c), ' ')) AS sect_len, length(array_to_string(list_filter(a, lambda w: NOT list_contains(c, w)), ' ')) AS ab_len, length(array_to_string(list_filter(c, lambda w: NOT list_contains(a, w)), ' ')) AS ba_len FROM s""")
 def token_set_lengths(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.table(spark, d, "documents").select("doc_id", "lang", t.normalize_text(F.left("text", F.lit(120))).alias("x"))
-    pairs = docs.withColumn("y", F.lead("x").over(Window.partitionBy("lang").orderBy("doc_id"))).where("y is not null")
+    pairs = neighbours(spark, d)
     sets = similarity.token_sets(F.col("x"), F.col("y"))
     return pairs.select("doc_id", *[sets[c].alias(c) for c in ("sect_len", "ab_len", "ba_len")])
 
 
 @query()
 def token_set_ratio(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.table(spark, d, "documents").select("doc_id", "lang", t.normalize_text(F.left("text", F.lit(120))).alias("x"))
-    pairs = docs.withColumn("y", F.lead("x").over(Window.partitionBy("lang").orderBy("doc_id"))).where("y is not null")
-    return similarity.with_ratio(pairs, "x", "y", "ratio").select("doc_id", F.round("ratio", 6).alias("ratio"))
+    return similarity.with_ratio(neighbours(spark, d), "x", "y", "ratio").select("doc_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query()
@@ -572,23 +580,81 @@ def consolidate(spark: SparkSession, d: str) -> DataFrame:
     return ticket_ops.consolidate(b.table(spark, d, "events").select(F.col("user_id").cast("string").alias("group_id"), F.concat(F.lit("K-"), "event_id").alias("key"), status.alias("status")))
 
 
-@query(f"""WITH {b.TICKETS}, n AS (SELECT 'BM-' || (doc_id % 40) AS key, list_sort(list_distinct(list('loghash-' || {q.short(q.norm_message("text"))}))) AS new FROM documents WHERE doc_id % 10 = 0 AND {q.norm_message("text")} <> '' GROUP BY 1)
+@query(f"""WITH {b.TICKETS}, n AS (SELECT 'BM-' || (doc_id % (SELECT count(*) FROM benchmark)) AS key, list_sort(list_distinct(list('loghash-' || {q.short(q.norm_message("text"))}))) AS new FROM documents WHERE {q.norm_message("text")} <> '' GROUP BY 1)
 SELECT key, array_to_string(list_concat(labels, coalesce(new, [])), ' ') AS labels FROM tickets LEFT JOIN n USING (key)""")
 def merge_ticket_labels(spark: SparkSession, d: str) -> DataFrame:
-    hits = b.table(spark, d, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("BM-"), F.col("doc_id") % 40).alias("ticket_key"), t.loghash("text").alias("loghash"))
-    return dedup.merge_ticket_labels(b.tickets(spark, d), hits).select("key", F.array_join("labels", " ").alias("labels"))
+    """Every document is a hit of one of the tickets."""
+    tickets = b.tickets(spark, d)
+    hits = b.table(spark, d, "documents").select(F.concat(F.lit("BM-"), F.col("doc_id") % tickets.count()).alias("ticket_key"), t.loghash("text").alias("loghash"))
+    return dedup.merge_ticket_labels(tickets, hits).select("key", F.array_join("labels", " ").alias("labels"))
 
 
 # --- time
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+COOLED = """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
 r AS (SELECT event_id, user_id, ts, n, ts AS last, TRUE AS allowed FROM e WHERE n = 1 UNION ALL
-SELECT e.event_id, e.user_id, e.ts, e.n, CASE WHEN e.ts >= r.last + INTERVAL 120 MINUTE THEN e.ts ELSE r.last END, e.ts >= r.last + INTERVAL 120 MINUTE FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
-SELECT event_id, allowed FROM r""")
+SELECT e.event_id, e.user_id, e.ts, e.n, CASE WHEN e.ts >= r.last + INTERVAL 120 MINUTE THEN e.ts ELSE r.last END, e.ts >= r.last + INTERVAL 120 MINUTE FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)"""
+
+
+def comment_hits(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.lit("team-0").alias("team_id"), F.col("user_id").cast("string").alias("ticket_key"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"{COOLED} SELECT event_id, allowed FROM r")
 def comment_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    hits = b.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.lit("team-0").alias("team_id"), F.col("user_id").cast("string").alias("ticket_key"), F.col("ts").cast("timestamp").alias("ts"))
-    return dedup.comment_cooldown(hits, 120).select("event_id", "allowed")
+    return dedup.comment_cooldown(comment_hits(spark, d), 120).select("event_id", "allowed")
+
+
+# --- files and streams: rows are written to the shared folder and read again, by streams until they have taken what is there
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """The rows as a stream of files."""
+    spark = rows.sparkSession
+    path = io.new_folder(spark, "files")
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query(f"WITH {b.AUDIT} SELECT team_id, decision, severity, count(*) AS n, count(*) FILTER (duplicate) AS duplicates, min(timestamp) AS first FROM audit GROUP BY 1, 2, 3")
+def audit_files(spark: SparkSession, d: str) -> DataFrame:
+    """Audit rows written a team a folder, and read again."""
+    path = io.new_folder(spark, "audit")
+    io.write_audit(b.audit(spark, d).drop("event_id", "ts"), path)
+    return io.read_audit(spark, path).groupBy("team_id", "decision", "severity").agg(F.count("*").alias("n"), F.count_if("duplicate").alias("duplicates"), F.min("timestamp").alias("first"))
+
+
+def log_files(spark: SparkSession, d: str) -> str:
+    """Logs as files of search responses."""
+    path = io.new_folder(spark, "events")
+    inner = F.struct(F.struct(F.col("logger").alias("name"), F.col("thread").alias("thread_name")).alias("logger"), F.struct(F.col("seq").alias("Log")).alias("properties"))
+    attributes = F.struct("message", "timestamp", "service", "status", F.col("seq").cast("string").alias("host"), inner.alias("attributes"))
+    b.logs(spark, d).select(F.array(F.struct(attributes.alias("attributes"))).alias("data")).write.json(path)
+    return path
+
+
+@query(f"WITH {b.LOGS} SELECT seq, logger, thread, message, CAST(seq AS VARCHAR) AS detail, ts FROM logs")
+def stream_logs(spark: SparkSession, d: str) -> DataFrame:
+    return streams.drained(streams.stream_logs(spark, log_files(spark, d))).select(F.col("host").cast("long").alias("seq"), "logger", "thread", "message", "detail", "ts")
+
+
+@query(f"WITH {b.LOGS}, {KEYED} SELECT DISTINCT {q.key('logger', 'norm', 'message')} AS log_key FROM keyed")
+def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are never more than the watermark apart come once, as in a table."""
+    return streams.drained(streams.stream_first_seen(streams.stream_logs(spark, log_files(spark, d)), 24 * 3650)).select("log_key")
+
+
+@query(f"WITH {PROCESSED} SELECT doc_id AS cand_id FROM documents WHERE ('team-' || (doc_id % 4), {q.short(q.key('lang', q.norm_message('text'), 'text'))}) NOT IN (SELECT (team_id, fingerprint) FROM processed)")
+def stream_new_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    cands = b.table(spark, d, "documents").select(F.col("doc_id").alias("cand_id"), F.concat(F.lit("team-"), F.col("doc_id") % 4).alias("team_id"), t.fingerprint(F.col("lang"), "text").alias("fingerprint"))
+    return streams.drained(streams.stream_new_fingerprints(streamed(cands), processed(spark, d))).select("cand_id")
+
+
+@query(f"{COOLED} SELECT CAST(user_id AS VARCHAR) AS ticket_key, ts, allowed FROM r")
+def stream_comment_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    hits = comment_hits(spark, d).drop("event_id")
+    return streams.drained(streams.stream_comment_cooldown(streamed(hits), 120)).select("ticket_key", "ts", "allowed")
 
 
 @query("""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events), m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -627,6 +693,28 @@ def investigate_job(spark: SparkSession, d: str) -> DataFrame:
     return jobs.investigate_job(questions(spark, d), b.logs(spark, d), b.tickets(spark, d), CONFIG)["actions"]
 
 
-@query(f"WITH {b.AUDIT}, own AS (SELECT * FROM audit WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 240 HOUR AND lower(severity) = 'high') SELECT strftime(ts, '%Y-%m-%d') AS bucket, {TREND} FROM own GROUP BY 1")
+OWN = f"WITH {b.AUDIT}, own AS (SELECT * FROM audit WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 240 HOUR AND lower(severity) = 'high')"
+
+
+def _report(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return jobs.report_job(b.audit(spark, d), 240, "2024-01-30 00:00:00", severity="HIGH")
+
+
+@query(f"{OWN} SELECT strftime(ts, '%Y-%m-%d') AS bucket, {TREND} FROM own GROUP BY 1")
 def report_job(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.report_job(b.audit(spark, d), 240, "2024-01-30 00:00:00", severity="HIGH")["trends"]
+    return _report(spark, d)["trends"]
+
+
+@query(f"{OWN} SELECT {SUMMARY} FROM own")
+def report_job_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)["summary"]
+
+
+@query(f"{OWN} SELECT team_id, {SUMMARY}, grouping(team_id) = 1 AS is_total FROM own GROUP BY ROLLUP (team_id)")
+def report_job_by_team(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)["by_team"]
+
+
+@query(f"{OWN}, {COUNTS.replace('FROM audit', 'FROM own')} SELECT dim, value, n, row_number() OVER (PARTITION BY dim ORDER BY n DESC, value) AS rank FROM counts QUALIFY rank <= 10")
+def report_job_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)["counts"]

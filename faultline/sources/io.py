@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,12 +109,30 @@ def write_fingerprints(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("team_id").parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the folder that the cluster names for it, so that what follows doesn't compute or plan it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints. Only a session on one machine (tests) may go without: it gets a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return _own_folder(context.applicationId)
 
-    Only where the session names no folder (tests on one machine) is one made here.
-    """
+
+@lru_cache(1)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"faultline-{application}-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for files that a job writes and reads again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoints df in the shared folder, so that what follows doesn't compute or plan it again."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

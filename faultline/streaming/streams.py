@@ -11,7 +11,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from faultline import schemas
 from faultline.operators.dedup import with_keys
-from faultline.sources.io import flatten_log_events, merge_fingerprints, read_fingerprints
+from faultline.sources.io import flatten_log_events, merge_fingerprints, new_folder, read_fingerprints
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives for the files that are there now: appended to a table in the shared folder, which is read again."""
+    spark = stream.sparkSession
+    folder = new_folder(spark, "stream")
+    sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def stream_logs(spark: SparkSession, path: str, env: str = "prod", files_per_trigger: int = 1000) -> DataFrame:

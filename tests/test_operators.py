@@ -217,8 +217,43 @@ def test_plans_have_no_cross_join(spark):
         return
     from faultline.plans import catalog
 
-    for name in ("search_tickets", "dup_label", "dup_error_type", "candidate_tickets", "first_seen", "audit_counts"):
+    for name in ("search_tickets", "dup_label", "dup_error_type", "candidate_tickets", "first_seen", "audit_counts", "rule_query_filter", "apply_cap"):
         plan = catalog.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan, name
         assert "Python" not in plan and "Arrow" not in plan, name
+    plan = catalog.QUERIES["correlate"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert bases.teams(spark).count() == 4
+
+
+def test_rule_query_filter_against_all_pairs(spark):
+    """Terms inside longer words, questions without terms, ids, services and states."""
+    rng = random.Random(3)
+    words = ["time", "timeout", "Station", "nation", "reading", "read-only", "é-time", "x123e4567-e89b-12d3-a456-426614174000y", "Überraschung", "ok"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6))), "l", rng.choice(["pay-api", "web", None]), rng.choice(["prod", "dev"]), rng.choice(["error", "warn", None]), NOW, "t", "", "") for i in range(150)]
+    rows += [rows[3], (900, None, "l", "web", "prod", "error", NOW, "t", "", "")]
+    df = spark.createDataFrame(rows, LOG)
+    queries = ["time", "the station nation", "id 123E4567-E89B-12D3-A456-426614174000", "what is in pay-api", "read only timeout", "", None, "nothing here matches"]
+    asked = [(f"q{i}{k}", t, s, "prod", k) for i, t in enumerate(queries) for s in (None, "web") for k in (True, False)]
+    asked = [(f"{q}{s}", t, s, e, k) for q, t, s, e, k in asked]
+    e = spark.createDataFrame(asked, "question_id string, query string, service string, env string, all_status boolean")
+    parts = e.select("question_id", "all_status", "env", "service", filters.extract_entities("query").alias("e")).collect()
+    want = []
+    for p in parts:
+        service = p.service or (p.e.services[0] if p.e.services else None)
+        terms = [u.lower() for u in p.e.uuids[:2]] + list(p.e.keywords[:5])
+        for r in rows:
+            if r[4] == p.env and (p.all_status or r[5] == "error") and (service is None or r[3] == service) and (not terms or r[1] is not None) and all(x in r[1].lower() for x in terms):
+                want.append((p.question_id, r[0]))
+    got = [(r.question_id, r.seq) for r in filters.rule_query_filter(df, e).collect()]
+    assert sorted(got) == sorted(want) and len({q for q, _ in want}) > 12
+
+
+def test_caps_by_slices(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(0, 10**6) * 10 + i % 10, 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "cand_id long, run_id string, seq long, cap int")
+    want = {r[0] for run in ("a", "b", None) for r in sorted((r for r in rows if r[1] == run), key=lambda r: r[2])[:7]}
+    for n in (20_000, 10):
+        assert {r.cand_id for r in dedup.apply_cap(df, rows_a_slice=n).where("decision = 'created'").collect()} == want
+    assert dedup.apply_cap(df).count() == 400 and dedup.apply_cap(df.limit(0)).collect() == []
