@@ -176,8 +176,8 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
     ball of radius 1 is emitted once for all texts that share it, and two texts meet if they differ by 2 bits at most in
     any block. With 24 blocks a pair of similarity 0.8 meets with probability 0.95, of 0.85 with 0.99. Pairs that meet are
     decided by the Jaccard similarity of their sets of shingles (named by 32 bits). Before that go pairs whose numbers of
-    shingles rule it out, and pairs that differ in more bits than expected by four standard deviations; sets of under
-    SMALL shingles, whose bits are no fair sample, are spared that.
+    shingles rule it out, and pairs that differ in more bits than expected by 2.5 standard deviations (1 in 160 of those of
+    similarity 0.8, 1 in 2,000 of those of 0.82); sets of under SMALL shingles, whose bits are no fair sample, are spared that.
 
     Blocks are taken blocks_at_once at a time, which bounds the disk that their balls take. Every pair that meets and is
     not of one class yet is settled, in two steps: first few pairs of each group, which join near copies to classes, then
@@ -192,15 +192,17 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
     drop_tables(wide)
     lot = max(lot, nodes.count() // 2)
     alike = alike_in_bits(similarity, 64 * lanes)
-    one, other = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fp").alias(f"fp_{s}")) for s in ("a", "b"))
     classes = cut_table(nodes.select("node", F.col("node").alias("root")))
 
+    settled: list[DataFrame] = []  # pairs decided already
+
     def merged(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The classes, joined where any of the pairs (a, b) are similar."""
-        at = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
-        pairs = cut_table(pairs.join(at("a"), "a").join(at("b"), "b").where("root_a <> root_b").join(one, "a").join(other, "b").where(alike).select("a", "b", "root_a", "root_b"))
+        """The classes, joined where any of the pairs (a, b, root_a, root_b) are similar. Pairs decided before are left out."""
+        if settled:
+            pairs = pairs.join(reduce(DataFrame.unionByName, settled).select("a", "b"), ["a", "b"], "left_anti")
+        pairs = cut_table(pairs)
+        settled.append(pairs)
         links = [similar_pairs(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(lots)) == k), nodes, similarity) for lots in [-(-pairs.count() // lot)] for k in range(lots)]
-        drop_tables(pairs)
         if not links:
             return classes
         every = reduce(DataFrame.unionByName, links)
@@ -213,10 +215,14 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
         blocks = block_codes(nodes, start, blocks_at_once)
         reps = cut_table(blocks.groupBy("code").agg(F.min("node").alias("rep")))
         crowd = cut_table(ball_groups(reps))
-        classes = merged(classes, few_pairs(blocks, reps, crowd))
-        met = open_pairs(blocks.join(classes, "node"), crowd, one, other, alike, tile)
+        sets = nodes.select("node", "n", "fp").join(classes, "node")
+        one, other = (sets.select(F.col("node").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in ("root", "n", "fp")]) for s in ("a", "b"))
+        few = few_pairs(blocks, reps, crowd).join(one, "a").join(other, "b").where("root_a <> root_b").where(alike)
+        classes = merged(classes, few.select("a", "b", "root_a", "root_b"))
+        met = open_pairs(blocks.join(classes, "node"), crowd, nodes.select("node", "n", "fp"), alike, tile)
         classes = merged(classes, met)
         drop_tables(reps, crowd, met)
+    drop_tables(*settled)
     out = cut_table(nodes.select("node", "least").join(classes, "node"))
     drop_tables(nodes, classes)
     return rows, out
@@ -226,13 +232,13 @@ def alike_in_bits(similarity: float, bits: int) -> Column:
     """Whether sets of n_a and n_b shingles with the bits fp_a and fp_b may be similar: see similar_nodes."""
     share = acos(2 * similarity / (1 + similarity)) / pi
     differ = F.aggregate(F.zip_with("fp_a", "fp_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    near = differ <= int(share * bits + 4 * sqrt(share * (1 - share) * bits))
+    near = differ <= int(share * bits + 2.5 * sqrt(share * (1 - share) * bits))
     return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & ((F.least("n_a", "n_b") < SMALL) | near)
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b, ...) whose sets of shingles have the similarity, as a table."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     sets = cut_table(nodes.select("node", "codes").join(asked, "node", "left_semi"))
     x, y = (sets.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}")) for s in ("a", "b"))
     shared = F.size(F.array_intersect("codes_a", "codes_b"))
@@ -296,34 +302,47 @@ def few_pairs(blocks: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_pairs(blocks: DataFrame, crowd: DataFrame, one: DataFrame, other: DataFrame, alike: Column, tile: int) -> DataFrame:
-    """(a, b), distinct: all pairs of nodes of different roots whose codes in a block are equal or share a ball, and that are alike.
+def open_pairs(blocks: DataFrame, crowd: DataFrame, sets: DataFrame, alike: Column, tile: int) -> DataFrame:
+    """(a, b, root_a, root_b), distinct, a table: all pairs of nodes of different roots whose codes in a block are equal or
+    share a ball, and that are alike.
 
-    A table. blocks: (node, code, root). Of two codes that met, the larger's largest class is set apart: its nodes meet only nodes of
-    other classes, so that many near copies of one class don't meet each other again. A code's nodes are dealt to tiles of
-    about `tile`; each pair of tiles is a group of its own.
+    blocks: (node, code, root); sets: (node, n, fp). Only groups of codes that hold several roots are looked at. Of two codes
+    that met the larger is home, and the nodes of the other visit it. Home's largest class, its top, is set apart: nodes of
+    that class visit only nodes beyond it, so that many near copies of one class don't meet each other again. Home nodes are
+    dealt to tiles of about `tile`, which visitors visit one by one.
     """
     sizes = blocks.groupBy("code", "root").agg(F.count("*").alias("m"))
-    groups = cut_table(sizes.groupBy("code").agg(F.sum("m").alias("n"), F.max_by("root", F.struct("m", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")))
-    side = lambda c: groups.select(F.col("code").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "top", "lo", "hi")])
-    near = crowd.select("v", F.col("code").alias("c")).join(crowd.select("v", F.col("code").alias("d")), "v").where("c < d").select("c", "d").distinct()
-    same = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"))
-    met = near.unionByName(same).join(side("c"), "c").join(side("d"), "d").where("least(lo_c, lo_d) <> greatest(hi_c, hi_d)")
-    tiles = lambda c: F.ceil(F.col(f"n_{c}") / tile).cast("int").alias(f"tiles_{c}")
-    beyond = lambda c: ((F.col(f"lo_{c}") != F.col("top")) | (F.col(f"hi_{c}") != F.col("top"))).alias(f"beyond_{c}")
-    met = met.withColumn("top", F.when(F.col("n_c") >= F.col("n_d"), F.col("top_c")).otherwise(F.col("top_d"))).select("c", "d", "top", tiles("c"), tiles("d"), beyond("c"), beyond("d"))
-    met = cut_table(met)
-    left, right = (blocks.select(F.col("code").alias(k), F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for k, s in (("c", "a"), ("d", "b")))
-
-    def joined(some: DataFrame, a_rows: Column, b_rows: Column) -> DataFrame:
-        a = left.join(some, "c").where(a_rows).join(one, "a").withColumn("i", F.expr("cast(pmod(xxhash64(a), tiles_c) as int)")).withColumn("j", F.explode(F.expr("sequence(0, tiles_d - 1)")))
-        b = right.join(some, "d").where(b_rows).join(other, "b").withColumn("j", F.expr("cast(pmod(xxhash64(b), tiles_d) as int)")).withColumn("i", F.explode(F.expr("sequence(0, tiles_c - 1)")))
-        b = b.drop("top", "tiles_c", "tiles_d", "beyond_c", "beyond_d")
-        return a.join(b, ["c", "d", "i", "j"]).where("root_a <> root_b and (c <> d or root_a = top or a < b)").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    every = joined(met.where("beyond_d"), F.lit(True), F.col("root_b") != F.col("top"))
-    rest = joined(met.where("beyond_c and c <> d"), F.col("root_a") != F.col("top"), F.col("root_b") == F.col("top"))
-    out = cut_table(every.unionByName(rest).distinct())
+    groups = sizes.groupBy("code").agg(F.sum("m").alias("n"), F.max_by("root", F.struct("m", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    groups = cut_table(groups.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")))
+    held = crowd.select("v", "code").join(groups, "code").groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("n", "code", "top", "lo", "hi", "tiles")).alias("codes")).where("lo <> hi")
+
+    def home_to(c: Column, d: Column) -> Column:
+        """Two codes share two values, of which the smaller one counts; n, then the code, says which is home."""
+        once = F.col("v") < F.col("v").bitwiseXOR(c["code"]).bitwiseXOR(d["code"])
+        larger = (c["n"] > d["n"]) | (c["n"] == d["n"]) & (c["code"] > d["code"])
+        return once & larger & (F.least(c["lo"], d["lo"]) != F.greatest(c["hi"], d["hi"]))
+
+    def pair(c: Column, d: Column) -> Column:
+        beyond = (c["lo"] != c["top"]) | (c["hi"] != c["top"])
+        return F.struct(c["code"].alias("c"), d["code"].alias("d"), c["top"].alias("top"), c["tiles"].alias("tiles"), beyond.alias("beyond"))
+
+    every = F.flatten(F.transform("codes", lambda c: F.transform(F.filter("codes", lambda d: home_to(c, d)), lambda d: pair(c, d))))  # at most 33 codes
+    own = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"), "top", "tiles", F.lit(True).alias("beyond"))
+    met = cut_table(held.select(F.explode(every).alias("p")).select("p.*").unionByName(own))
+    side = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("node", "root", "n", "fp")]
+    homes = blocks.join(met.select("c", "top", "tiles").distinct(), F.col("code") == F.col("c")).join(sets, "node")
+    homes = homes.select("c", *side("a"), F.expr("cast(pmod(xxhash64(node), tiles) as int)").alias("i"), (F.col("root") != F.col("top")).alias("open"))
+    guests = blocks.join(met, F.col("code") == F.col("d")).join(sets, "node").select("c", "d", "top", "tiles", "beyond", *side("b"))
+
+    def visited(homes: DataFrame, guests: DataFrame) -> DataFrame:
+        there = guests.withColumn("i", F.explode(F.expr("sequence(0, tiles - 1)"))).drop("tiles", "beyond")
+        pairs = homes.join(there, ["c", "i"]).where("root_a <> root_b and (c <> d or root_a = top or node_a < node_b)").where(alike)
+        ordered = F.when(F.col("node_a") < F.col("node_b"), F.struct(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b"))
+        return pairs.select(ordered.otherwise(F.struct(F.col("node_b").alias("a"), F.col("node_a").alias("b"), F.col("root_b").alias("root_a"), F.col("root_a").alias("root_b"))).alias("p")).select("p.*")
+
+    strangers = visited(homes, guests.where("root_b <> top"))
+    rest = visited(homes.where("open"), guests.where("root_b = top and beyond and c <> d"))
+    out = cut_table(strangers.unionByName(rest).distinct())
     drop_tables(groups, met)
     return out
 
