@@ -26,6 +26,8 @@ def rotation(dim: int) -> np.ndarray:
 
 
 def unit_vectors(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Powers of two are taken out first, which loses nothing, so that no square over- or underflows."""
+    values = np.ldexp(values, -np.frexp(np.abs(values).max(axis=1, keepdims=True))[1])
     return values / np.sqrt((values * values).sum(axis=1))[:, None]
 
 
@@ -36,6 +38,8 @@ def distinct_vectors(vectors: DataFrame, id_column: str, vector_column: str) ->
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     usable = rows.where(F.col("v").isNotNull()).where(finite).where(F.exists("v", lambda x: x != 0))
     return usable.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+
+
 def spread(vectors: DataFrame, threshold: float, block_dims: int, grid_dims: int) -> DataFrame:
     """Rows (cell, home, block, node, copies, u): each vector at its own cell of every block, and at those it probes.
 

@@ -29,7 +29,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultline.llm.embeddings import embedding_classes
 
     classes = embedding_classes(read(spark, sf_dir, "embeddings"), threshold=0.95)
-    return classes.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return classes.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
