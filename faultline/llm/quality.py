@@ -61,7 +61,7 @@ def hashed_ngrams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, n
     cols, rows = [], []
 
     def add(values: np.ndarray, at: np.ndarray, salt: int) -> None:
-        cols.append(ts.mix(values + np.uint64(salt) * ts.BASE) >> np.uint64(64 - bits))
+        cols.append(ts.mix(values + np.array([salt], np.uint64) * ts.BASE) >> np.uint64(64 - bits))
         rows.append(at)
 
     add(token, doc, 1)
@@ -102,8 +102,11 @@ def hashed_ngrams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, n
     row = np.concatenate([row, *[has] * len(extra)])
     col = np.concatenate([col, *(e.astype(np.int64) for e in extra)])
     value = np.concatenate([value, np.full(len(has) * len(extra), 0.35)])
-    order = np.argsort(row, kind="stable")
-    return np.searchsorted(row[order], np.arange(n + 1)), col[order], value[order]
+    # An n-gram and a word about the whole text may share a column: their values add up, so each column stands once in a row.
+    order = np.argsort(row << bits | col, kind="stable")
+    row, col, value = row[order], col[order], value[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1]))))
+    return np.searchsorted(row[first], np.arange(n + 1)), col[first], np.add.reduceat(value, first)
 
 
 def ftrl(texts: list[str], labels: np.ndarray, bits: int, epochs: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
@@ -117,7 +120,6 @@ def ftrl(texts: list[str], labels: np.ndarray, bits: int, epochs: int, alpha: fl
     for _ in range(epochs):
         for i in order.permutation(len(blocks)):
             col, value = blocks[i]
-            # A column may stand twice in a row (an n-gram and a word about the whole text): it counts once with the later value.
             zi, gi = z[col], g2[col]
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(gi)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(w @ value, -30, 30)))
@@ -131,12 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     """Weights from about max_rows labelled rows at most, none of them held out.
 
     The rows are dealt to `learners` tasks, each of which runs FTRL over its share (max_rows bounds it); the mean of
-    their weights is the model. Without labelled rows all weights are 0 and every score is one half.
+    their weights is the model. Without labelled rows all weights are 0 and every score is one half, as with an empty
+    table of either. Null texts are learnt from as empty; rows that repeat an id are all learnt from, with the id's label;
+    columns other than the id, the text and the label are not read. Equal ids go by text, so reruns agree.
     """
     rows = sample(docs, labels, label, max_rows).withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(learners)))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id")
+        group = group.sort_values(["doc_id", "text"])
         w = ftrl(group["text"].tolist(), group["label"].to_numpy(), bits, epochs)
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "n": [len(group)]})
 
@@ -147,7 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and score, from 0 to 1: sparse dot products, in a narrow job. Null texts are scored as empty."""
+    """The kept columns and score, from 0 to 1: sparse dot products, in a narrow job.
+
+    Null texts are scored as empty, long ones as a whole; equal texts get equal scores; an empty table gives no rows;
+    columns that are not kept are not read, whatever their names.
+    """
     bits = int(len(weights) - 1).bit_length() - 1
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 4 bytes * 2**bits
@@ -156,8 +164,8 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id
         w = sent.value
         for part in ts.slices(batches, "text", 2 << 20):
             off, col, value = hashed_ngrams(part.column("text").fill_null(""), bits)
-            sums = np.concatenate(([0.0], np.cumsum(w[col] * value)))
-            total = sums[off[1:]] - sums[off[:-1]] + 0.5 * w[-1]
+            n = len(off) - 1  # each text is summed by itself, so that equal texts get equal scores in any batch
+            total = np.bincount(np.repeat(np.arange(n), np.diff(off)), w[col] * value, n) + 0.5 * w[-1]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*keep, "score"])
 
     picked = docs.select(*keep, *([] if "text" in keep else [docs["text"].cast("string").alias("text")]))

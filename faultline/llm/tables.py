@@ -38,6 +38,8 @@ def _own_folder(application: str) -> str:
 def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Adds key_id and key_text: rows that repeat both id and text share a key; a null id sorts last.
 
+    Ids are whole numbers below 2**63 - 1, which stands for null.
+
     key_text is a hash of the text, and 0 for all rows if no id stands twice, which is counted first.
     """
     repeated = not df.groupBy(id_column).count().where("count > 1").isEmpty()

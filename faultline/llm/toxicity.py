@@ -141,7 +141,12 @@ class ToxicityModel:
     base_rate: float
 
     def score(self, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-        """The kept columns of docs and score, from 0 to 1. A narrow job."""
+        """The kept columns of docs and score, from 0 to 1. A narrow job.
+
+        Null texts are scored as empty, long ones as a whole; equal texts get equal scores; an empty table gives no rows.
+        Other columns are not read; kept ones must not be named x, features, p, score or as the trees' outputs: pack rows
+        with such columns in a struct, as drop_toxic does.
+        """
         if self.trees is None:
             return docs.select(*keep).withColumn("score", F.lit(self.base_rate))
         x = with_features(docs, self.features, keep).withColumn("features", array_to_vector("x"))
@@ -165,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     """Learns from at most about max_rows labelled rows that are not held out.
 
     Half of them teach the lexicon, a third the trees and the rest the calibration, so that none is judged on the rows
-    it has learnt from. Without rows of both labels every score is the share of label 1.
+    it has learnt from. Without rows of both labels every score is the share of label 1, and 0 if a table is empty.
+    Null texts are learnt from as empty; rows that repeat an id are all learnt from, with the id's label; columns other
+    than the id, the text and the label are not read.
     """
     rows = sample(docs, labels, label, max_rows)
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(12))
