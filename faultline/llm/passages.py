@@ -57,12 +57,50 @@ def segments(open_docs: DataFrame, window: int) -> DataFrame:
     return open_docs.mapInArrow(run, SEGMENTS)
 
 
+def backward(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Backward search of pieces of the indexed text: matching statistics of their ends, as far as the pieces reach.
+
+    Returns the words matched and the range of suffixes of that match. A search ends when one suffix is left, the piece
+    itself; a piece is repeated if it matches in its whole length.
+    """
+    lo, hi, matched = np.zeros(len(start), np.int64), np.full(len(start), index.n), np.zeros(len(start), np.int64)
+    live = np.arange(len(start))
+    for k in range(int(length.max(initial=0))):
+        live = live[length[live] > k]
+        c = text[start[live] + length[live] - 1 - k] + 1
+        low = index.less[c] + index.tree.rank(c, lo[live])
+        high = index.less[c] + index.tree.rank(c, hi[live])
+        several = high - low > 1
+        live = live[several]
+        if not len(live):
+            break
+        lo[live], hi[live], matched[live] = low[several], high[several], k + 1
+    return matched, lo, hi
+
+
+def first_document(index: FMIndex, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least document id among the text positions of each range. ids: the id at each position."""
+    if not len(lo):
+        return np.zeros(0, np.int64)
+    ranges, which = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    count = ranges[:, 1] - ranges[:, 0]
+    begin = np.cumsum(count) - count
+    rows = np.arange(count.sum()) + np.repeat(ranges[:, 0] - begin, count)
+    return np.minimum.reduceat(ids[index.locate(rows)], begin)[which]
+
+
 def match_shard(shard: list[np.ndarray], key_id: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows of a shard's segments (segment, place) that also start in a document with a smaller id.
 
-    Indexes all segments and streams all their windows through a backward search. A window whose range of suffixes has
-    shrunk to one has only itself and is dropped; those that keep a range over all their words reach the threshold. The
-    range is located and its least document compared with the window's own.
+    Indexes all segments and streams them through backward searches:
+
+    - of the words that all windows of a segment share; if only one suffix has them, no window repeats;
+    - of the whole segment; if an earlier document has it, all its windows repeat. If it occurs as often as the shared
+      words do, so does each window between them, at the same places, and what holds for the segment holds for them;
+    - of each window of the other segments, which are those at the edges of repeated passages.
+
+    Ranges that reach the threshold are located and their least document compared with the segment's own.
     """
     vocab, number = np.unique(np.concatenate(shard), return_inverse=True)
     size = np.array([len(s) for s in shard], np.int64)
@@ -72,27 +110,27 @@ def match_shard(shard: list[np.ndarray], key_id: np.ndarray, n: np.ndarray, wind
     inside = np.arange(len(text)) - start[owner] < size[owner]
     text[inside] = number + 1
     index = FMIndex(text, len(vocab) + 1)
-    seg = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = start[seg] + place
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.n)
-    live = np.arange(len(at))
-    for k in range(window - 1, -1, -1):
-        c = text[at[live] + k] + 1
-        low = index.less[c] + index.tree.rank(c, lo[live])
-        high = index.less[c] + index.tree.rank(c, hi[live])
-        lo[live], hi[live] = low, high
-        live = live[high - low > 1]
-        if not len(live):
-            return seg[live], place[live]
-    ranges, which = np.unique(lo[live], return_inverse=True)
-    count = np.zeros(len(ranges), np.int64)
-    count[which] = (hi - lo)[live]
-    rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ranges, count)
-    ids = key_id[owner[index.locate(rows)]]
-    least = np.minimum.reduceat(ids, np.cumsum(count) - count)
-    found = live[key_id[seg[live]] > least[which]]
-    return seg[found], place[found]
+    ids = key_id[owner]
+    matched, lo, hi = backward(index, text, start + n - 1, window - n + 1)
+    some = np.flatnonzero(matched == window - n + 1)
+    shared = (hi - lo)[some]
+    matched, lo, hi = backward(index, text, start[some], size[some])
+    whole = matched == size[some]
+    earlier = np.zeros(len(some), bool)
+    earlier[whole] = first_document(index, ids, lo[whole], hi[whole]) < key_id[some[whole]]
+    edge = some[~earlier & ~(whole & (hi - lo == shared))]
+    done = some[earlier]
+    seg, place = windows_of(edge, n)
+    matched, lo, hi = backward(index, text, start[seg] + place, np.full(len(seg), window))
+    repeated = np.flatnonzero(matched == window)
+    found = repeated[first_document(index, ids, lo[repeated], hi[repeated]) < key_id[seg[repeated]]]
+    return tuple(np.concatenate(x) for x in zip((seg[found], place[found]), windows_of(done, n), strict=True))
+
+
+def windows_of(segs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place) of all windows of some segments; n: the windows of each."""
+    n = n[segs]
+    return np.repeat(segs, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def match(segs: DataFrame, window: int, shard_words: int = 300_000) -> DataFrame:
@@ -140,9 +178,16 @@ def match(segs: DataFrame, window: int, shard_words: int = 300_000) -> DataFrame
 
 
 def repeated_passages(keyed: DataFrame, window: int, gram: int) -> DataFrame:
-    """Runs of windows (key_id, key_text, lo, n) whose words also start in a document with a smaller id."""
+    """Runs of windows (key_id, key_text, lo, n) whose words also start in a document with a smaller id.
+
+    Anchors route: runs whose anchor stands at one place only can't repeat and are dropped; all others go to the shard of
+    their anchor, where the index decides. Before that only copies are combined: runs equal as a whole within one slice of
+    texts, so that a group of copies sends a run once a slice, and, as they are hot keys, all runs of heavy anchors.
+    """
     heavy = repeats.heavy_anchors(keyed, "words", window, gram, True)
-    settled = cut_table(repeats.settle(repeats.scan(keyed, "words", window, gram, True, heavy), True))
+    runs = repeats.scan(keyed, "words", window, gram, True, heavy)
+    apart = runs.withColumn("c", F.when(F.col("heavy"), F.col("c")).otherwise(F.xxhash64(*KEYS, "lo")))
+    settled = cut_table(repeats.settle(apart, True))
     known = settled.where("known").select(*KEYS, "lo", "n")
     segs = segments(repeats.with_runs(keyed, settled.where("not known"), "inner", ("lo", "n", "h", "heavy")), window)
     return known.unionByName(match(segs, window))

@@ -91,6 +91,44 @@ def test_bytes_of_a_heavy_anchor(docs, corpus, monkeypatch):
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == {(i, *v) for i, v in want.items()}
 
 
+def test_match_shard():
+    """Segments of windows around shared gram: copies, edges of repeats, one document twice, one window each."""
+    rng = np.random.default_rng(5)
+    for window, most in ((10, 6), (10, 1), (4, 3)):
+        stock = rng.integers(0, 4, 60).astype(np.uint64) * np.uint64(7) + np.uint64(3)
+        shard, n, key_id = [], [], []
+        for _ in range(80):
+            k = int(rng.integers(1, most + 1))
+            at = int(rng.integers(0, 60 - k - window + 2))
+            words = stock[at : at + k + window - 1].copy()
+            if rng.random() < 0.5:
+                words[rng.integers(0, len(words))] = rng.integers(10**6)
+            shard.append(words), n.append(k), key_id.append(int(rng.integers(0, 30)))
+        first = {}
+        for words, k, i in zip(shard, n, key_id):
+            for p in range(k):
+                w = words[p : p + window].tobytes()
+                first[w] = min(first.get(w, i), i)
+        want = {(j, p) for j, words in enumerate(shard) for p in range(n[j]) if first[words[p : p + window].tobytes()] < key_id[j]}
+        seg, place = passages.match_shard(shard, np.array(key_id), np.array(n), window)
+        assert len(seg) == len(want) and set(zip(seg.tolist(), place.tolist())) == want and want
+
+
+def test_index_decides(docs):
+    """Between slices, no run is settled before it meets the index."""
+    from faultline.llm import repeats
+    from faultline.llm.tables import doc_key
+
+    keyed = doc_key(docs.select("doc_id", "text"))
+    spread = keyed.repartition(keyed.count(), "key_id")
+    runs = passages.repeated_passages(spread, 50, 25)
+    assert runs.count() > 0
+    apart = repeats.scan(spread, "words", 50, 25, True).withColumn("c", F.xxhash64("key_id", "key_text", "lo"))
+    met = repeats.settle(apart, True)
+    within = {(r.key_id, r.lo) for r in repeats.scan(spread, "words", 50, 25, True).where("known").collect()}
+    assert {(r.key_id, r.lo) for r in met.where("known").collect()} == within
+
+
 def test_passages_empty(no_docs):
     assert passages.remove_passages(no_docs).collect() == []
 
