@@ -13,7 +13,7 @@ from faultline.llm import repeats
 from faultline.llm import textscan as ts
 from faultline.llm.fmindex import FMIndex
 from faultline.llm.repeats import KEYS
-from faultline.llm.tables import cut_table, doc_key
+from faultline.llm.tables import cut_table, doc_key, drop_tables
 
 SEGMENTS = "known boolean, shard long, key_id long, key_text long, lo int, n int, words binary"
 
@@ -68,8 +68,7 @@ def backward(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
     for k in range(int(length.max(initial=0))):
         live = live[length[live] > k]
         c = text[start[live] + length[live] - 1 - k] + 1
-        low = index.less[c] + index.tree.rank(c, lo[live])
-        high = index.less[c] + index.tree.rank(c, hi[live])
+        low, high = index.less[c] + index.tree.rank(c, np.stack([lo[live], hi[live]]))
         several = high - low > 1
         live = live[several]
         if not len(live):
@@ -95,10 +94,11 @@ def match_shard(shard: list[np.ndarray], key_id: np.ndarray, n: np.ndarray, wind
 
     Indexes all segments and streams them through backward searches:
 
-    - of the words that all windows of a segment share; if only one suffix has them, no window repeats;
-    - of the whole segment; if an earlier document has it, all its windows repeat. If it occurs as often as the shared
-      words do, so does each window between them, at the same places, and what holds for the segment holds for them;
-    - of each window of the other segments, which are those at the edges of repeated passages.
+    - of the whole segment; if an earlier document has it, all its windows repeat;
+    - of the words that all windows of a segment share, for the other segments; if only one suffix has them, no window
+      repeats. If they occur as often as the whole segment does, so does each window between them, at the same places,
+      and no earlier document has one;
+    - of each window of the segments that are left, which are those at the edges of repeated passages.
 
     Ranges that reach the threshold are located and their least document compared with the segment's own.
     """
@@ -111,15 +111,14 @@ def match_shard(shard: list[np.ndarray], key_id: np.ndarray, n: np.ndarray, wind
     text[inside] = number + 1
     index = FMIndex(text, len(vocab) + 1)
     ids = key_id[owner]
-    matched, lo, hi = backward(index, text, start + n - 1, window - n + 1)
-    some = np.flatnonzero(matched == window - n + 1)
-    shared = (hi - lo)[some]
-    matched, lo, hi = backward(index, text, start[some], size[some])
-    whole = matched == size[some]
-    earlier = np.zeros(len(some), bool)
-    earlier[whole] = first_document(index, ids, lo[whole], hi[whole]) < key_id[some[whole]]
-    edge = some[~earlier & ~(whole & (hi - lo == shared))]
-    done = some[earlier]
+    matched, lo, hi = backward(index, text, start, size)
+    whole = matched == size
+    earlier = np.zeros(len(size), bool)
+    earlier[whole] = first_document(index, ids, lo[whole], hi[whole]) < key_id[whole]
+    often = np.where(whole, hi - lo, 1)
+    done, rest = np.flatnonzero(earlier), np.flatnonzero(~earlier)
+    matched, lo, hi = backward(index, text, start[rest] + n[rest] - 1, window - n[rest] + 1)
+    edge = rest[(matched == window - n[rest] + 1) & (hi - lo > often[rest])]
     seg, place = windows_of(edge, n)
     matched, lo, hi = backward(index, text, start[seg] + place, np.full(len(seg), window))
     repeated = np.flatnonzero(matched == window)
@@ -180,17 +179,19 @@ def match(segs: DataFrame, window: int, shard_words: int = 300_000) -> DataFrame
 def repeated_passages(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     """Runs of windows (key_id, key_text, lo, n) whose words also start in a document with a smaller id.
 
-    Anchors route: runs whose anchor stands at one place only can't repeat and are dropped; all others go to the shard of
+    Anchors route: runs whose anchor stands in one document only can't count and are dropped; all others go to the shard of
     their anchor, where the index decides. Before that only copies are combined: runs equal as a whole within one slice of
     texts, so that a group of copies sends a run once a slice, and, as they are hot keys, all runs of heavy anchors.
     """
     heavy = repeats.heavy_anchors(keyed, "words", window, gram, True)
     runs = repeats.scan(keyed, "words", window, gram, True, heavy)
-    apart = runs.withColumn("c", F.when(F.col("heavy"), F.col("c")).otherwise(F.xxhash64(*KEYS, "lo")))
+    apart = runs.withColumn("c", F.when(F.col("heavy"), F.col("c")).otherwise(F.xxhash64(*KEYS)))
     settled = cut_table(repeats.settle(apart, True))
     known = settled.where("known").select(*KEYS, "lo", "n")
     segs = segments(repeats.with_runs(keyed, settled.where("not known"), "inner", ("lo", "n", "h", "heavy")), window)
-    return known.unionByName(match(segs, window))
+    found = cut_table(known.unionByName(match(segs, window)))
+    drop_tables(settled)
+    return found
 
 
 def remove_passages(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
@@ -205,7 +206,7 @@ def remove_passages(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFr
     empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
-    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[c for c in names if c != "text"]).alias("row"))
     keyed = doc_key(whole)
     covered = repeats.with_runs(keyed, repeated_passages(keyed, window, gram), "left")
     row = whole.schema["row"].dataType.simpleString()

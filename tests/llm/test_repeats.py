@@ -123,7 +123,7 @@ def test_index_decides(docs):
     spread = keyed.repartition(keyed.count(), "key_id")
     runs = passages.repeated_passages(spread, 50, 25)
     assert runs.count() > 0
-    apart = repeats.scan(spread, "words", 50, 25, True).withColumn("c", F.xxhash64("key_id", "key_text", "lo"))
+    apart = repeats.scan(spread, "words", 50, 25, True).withColumn("c", F.xxhash64("key_id", "key_text"))
     met = repeats.settle(apart, True)
     within = {(r.key_id, r.lo) for r in repeats.scan(spread, "words", 50, 25, True).where("known").collect()}
     assert {(r.key_id, r.lo) for r in met.where("known").collect()} == within
