@@ -93,13 +93,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from faultline.llm.alignment import align
+
+    found = align(read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.with_rest(found.texts.withColumn("groups_sha256", digest).drop("groups"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup, op11_token_alignment, pipeline)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -50,17 +50,18 @@ def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_table(df: DataFrame) -> DataFrame:
+def cut_table(df: DataFrame, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that what follows doesn't compute it anew.
 
     Once it is written, the shuffle files behind it are of no more use and are removed. drop_tables removes the table.
+    options: of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/faultline-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     table = spark.read.schema(df.schema).parquet(path)
