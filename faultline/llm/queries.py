@@ -103,13 +103,19 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.with_rest(found.texts.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.llm.spelling import spelling_groups
+
+    return spelling_groups(read(spark, sf_dir, "documents"), least_length=6, least_count=5, every=199, factor=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup, op11_token_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup, op11_token_alignment, op12_spelling_variants, pipeline)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
