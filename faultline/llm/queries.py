@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import read
+from faultline.llm.tables import read, shared_folder
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +109,25 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(read(spark, sf_dir, "documents"), least_length=6, least_count=5, every=199, factor=5)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from faultline.llm.grammar import read_ids, write_ids
+
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    write_ids(read(spark, sf_dir, "documents"), path, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup, op11_token_alignment, op12_spelling_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_simhash, op6_token_counts, op7_quality, op8_suffix_array_dedup, op9_source_mixing, op10_substring_dedup, op11_token_alignment, op12_spelling_variants, op13_token_files, pipeline)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
