@@ -49,7 +49,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
         often = np.flatnonzero((times >= least) & (keys >= 0))
         if not len(often):
             break
-        chosen = often[np.argsort(-times[often], kind="stable")[:room]]
+        chosen = often[np.lexsort((slots(keys[often]), -times[often]))[:room]]  # ties by a hash, as neighbours in a repeated passage tie
         wanted = keys[chosen]
         table = np.full(1 << 18, len(chosen), np.int32)  # of two pairs that share a slot the more frequent one stays
         table[slots(wanted)[::-1]] = np.arange(len(chosen))[::-1]
@@ -204,7 +204,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard
             row = [pa.array([part]), pa.array([number]), pa.array([before]), pa.array([n]), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), pa.array([pack(ids, ends, base)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "before", "n_ids", "doc_ids", "payload"])
 
-        for rows in slices(batches, "text", 1 << 20):
+        for rows in slices(batches, "text", min(1 << 20, 2 * shard)):
             ids, of = own.encode(rows.column("text").fill_null("").to_pylist())
             held.append(np.insert(ids, of[1:], end_id))
             sizes.append(np.diff(of) + 1)
