@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: White space in any of the libraries, and the mark that stands for a space inside pieces.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u2581"
 MARK = "\u2581"
-BLANK = re.compile(f"[{BLANKS}]")
 GAP = re.compile(f"(?<=[^{BLANKS}]) (?=[^{BLANKS}])")
 ODD_GAPS = tuple(dict.fromkeys([b + " " for b in BLANKS] + [" " + b for b in BLANKS]))
 ODD_ASCII = tuple(g for g in ODD_GAPS if g.isascii())
@@ -38,7 +37,7 @@ class WordEncoder:
 
     table: list[bytes]
 
-    def __init__(self, words: int = 600_000, letters: int = 16_000_000):
+    def __init__(self, words: int = 1_000_000, letters: int = 16_000_000):
         self.sizes = np.array([len(b) for b in self.table], np.int64)
         self.starts = np.array([b[:1] == b" " for b in self.table], bool)
         self.words, self.letters = words, letters
@@ -59,7 +58,7 @@ class WordEncoder:
 
     def learn(self, fresh: list[str], known: dict[str, int], spaced: bool) -> None:
         """Adds chunks, which stand after a space or (spaced=False) at the start of a text."""
-        plain = [c for c in fresh if not BLANK.search(c)] if spaced else []
+        plain = [c for c in fresh if " " not in c and MARK not in c] if spaced else []
         parts: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         names: list[str] = []
@@ -86,6 +85,15 @@ class WordEncoder:
         known.update(zip(names, range(base, base + len(names)), strict=True))
         self.held += sum(map(len, names))
 
+    def looked_up(self, words: list[str], known: dict[str, int], spaced: bool) -> np.ndarray:
+        """The number under which each chunk is known; those that aren't yet are learnt."""
+        codes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(codes < 0).tolist()
+        if new:
+            self.learn(list({words[k] for k in new}), known, spaced)
+            codes[new] = [known[words[k]] for k in new]
+        return codes
+
     def encode(self, texts: list[str], space_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin. space_first: a space goes before each text."""
         if len(self.count) > self.words or self.held > self.letters:
@@ -99,13 +107,9 @@ class WordEncoder:
             heads = [e[0] for e in every]
             for i in first.tolist():
                 words[i] = ""
-            if fresh := list(set(heads).difference(self.known_first)):
-                self.learn(fresh, self.known_first, spaced=False)
-        if fresh := list(set(words).difference(self.known)):
-            self.learn(fresh, self.known, spaced=True)
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        codes = self.looked_up(words, self.known, spaced=True)
         if heads:
-            codes[first] = np.fromiter(map(self.known_first.__getitem__, heads), np.int64, len(heads))
+            codes[first] = self.looked_up(heads, self.known_first, spaced=False)
         size = self.count[codes]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]

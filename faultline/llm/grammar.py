@@ -21,7 +21,7 @@ HEAD = "<6q"  # bytes a symbol, base, rules, documents, symbols, ids
 SHARD = 1 << 19
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 8, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 6, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), symbols and where each document's symbols end.
 
     ids: of all documents, below base; ends: where each document's end. Each round counts the pairs of neighbours inside
