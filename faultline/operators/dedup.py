@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from faultline.config import RunConfig
 from faultline.functions.text import fingerprint, log_key, logger_fingerprint, loghash_of, normalize_log_message
+from faultline.operators.asof import last_before, numbered, same
+from faultline.operators.components import components
 from faultline.operators.similarity import dup_similarity
-from faultline.sources.io import settled
+from faultline.sources.io import drop_tables, settled
 
 HITS = "cand_id long, ticket_key string, score double, message string"
 # Which decision a strategy leads to.
@@ -95,18 +97,19 @@ def dup_label(cands: DataFrame, tickets: DataFrame, prefix: str = "loghash", col
 def dup_error_type(cands: DataFrame, tickets: DataFrame, days: int = 7) -> DataFrame:
     """Candidates whose project has a ticket, open or not, labelled datadog-log and with the error type, of the last days.
 
-    `as_of` of the candidate is the end of the window. An interval join on (project, type, day): tickets are dealt to the
-    days they count for, so a hot type is joined day by day.
+    `as_of` of the candidate is the end of the window; of several tickets the newest counts, of equally new ones the largest
+    key. An as-of join: the last ticket before each distinct (project, type, as_of), which then has to be new enough.
     """
-    made = tickets.where(F.array_contains("labels", "datadog-log")).select("project", "key", "created", F.explode("labels").alias("error_type")).where("error_type <> 'datadog-log'")
-    # One ticket a project, type and day is enough before the candidate's own day; inside it and at the far end all count.
-    day = F.explode(F.sequence(F.to_date("created"), F.date_add(F.to_date("created"), days))).alias("day")
-    dealt = made.select("project", "error_type", "key", "created", day)
+    made = tickets.where(F.array_contains("labels", "datadog-log")).select("project", "key", F.col("created").alias("as_of"), F.explode("labels").alias("error_type")).where("error_type <> 'datadog-log'")
     kind = F.lower(F.trim("error_type"))
-    asked = cands.where(~F.coalesce(kind, F.lit("")).isin("", "unknown")).select("cand_id", "project", kind.alias("error_type"), "as_of", F.to_date("as_of").alias("day"))
-    pairs = asked.join(dealt, ["project", "error_type", "day"]).where((F.col("created") <= F.col("as_of")) & (F.col("created") >= F.col("as_of") - F.expr(f"INTERVAL {int(days)} DAYS")))
-    newest = pairs.groupBy("cand_id").agg(F.max_by("key", F.struct("created", "key")).alias("ticket_key"))
-    return newest.select("cand_id", "ticket_key", F.lit(0.95).alias("score"), F.lit("recent ticket of this error type").alias("message"))
+    asked = cands.where(~F.coalesce(kind, F.lit("")).isin("", "unknown")).select("cand_id", "project", kind.alias("error_type"), "as_of")
+    wanted = asked.select("project", "error_type").distinct()
+    events = made.join(wanted, ["project", "error_type"], "left_semi").groupBy("project", "error_type", "as_of")
+    newest = events.agg(F.max(F.struct("as_of", "key")).alias("ticket"))
+    last = last_before(asked, newest, ["project", "error_type"], "as_of", "ticket")
+    last = last.where(F.col("ticket.as_of") >= F.col("as_of") - F.expr(f"INTERVAL {int(days)} DAYS"))
+    hit = asked.join(last, ["project", "error_type", "as_of"])
+    return hit.select("cand_id", F.col("ticket.key").alias("ticket_key"), F.lit(0.95).alias("score"), F.lit("recent ticket of this error type").alias("message"))
 
 
 def similarity_hits(cands: DataFrame, tickets: DataFrame, config: RunConfig) -> DataFrame:
@@ -147,7 +150,11 @@ def resolve_duplicates(cands: DataFrame, tickets: DataFrame, processed: DataFram
 RESOLVED = "cand_id long, in_run string"
 
 
-def resolve_in_run(cands: DataFrame, dry_run: bool = False, exact: bool = True) -> DataFrame:
+#: Rows of a run that one task folds. Larger runs are split by components.
+ROWS_A_TASK = 100_000
+
+
+def resolve_in_run(cands: DataFrame, dry_run: bool = False, exact: bool = True, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """(cand_id, in_run): what each candidate comes to when a run's rows are taken in order of seq.
 
     cands: cand_id, run_id, project, seq, cap (0: none), fingerprint, loghash, error_type, create_ticket and decision
@@ -155,20 +162,35 @@ def resolve_in_run(cands: DataFrame, dry_run: bool = False, exact: bool = True)
     loghash and type; type and similarity hits of the snapshot add their fingerprint; loghash hits and rows beyond the
     cap add nothing. in_run is a decision, or 'not-needed' where no ticket is due.
 
-    exact: rows are shuffled and sorted by (run, seq) and folded as a stream: a task holds the sets of one run, never its
-    rows. Otherwise windows over (run, error_type), which agree as long as a loghash has one error type.
+    exact: rows are shuffled and sorted and folded as a stream: a task holds the sets of one run, never its rows. A run of
+    over rows_a_task rows is split (see _resolve_by_components). Otherwise windows over (run, error_type), which agree as
+    long as a loghash has one error type.
     """
     if not exact:
         return _resolve_by_windows(cands, dry_run)
-    narrow = cands.select("cand_id", "run_id", "seq", F.coalesce("cap", F.lit(0)).alias("cap"), "fingerprint", "loghash", F.coalesce("error_type", F.lit("unknown")).alias("error_type"), "create_ticket", F.col("decision").alias("found"), F.col("strategy_name").alias("strategy"))
+    narrow = cands.select(
+        "cand_id", "run_id", "seq", F.coalesce("cap", F.lit(0)).alias("cap"), "fingerprint", "loghash", F.coalesce("error_type", F.lit("unknown")).alias("error_type"),
+        F.coalesce("create_ticket", F.lit(False)).alias("create_ticket"), F.col("decision").alias("found"), F.col("strategy_name").alias("strategy"), F.lit(0).cast("long").alias("part"), F.lit(True).alias("open"),
+    )
+    large = settled(narrow.groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > rows_a_task).select("run_id"))
+    if large.isEmpty():
+        return _folded(narrow, dry_run)
+    own = F.col("n.run_id").eqNullSafe(F.col("l.run_id"))
+    few = narrow.alias("n").join(large.alias("l"), own, "left_anti")
+    many = narrow.alias("n").join(large.alias("l"), own, "left_semi")
+    return _folded(few, dry_run).unionByName(_resolve_by_components(settled(many), dry_run))
+
+
+def _folded(rows: DataFrame, dry_run: bool) -> DataFrame:
+    """The fold over each (run, part) in order of seq; where `open` is false, nothing is created any more."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, prints, hashes, types, made = None, set(), set(), set(), 0
+        own, prints, hashes, types, made = None, set(), set(), set(), 0
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                if r.run_id != run:
-                    run, prints, hashes, types, made = r.run_id, set(), set(), set(), 0
+                if (r.run_id, r.part) != own:
+                    own, prints, hashes, types, made = (r.run_id, r.part), set(), set(), set(), 0
                 if not r.create_ticket:
                     said = "not-needed"
                 elif r.found == "duplicate-fingerprint" or r.fingerprint in prints:
@@ -183,7 +205,7 @@ def resolve_in_run(cands: DataFrame, dry_run: bool = False, exact: bool = True)
                     prints.add(r.fingerprint)
                 elif dry_run:
                     said = "simulated"
-                elif r.cap and made >= r.cap:
+                elif not r.open or r.cap and made >= r.cap:
                     said = "cap-reached"
                 else:
                     said = "created"
@@ -195,7 +217,33 @@ def resolve_in_run(cands: DataFrame, dry_run: bool = False, exact: bool = True)
                 out.append((r.cand_id, said))
             yield pd.DataFrame(out, columns=["cand_id", "in_run"])
 
-    return narrow.repartition("run_id").sortWithinPartitions("run_id", "seq", "cand_id").mapInPandas(fold, RESOLVED)
+    return rows.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "seq", "cand_id").mapInPandas(fold, RESOLVED)
+
+
+def _resolve_by_components(rows: DataFrame, dry_run: bool) -> DataFrame:
+    """The fold of large runs, in parts that don't influence each other.
+
+    Rows meet through a fingerprint, a loghash or a known error type; the connected components of these are the parts of a
+    run. Only the cap joins parts: it lets the first rows be created, by seq, that would be so without a cap. So parts are
+    folded without it, the created rows of a run are numbered across its parts, and if they are more than the cap, parts are
+    folded once more with nothing created beyond the place where it is reached.
+    """
+    key = lambda kind, c: F.xxhash64(F.lit(kind), "run_id", c)
+    prints = key("f", "fingerprint")
+    others = F.array_compact(F.array(F.when(F.col("loghash") != "", key("h", "loghash")), F.when(~F.col("error_type").isin("", "unknown"), key("t", "error_type"))))
+    edges = rows.where("create_ticket").select(prints.alias("a"), F.explode(others).alias("b"))
+    parts = components(edges)
+    named = rows.drop("part").withColumn("_print", prints).join(parts.select(F.col("node").alias("_print"), F.col("root").alias("part")), "_print", "left")
+    named = settled(named.withColumn("part", F.coalesce("part", "_print")).drop("_print"))
+    drop_tables(parts)
+    free = settled(_folded(named.withColumn("cap", F.lit(0)), dry_run))
+    made = free.where("in_run = 'created'").join(named.where("cap > 0").select("cand_id", "run_id", "seq", "cap"), "cand_id")
+    last = settled(numbered(made.select("run_id", "seq", "cand_id", "cap"), ["run_id"], [F.col("seq"), F.col("cand_id")]).where("place = cap").select("run_id", F.struct("seq", "cand_id").alias("_last")))
+    if last.isEmpty():
+        return free
+    cut = named.alias("n").join(last.alias("l"), F.col("n.run_id").eqNullSafe(F.col("l.run_id")), "left").select("n.*", "_last")
+    until = cut.withColumn("open", F.coalesce(F.struct("seq", "cand_id") <= F.col("_last"), F.lit(True))).withColumn("cap", F.lit(0)).drop("_last")
+    return _folded(until, dry_run)
 
 
 def _resolve_by_windows(cands: DataFrame, dry_run: bool) -> DataFrame:
@@ -246,19 +294,36 @@ def merge_ticket_labels(tickets: DataFrame, dup_hits: DataFrame) -> DataFrame:
     return tickets.join(new, "key", "left").withColumn("labels", F.array_union(F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("_new", F.array().cast("array<string>")))).drop("_new").select(tickets.columns)
 
 
-def comment_cooldown(hits: DataFrame, minutes: int, last: DataFrame | None = None) -> DataFrame:
+#: Different times of a ticket's hits that one task folds. Tickets with more are followed by links.
+TIMES_A_TASK = 100_000
+
+
+def comment_cooldown(hits: DataFrame, minutes: int, last: DataFrame | None = None, times_a_task: int = TIMES_A_TASK) -> DataFrame:
     """Adds allowed: a comment on a ticket is allowed once `minutes` have passed since the last allowed one.
 
     hits: team_id, ticket_key, ts. last: (team_id, ticket_key, last_ts string) of earlier runs; what can't be read as a
-    time allows. Greedy in order of ts: a fold over sorted partitions that holds one time a task.
+    time allows. Of hits at one time one is allowed at most; a hit without a time never is. Greedy in order of ts: a fold over
+    sorted partitions that holds one time a task. Tickets with hits at over times_a_task different times don't go through it
+    (see _cooled_by_links).
     """
     if minutes <= 0:
         return hits.withColumn("allowed", F.lit(True))
+    by = ["team_id", "ticket_key"]
     rows = hits.withColumn("_n", F.monotonically_increasing_id())
     if last is not None:
-        rows = rows.join(last.select("team_id", "ticket_key", F.try_to_timestamp("last_ts").alias("_last")), ["team_id", "ticket_key"], "left")
+        known = last.groupBy(*by).agg(F.max(F.try_to_timestamp("last_ts")).alias("_last"))
+        rows = rows.alias("r").join(known.alias("k"), same("r", "k", by), "left").select("r.*", "_last")
     else:
         rows = rows.withColumn("_last", F.lit(None).cast("timestamp"))
+    hot = settled(hits.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > times_a_task).select(*by))
+    if hot.isEmpty():
+        return _cooled_by_fold(rows, minutes, hits)
+    few = rows.alias("r").join(hot.alias("h"), same("r", "h", by), "left_anti")
+    many = settled(rows.alias("r").join(hot.alias("h"), same("r", "h", by), "left_semi"))
+    return _cooled_by_fold(few, minutes, hits).unionByName(_cooled_by_links(many, minutes).select(*hits.columns, "allowed"))
+
+
+def _cooled_by_fold(rows: DataFrame, minutes: int, hits: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in hits.columns) + ", allowed boolean"
     gap, columns = pd.Timedelta(minutes=minutes), list(hits.columns)
@@ -270,7 +335,7 @@ def comment_cooldown(hits: DataFrame, minutes: int, last: DataFrame | None = Non
             for team, ticket, ts, start in zip(frame["team_id"], frame["ticket_key"], frame["ts"], frame["_last"], strict=True):
                 if (team, ticket) != key:
                     key, before = (team, ticket), None if pd.isna(start) else start
-                ok = before is None or ts - before >= gap
+                ok = not pd.isna(ts) and (before is None or ts - before >= gap)
                 before = ts if ok else before
                 allowed.append(ok)
             yield frame[columns].assign(allowed=allowed)
@@ -278,6 +343,37 @@ def comment_cooldown(hits: DataFrame, minutes: int, last: DataFrame | None = Non
     return rows.repartition("team_id", "ticket_key").sortWithinPartitions("team_id", "ticket_key", "ts", "_n").mapInPandas(fold, schema)
 
 
+def _cooled_by_links(rows: DataFrame, minutes: int) -> DataFrame:
+    """The fold of tickets with very many hits, by pointer doubling.
+
+    Every time of a ticket links to the first time that is at least the gap after it, found by an as-of join. What is allowed
+    is what can be reached from the first allowed time; each round doubles how far links and the times reached go, so a chain
+    of n comments takes log n rounds of joins on (ticket, time), none of which has a hot key.
+    """
+    by, gap = ["team_id", "ticket_key"], minutes * 60_000_000
+    at = F.unix_micros("ts")
+    times = settled(rows.where("ts is not null").groupBy(*by, at.alias("at")).agg(F.min("_n").alias("_first"), F.max(F.unix_micros("_last")).alias("_last")))
+    # Times run backwards, so that the last one before is the first one after.
+    events = times.select(*by, (-F.col("at")).alias("back"), F.col("at").alias("to"))
+    after = lambda t: (-(F.col(t) + gap)).alias("back")
+    links = last_before(times.select(*by, after("at")), events, by, "back", "to").select(*by, (-F.col("back") - gap).alias("at"), "to")
+    starts = times.groupBy(*by).agg(F.min("at").alias("least"), F.max("_last").alias("_last"))
+    waiting = last_before(starts.where("_last is not null").select(*by, after("_last")), events, by, "back", "to").select(*by, F.col("to").alias("at"))
+    reached = settled(starts.where("_last is null").select(*by, F.col("least").alias("at")).unionByName(waiting))
+    links = settled(links)
+    while True:
+        farther = reached.alias("r").join(links.alias("l"), same("r", "l", [*by, "at"])).select(*[F.col(f"r.{c}") for c in by], F.col("l.to").alias("at"))
+        farther = settled(farther)
+        if farther.isEmpty():
+            break
+        reached = settled(reached.unionByName(farther))
+        onward = links.select(*by, F.col("at").alias("to"), F.col("to").alias("next"))
+        links = settled(links.alias("a").join(onward.alias("b"), same("a", "b", [*by, "to"])).select(*[F.col(f"a.{c}") for c in [*by, "at"]], F.col("b.next").alias("to")))
+    first = times.alias("t").join(reached.alias("r"), same("t", "r", [*by, "at"]), "left_semi").select("_first").withColumn("_allowed", F.lit(True))
+    marked = rows.join(first, rows["_n"] == first["_first"], "left")
+    return marked.withColumn("allowed", F.coalesce("_allowed", F.lit(False)))
+
+
 def dedup_stats(logs: DataFrame, approximate: bool = False) -> DataFrame:
     unique: Column = F.approx_count_distinct("log_key") if approximate else F.count_distinct("log_key")
     return logs.agg(F.count("*").alias("total_checked"), unique.alias("unique_logs")).withColumn("duplicates_found", F.col("total_checked") - F.col("unique_logs"))

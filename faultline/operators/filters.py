@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,47 +69,110 @@ def template_filter(logs: DataFrame, name: str) -> DataFrame:
     return logs.where((F.col("status") == "error") & reduce(lambda a, b: a | b, [says("message", t) for t in TEMPLATES[name.lower()]]))
 
 
-#: Letters of a term by which it is looked up among longer words.
-LEAD = 4
+#: Questions that one automaton is built for, and that the driver holds at a time.
+QUESTIONS = 50_000
 
 
-def rule_query_filter(logs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, log columns): logs of the question's service and env that say all of its ids and keywords.
+class Searched:
+    """A block of questions, for finding which of them a log answers.
 
-    Service: the given one, or else the first service-looking word; without either, logs of all services match.
+    questions: (env, service, all_status, terms) by place. One Aho-Corasick automaton finds the terms of all of them in a
+    message in one pass. A question is looked at where its pivot stands, the one of its terms that fewest questions have.
+    """
 
-    A log says a term if its message contains it, also inside a longer word. So the distinct words of all logs are looked
-    up by the first letters of the terms, which gives the words that hold each term and in how many logs they are. A
-    question meets the logs that have a word with its rarest term, and only these are checked for all its terms.
-    Questions without terms match all logs of their env, as they ask for.
+    def __init__(self, questions: list[tuple[str | None, str | None, bool, tuple[str, ...]]]):
+        import ahocorasick
+
+        self.questions = questions
+        asked = Counter(t for q in questions for t in set(q[3]))
+        self.number = {t: i for i, t in enumerate(asked)}
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.number.items():
+            self.automaton.add_word(t, i)
+        self.automaton.make_automaton()
+        self.needs = [frozenset(self.number[t] for t in q[3]) for q in questions]
+        self.by_pivot: dict[tuple, list[int]] = {}
+        self.bare: dict[tuple, list[int]] = {}
+        for k, (env, service, all_status, terms) in enumerate(questions):
+            if env is None:
+                continue
+            if terms:
+                pivot = min(set(terms), key=lambda t: (asked[t], t))
+                self.by_pivot.setdefault((self.number[pivot], env, service), []).append(k)
+            else:
+                self.bare.setdefault((env, service), []).append(k)
+        self.all_status = [q[2] for q in questions]
+
+    def answered_by(self, low: str | None, env: str | None, service: str | None, error: bool) -> list[int]:
+        """The questions that a log with this lower-case message answers. A question without a service is one for all."""
+        places = {(env, service), (env, None)}
+        found = [k for place in places for k in self.bare.get(place, ())]
+        if low is not None and self.number:
+            held = {i for _, i in self.automaton.iter(low)}
+            found += [k for i in held for place in places for k in self.by_pivot.get((i, *place), ()) if self.needs[k] <= held]
+        return [k for k in found if error or self.all_status[k]]
+
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(question_id, env, service, all_status, terms) of questions: the first two ids and five keywords are what logs must say.
+
+    service: the given one, or else the first service-looking word of the query, or null.
     """
     e = extract_entities("query")
-    asked = questions.select("question_id", "all_status", F.col("env").alias("q_env"), F.col("service").alias("q_service"), e.alias("e")).select(
-        "question_id",
-        "all_status",
-        "q_env",
-        F.coalesce("q_service", F.try_element_at(F.col("e.services"), F.lit(1))).alias("q_service"),
-        F.concat(F.transform(F.slice("e.uuids", 1, 2), F.lower), F.slice("e.keywords", 1, 5)).alias("terms"),
-    )
-    keyed = logs.withColumns({"_key": F.xxhash64(*logs.columns), "_low": F.lower("message")})
-    words = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("word"))
-    # A term's first run of letters and digits lies inside one such run of any message that contains the term.
-    terms = asked.select("question_id", F.explode("terms").alias("term")).select("question_id", F.regexp_extract("term", "[a-z0-9]+", 0).alias("core"))
-    cores = terms.select("core", F.left("core", F.lit(LEAD)).alias("lead")).distinct()
-    leads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") - LEAD + 1), lambda i: F.substring("word", i, F.lit(LEAD))))
-    known = words.groupBy("word").agg(F.count("*").alias("logs")).withColumn("lead", F.explode(leads))
-    holding = settled(known.join(cores, "lead").where(F.contains("word", "core")).select("core", "word", "logs"))
-    often = holding.groupBy("core").agg(F.sum("logs").alias("logs"))
-    rarest = terms.join(often, "core", "left").groupBy("question_id").agg(F.min_by("core", F.struct(F.coalesce("logs", F.lit(0)), "core")).alias("core"))
-    met = words.join(rarest.join(holding.select("core", "word"), "core").select("question_id", "word"), "word").select("_key", "question_id").distinct()
-    matches = (F.col("all_status") | (F.col("status") == "error")) & (F.col("q_service").isNull() | (F.col("service") == F.col("q_service")))
-    said = keyed.join(met, "_key").join(asked, "question_id").where((F.col("env") == F.col("q_env")) & matches & F.forall("terms", lambda t: F.contains(F.col("_low"), t)))
-    # A question without terms is dealt to both kinds of status, or to errors alone, so that it is joined by equal keys.
-    kinds = F.when(F.col("all_status"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    bare = asked.where("size(terms) = 0").withColumn("q_error", F.explode(kinds))
-    error = F.coalesce(F.col("status") == "error", F.lit(False))
-    every = logs.withColumn("_error", error).join(bare, (F.col("env") == F.col("q_env")) & (F.col("_error") == F.col("q_error"))).where(matches)
-    return said.select("question_id", *logs.columns).unionByName(every.select("question_id", *logs.columns))
+    service = F.coalesce("service", F.try_element_at(F.col("e.services"), F.lit(1)))
+    terms = F.concat(F.transform(F.slice("e.uuids", 1, 2), F.lower), F.slice("e.keywords", 1, 5))
+    all_status = F.coalesce("all_status", F.lit(False)).alias("all_status")
+    return questions.withColumn("e", e).select("question_id", "env", service.alias("service"), all_status, terms.alias("terms"))
+
+
+def rule_query_filter(logs: DataFrame, questions: DataFrame, block: int = QUESTIONS) -> DataFrame:
+    """(question_id, log columns): logs of the question's env and service that say all of its terms (see asked_terms).
+
+    A log says a term if its message contains it, also inside a longer word. Without a service logs of all services match,
+    and without terms all logs of the env and service, as is asked for. Logs that are not errors count if all_status is set.
+
+    Logs are scanned once for each block of questions (50,000 of them), with the block's automaton on every task; nothing
+    is joined or shuffled. Logs of an env, service or status that no question of the block asks for are left out by the scan's
+    filter. A block is at most 350,000 short terms. Null messages say nothing; a question with a null env has no answer.
+    """
+    spark = logs.sparkSession
+    asked = settled(asked_terms(questions))
+    blocks = max(1, -(-asked.count() // block))
+    dealt = F.pmod(F.xxhash64("question_id", "terms"), F.lit(blocks))
+    kinds = {f.name: f.dataType.simpleString() for f in logs.schema.fields}
+    name = "question_id" if "question_id" not in kinds else "_question_id"
+    schema = f"`{name}` {asked.schema['question_id'].dataType.simpleString()}, " + ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    out = []
+    for k in range(blocks):
+        rows = asked.where(dealt == k).toArrow()
+        own = spark.sparkContext.broadcast((rows.column("question_id").combine_chunks(), [(r["env"], r["service"], r["all_status"], tuple(r["terms"])) for r in rows.drop_columns("question_id").to_pylist()]))
+        out.append(_wanted(logs, own.value[1]).withColumn("_low", F.lower("message")).mapInArrow(_answers(own, list(kinds), name), schema))
+    found = reduce(DataFrame.unionByName, out)
+    return found.select(F.col(name).alias("question_id"), *[c for c in logs.columns if c != "question_id"])
+
+
+def _wanted(logs: DataFrame, questions: list[tuple]) -> DataFrame:
+    """logs without those whose env, service or status no question can match; a filter of at most 1,000 names reaches the scan."""
+    envs, services = {q[0] for q in questions if q[0] is not None}, {q[1] for q in questions}
+    if len(envs) <= 1000:
+        logs = logs.where(F.col("env").isin(*envs))
+    if None not in services and len(services) <= 1000:
+        logs = logs.where(F.col("service").isin(*services))
+    return logs if any(q[2] for q in questions) else logs.where("status = 'error'")
+
+
+def _answers(own: Broadcast, columns: list[str], name: str):
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, questions = own.value
+        searched = Searched(questions)
+        for batch in batches:
+            said = zip(*[batch.column(c).to_pylist() for c in ("_low", "env", "service", "status")], strict=True)
+            found = [searched.answered_by(low, env, service, status == "error") for low, env, service, status in said]
+            rows = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            asked = ids.take(pa.array([k for own in found for k in own], pa.int64()))
+            yield pa.RecordBatch.from_arrays([asked, *[batch.column(c).take(rows) for c in columns]], [name, *columns])
+
+    return answers
 
 
 def filter_audit(rows: DataFrame, service: str | None = None, severity: str | None = None, error_type: str | None = None, decision: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import RunConfig
 from faultline.functions.text import normalize_text
-from faultline.operators.filters import ticket_tokens
+from faultline.operators.filters import newest, ticket_tokens
 from faultline.operators.similarity import dup_similarity
 
 
@@ -36,8 +36,8 @@ def correlate(patterns: DataFrame, tickets: DataFrame, questions: DataFrame, con
     words = F.filter(F.slice(F.split("query", " "), 1, 5), lambda w: F.char_length(w) >= 3)
     by_word = questions.select("question_id", "project", F.explode(F.array_distinct(F.transform(words, normalize_text))).alias("token"))
     titles = ticket_tokens(tickets.withColumn("description", F.lit("")))
-    hits = by_word.join(titles, ["project", "token"]).select("question_id", "key").distinct().join(tickets.select("key", "created"), "key")
-    order = Window.partitionBy("question_id").orderBy(F.desc("created"), "key")
-    newest = hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 5).select("question_id", "key")
-    rest = newest.join(like, ["question_id", "key"], "left_anti").select("question_id", "key", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("matched"))
+    lists = newest(titles, ("project", "token"), 5)  # no others can be among the newest of a question
+    hits = by_word.join(lists, ["project", "token"]).select("question_id", "key", "created").distinct()
+    last = newest(hits, ("question_id",), 5).select("question_id", "key")
+    rest = last.join(like, ["question_id", "key"], "left_anti").select("question_id", "key", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("matched"))
     return like.unionByName(rest)

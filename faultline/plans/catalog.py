@@ -343,10 +343,11 @@ def dup_error_type(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dup_error_type(cands, made, 7).select("cand_id", "ticket_key")
 
 
-def title_queries(spark: SparkSession, d: str) -> DataFrame:
+def title_queries(spark: SparkSession, d: str, as_of=None) -> DataFrame:
+    """Documents as questions for tickets, all as of one time unless a column says otherwise."""
     return b.table(spark, d, "documents").select(
         F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, "WEB").otherwise("OPS").alias("project"), F.left("text", F.lit(120)).alias("title"), F.col("text").alias("message"),
-        F.lit(AS_OF).cast("timestamp").alias("as_of"), F.lit("timeout").alias("error_type"), F.col("source").alias("logger"),
+        (F.lit(AS_OF).cast("timestamp") if as_of is None else as_of).alias("as_of"), F.lit("timeout").alias("error_type"), F.col("source").alias("logger"),
     )
 
 
@@ -360,6 +361,20 @@ def candidate_tickets(spark: SparkSession, d: str) -> DataFrame:
     return similarity.candidate_tickets(title_queries(spark, d), b.tickets(spark, d), CONFIG)
 
 
+OWN_TIME = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(30 * doc_id)"
+
+
+@query(f"""WITH {b.TICKETS}, {TOKENS}, o AS (SELECT * FROM tickets WHERE status_category <> 'Done'), q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'WEB' ELSE 'OPS' END AS project, {OWN_TIME} AS as_of, text FROM documents),
+a AS (SELECT query_id, project, as_of, unnest(list_filter(string_split({q.norm_text("left(text, 120)")}, ' '), lambda x: length(x) >= 4)[1:8]) AS token FROM q),
+h AS (SELECT a.query_id, a.as_of, o.key, o.created FROM a JOIN tokens k ON a.project = k.project AND a.token = k.token JOIN o ON o.key = k.key
+UNION SELECT query_id, as_of, o.key, o.created FROM q JOIN o ON o.project = q.project AND list_contains(o.labels, 'datadog-log'))
+SELECT query_id, key, created FROM h WHERE created BETWEEN as_of - INTERVAL 180 DAY AND as_of QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created DESC, key) <= 100""")
+def candidate_tickets_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Every query as of its own time."""
+    own = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 1800)
+    return similarity.candidate_tickets(title_queries(spark, d, own), b.tickets(spark, d), CONFIG)
+
+
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 
 
