@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from functools import lru_cache
@@ -94,19 +95,103 @@ def merge_fingerprints(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.where("fingerprint is not null and fingerprint <> ''").distinct()
 
 
+class FingerprintStore:
+    """The fingerprints of earlier runs, each once a team, in a folder that a crash leaves as it was.
+
+    Rows lie in segments, folders of Parquet files that are never changed. The pointer, a small file, names the segments that
+    count and the last batch that was added. A change writes its segment first and replaces the pointer last, in one rename:
+    what fails before that is not seen by readers, and a batch that is added again after its pointer was replaced adds nothing.
+    One writer at a time.
+    """
+
+    POINTER = "CURRENT.json"
+    #: Segments beyond which a change writes all rows anew.
+    SEGMENTS = 20
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _file(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def current(self) -> dict:
+        """batch (-1: none yet), version and segments."""
+        where, files = self._file(self.POINTER)
+        if not files.exists(where):
+            return {"version": 0, "batch": -1, "segments": []}
+        stream = files.open(where)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def read(self) -> DataFrame:
+        """(team_id, fingerprint); no rows where there is no store yet. What is read stays as it was when this was called."""
+        segments = [f"{self.path}/{s}" for s in self.current()["segments"]]
+        if not segments:
+            return self.spark.createDataFrame([], schemas.FINGERPRINTS)
+        return self.spark.read.schema(schemas.FINGERPRINTS).parquet(*segments)
+
+    def write_segment(self, rows: DataFrame) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        rows.select("team_id", "fingerprint").write.parquet(f"{self.path}/{name}")
+        return name
+
+    def swap(self, segments: list[str], batch: int) -> None:
+        """Makes these the segments that count."""
+        told = {"version": self.current()["version"] + 1, "batch": batch, "segments": segments}
+        fresh, files = self._file(f".{self.POINTER}-{uuid.uuid4().hex}")
+        out = files.create(fresh, True)
+        try:
+            out.write(bytearray(json.dumps(told).encode()))
+        finally:
+            out.close()
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(files.makeQualified(fresh), files.makeQualified(self._file(self.POINTER)[0]), options)
+
+    def add(self, rows: DataFrame, batch: int | None = None) -> bool:
+        """Adds what isn't there yet. batch: the number of a micro-batch; one that isn't beyond the last is not added again."""
+        now = self.current()
+        if batch is not None and batch <= now["batch"]:
+            return False
+        known = self.read()
+        own = merge_fingerprints(self.spark.createDataFrame([], schemas.FINGERPRINTS), rows)
+        new = own.alias("o").join(known.alias("k"), F.col("o.team_id").eqNullSafe(F.col("k.team_id")) & (F.col("o.fingerprint") == F.col("k.fingerprint")), "left_anti")
+        if len(now["segments"]) >= self.SEGMENTS:
+            segments = [self.write_segment(known.unionByName(new))]
+        else:
+            segments = [*now["segments"], self.write_segment(new)]
+        self.swap(segments, now["batch"] if batch is None else batch)
+        return True
+
+    def replace_teams(self, rows: DataFrame) -> None:
+        """rows instead of all that the store has of their teams. rows may read from the store."""
+        teams = rows.select("team_id").distinct()
+        known = self.read()
+        others = known.alias("k").join(teams.alias("t"), F.col("k.team_id").eqNullSafe(F.col("t.team_id")), "left_anti")
+        self.swap([self.write_segment(others.unionByName(merge_fingerprints(rows, rows)))], self.current()["batch"])
+
+    def clean(self) -> None:
+        """Removes segments that don't count: those of changes that failed, or were replaced. No reader may still use them."""
+        where, files = self._file("")
+        held = {self.POINTER, *self.current()["segments"]}
+        for status in files.listStatus(where):
+            if status.getPath().getName() not in held:
+                files.delete(status.getPath(), True)
+
+
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """The store, or no rows where there is none yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(schemas.FINGERPRINTS).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schemas.FINGERPRINTS)
+    return FingerprintStore(spark, path).read()
 
 
 def write_fingerprints(rows: DataFrame, path: str) -> None:
-    """Replaces the partitions of the teams in rows. rows must not read from path lazily: write elsewhere and swap, or checkpoint first."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("team_id").parquet(path)
+    """Replaces what the store has of the teams in rows, which may read from it."""
+    FingerprintStore(rows.sparkSession, path).replace_teams(rows)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from faultline import schemas
 from faultline.operators.dedup import with_keys
-from faultline.sources.io import flatten_log_events, merge_fingerprints, new_folder, read_fingerprints
+from faultline.sources.io import FingerprintStore, flatten_log_events, new_folder
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB, on disk; timers need it."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -19,7 +35,9 @@ def drained(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     folder = new_folder(spark, "stream")
     sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
-    sink.trigger(availableNow=True).start().awaitTermination()
+    with state_in_rocksdb(spark):
+        query = sink.trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -39,13 +57,10 @@ def stream_new_fingerprints(cands: DataFrame, processed: DataFrame) -> DataFrame
 
 
 def keep_fingerprints(path: str):
-    """For foreachBatch: adds a batch's fingerprints to the store at path, each once."""
+    """For foreachBatch: adds a batch's fingerprints to the store at path, each once, and a batch that is repeated not again."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = read_fingerprints(spark, path)
-        new = merge_fingerprints(spark.createDataFrame([], schemas.FINGERPRINTS), batch).join(known, ["team_id", "fingerprint"], "left_anti")
-        new.write.mode("append").partitionBy("team_id").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        FingerprintStore(batch.sparkSession, path).add(batch, number)
 
     return add
 
@@ -65,20 +80,57 @@ def error_bursts(rows: DataFrame, gap: str = "120 minutes", by: tuple[str, ...]
     return grouped.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_comment_cooldown(hits: DataFrame, minutes: int) -> DataFrame:
-    """(team_id, ticket_key, ts, allowed) for a stream of hits; the state of a ticket is the time of its last comment."""
-    gap = pd.Timedelta(minutes=minutes)
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts")
-        allowed = []
-        for ts in rows["ts"]:
-            ok = minutes <= 0 or before is None or ts - before >= gap
-            before = ts if ok else before
-            allowed.append(ok)
-        if before is not None:
-            state.update((int(before.value // 1000),))
-        yield pd.DataFrame({"team_id": key[0], "ticket_key": key[1], "ts": rows["ts"], "allowed": allowed})
-
-    return hits.groupBy("team_id", "ticket_key").applyInPandasWithState(fold, "team_id string, ticket_key string, ts timestamp, allowed boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+class Cooldown(StatefulProcessor):
+    """Allows a key's first time, and each later one that is at least `gap` microseconds after the last allowed one.
+
+    The state of a key is its last allowed time; a timer ends it once the watermark has passed the gap.
+    """
+
+    def __init__(self, gap: int, key_columns: tuple[str, ...]):
+        self.gap, self.key_columns = gap, key_columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        # Frames are taken one by one: of each only its times are kept, 8 bytes a row, as a batch has no order.
+        times = np.sort(np.concatenate([frame["at"].to_numpy(np.int64) for frame in rows]))
+        old = before = self.last.get()[0] if self.last.exists() else None
+        allowed = np.zeros(len(times), bool)
+        k = 0
+        while k < len(times):  # from one allowed time to the next
+            if before is not None:
+                k = int(np.searchsorted(times, before + self.gap))
+            if k < len(times):
+                allowed[k], before = True, int(times[k])
+        if before != old:
+            if old is not None:
+                self.handle.deleteTimer((old + self.gap) // 1000)
+            self.last.update((before,))
+            self.handle.registerTimer((before + self.gap) // 1000)
+        for lo in range(0, len(times), 100_000):
+            yield pd.DataFrame({**{c: [v] * len(times[lo : lo + 100_000]) for c, v in zip(self.key_columns, key, strict=True)}, "at": times[lo : lo + 100_000], "allowed": allowed[lo : lo + 100_000]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and (self.last.get()[0] + self.gap) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_comment_cooldown(hits: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
+    """(team_id, ticket_key, ts, allowed) for a stream of hits.
+
+    The state of a ticket is the time of its last allowed comment, kept until the watermark (the latest ts seen less `late`)
+    is `minutes` beyond it. Hits before the watermark come too late and are dropped, as are those without a time. In any
+    micro-batches of hits that come in time the result is that of comment_cooldown. Start the query inside state_in_rocksdb.
+    """
+    if minutes <= 0:
+        return hits.select("team_id", "ticket_key", "ts", F.lit(True).alias("allowed"))
+    timed = hits.where("ts is not null").select("team_id", "ticket_key", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
+    by = ("team_id", "ticket_key")
+    told = timed.groupBy(*by).transformWithStateInPandas(Cooldown(minutes * 60_000_000, by), "team_id string, ticket_key string, at long, allowed boolean", "Append", "EventTime")
+    return told.select(*by, F.timestamp_micros("at").alias("ts"), "allowed")
