@@ -79,6 +79,30 @@ def merge_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return io.merge_fingerprints(rows.where("seq % 2 = 0"), rows)
 
 
+@query(f"WITH {b.LOGS}, {KEYED} SELECT DISTINCT 'team-' || (seq % 4) AS team_id, {q.short(q.key(chr(39) + 'x' + chr(39), 'norm', 'message'))} AS fingerprint FROM keyed")
+def fingerprint_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same, kept in a store that gets half of the rows, then all of them, and the first batch once more."""
+    rows = b.logs(spark, d).select("status", F.concat(F.lit("team-"), F.col("seq") % 4).alias("team_id"), t.fingerprint(F.lit("x"), "message").alias("fingerprint"))
+    store = io.FingerprintStore(spark, io.new_folder(spark, "store"))
+    for batch, own in enumerate((rows.where("status = 'error'"), rows)):
+        store.add(own, batch)
+        store.add(rows.where("status = 'error'"), 0)
+    return store.read()
+
+
+@query(f"WITH {b.AUDIT} SELECT fmt, decision, severity, count(*) AS n FROM audit, (VALUES ('csv'), ('json')) AS v(fmt) GROUP BY 1, 2, 3")
+def export_files(spark: SparkSession, d: str) -> DataFrame:
+    """Counters exported as CSV and as JSON, and read again."""
+    rows = b.audit(spark, d).groupBy("decision", "severity").agg(F.count("*").alias("n"))
+    read = []
+    for fmt in ("csv", "json"):
+        path = io.new_folder(spark, fmt)
+        io.export_report(rows, path, fmt)
+        own = spark.read.schema("decision string, n long, severity string").option("header", True)
+        read.append((own.csv(path) if fmt == "csv" else own.json(path)).select(F.lit(fmt).alias("fmt"), "decision", "severity", "n"))
+    return io.union_rows(*read)
+
+
 @query(f"WITH {b.AUDIT} SELECT dim, value, n FROM (SELECT 'severity' AS dim, lower(severity) AS value, count(*) AS n FROM audit GROUP BY 2 UNION ALL SELECT 'error_type', error_type, count(*) FROM audit GROUP BY 2)")
 def export_counters(spark: SparkSession, d: str) -> DataFrame:
     maps = io.counters(report.audit_counts(b.audit(spark, d), "severity", "error_type"))
@@ -398,6 +422,25 @@ def token_set_ratio(spark: SparkSession, d: str) -> DataFrame:
     return similarity.with_ratio(neighbours(spark, d), "x", "y", "ratio").select("doc_id", F.round("ratio", 6).alias("ratio"))
 
 
+#: The longest common subsequence, a letter of y a step: a row of its table is the running maximum of what the row before and a match give.
+LCS = """l AS (SELECT id, string_split(x, '') AS a, string_split(y, '') AS c, 0 AS i, list_transform(string_split(x, ''), lambda v: 0) AS r FROM d WHERE x <> '' AND y <> '' UNION ALL
+SELECT id, a, c, i + 1, list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN a[k] = c[i + 1] THEN coalesce(r[k - 1], 0) + 1 ELSE 0 END)))) FROM l WHERE i < len(c))"""
+NAMES = "concat_ws(' ', p_name, p_brand, p_type)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, {q.norm_text(NAMES)} AS x, lead({q.norm_text(NAMES)}) OVER (PARTITION BY p_size ORDER BY p_partkey) AS y FROM part),
+s AS (SELECT id, list_distinct({WORDS.format("x")}) AS a, list_distinct({WORDS.format("y")}) AS c FROM p WHERE y IS NOT NULL),
+d AS (SELECT id, length(array_to_string(list_intersect(a, c), ' ')) AS sect, array_to_string(list_sort(list_filter(a, lambda w: NOT list_contains(c, w))), ' ') AS x, array_to_string(list_sort(list_filter(c, lambda w: NOT list_contains(a, w))), ' ') AS y FROM s),
+{LCS}, m AS (SELECT id, list_max(r) AS lcs FROM l WHERE i = len(c)),
+n AS (SELECT d.id, sect, length(x) AS x, length(y) AS y, coalesce(lcs, 0) AS lcs, CASE WHEN sect > 0 THEN 1 ELSE 0 END AS gap FROM d LEFT JOIN m USING (id))
+SELECT id AS p_partkey, round(CASE WHEN sect = 0 AND (x = 0 OR y = 0) THEN 0.0 WHEN x = 0 OR y = 0 THEN 1.0 ELSE greatest(1 - (x + y - 2 * lcs) / (2 * (sect + gap) + x + y), CASE WHEN sect > 0 THEN greatest(1 - (1 + x) / (2 * sect + 1 + x), 1 - (1 + y) / (2 * sect + 1 + y)) END) END, 6) AS ratio FROM n""")
+def token_set_ratio_of_names(spark: SparkSession, d: str) -> DataFrame:
+    """Each part's name, brand and type with those of the next part of its size."""
+    parts = b.table(spark, d, "part").select("p_partkey", "p_size", t.normalize_text(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("x"))
+    pairs = parts.withColumn("y", F.lead("x").over(Window.partitionBy("p_size").orderBy("p_partkey"))).where("y is not null")
+    return similarity.with_ratio(pairs, "x", "y", "ratio").select("p_partkey", F.round("ratio", 6).alias("ratio"))
+
+
 @query()
 def dup_similarity(spark: SparkSession, d: str) -> DataFrame:
     return similarity.dup_similarity(title_queries(spark, d), b.tickets(spark, d), CONFIG).select("query_id", "key", F.round("score", 6).alias("score"), "direct")
@@ -409,16 +452,68 @@ def resolve_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.resolve_duplicates(cands, b.tickets(spark, d), processed(spark, d), CONFIG).select("cand_id", "run_id", "strategy_name", "existing_key", "decision")
 
 
-@query()
+#: Candidates: messages of a team's services, the first of each run and key, classified.
+CANDIDATES = f"""{b.MESSAGES_SQL}, {ROUTES}, {b.TICKETS}, routed AS (SELECT m.*, r.team_id, r.project, r.cap, r.team_id || '|' || m.service AS run_id, {NORM} AS norm FROM messages m JOIN routes r USING (service)),
+counted AS (SELECT *, {q.key("logger", "norm", "message")} AS log_key, count(*) OVER (PARTITION BY run_id, logger, message) AS occurrences FROM routed),
+firsts AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY run_id, log_key ORDER BY seq) = 1), {q.classified("firsts")},
+cands AS (SELECT *, {q.short("norm")} AS loghash, {q.short(q.key("error_type", "norm", "message"))} AS fingerprint, {q.short(q.key("logger", "norm", "message"))} AS logger_fingerprint, {DUE} AS create_ticket FROM classified)"""
+RECENT = """recent AS (SELECT run_id, seq, arg_max(k.key, (created, k.key)) AS ticket FROM cands c JOIN tickets k ON k.project = c.project AND list_contains(k.labels, 'datadog-log') AND list_contains(k.labels, c.error_type)
+AND k.created BETWEEN {0} - INTERVAL 7 DAY AND {0} WHERE c.error_type NOT IN ('', 'unknown') GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {CANDIDATES}, {RECENT.format("c.ts")} SELECT c.run_id, c.seq, CASE WHEN length(norm) < 40 THEN 'short' WHEN ticket IS NOT NULL THEN 'error_type' END AS strategy_name,
+CASE WHEN length(norm) < 40 THEN 'duplicate-unknown' WHEN ticket IS NOT NULL THEN 'duplicate-error-type' END AS decision FROM cands c LEFT JOIN recent r ON r.run_id = c.run_id AND r.seq = c.seq""")
 def custom_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of one strategy of the caller's own and a built-in one."""
+    """A chain of one strategy of the caller's own and a built-in one; tickets are looked at from each log's own time."""
 
     def short_messages(cands: DataFrame, tickets: DataFrame, config: RunConfig) -> DataFrame:
         return cands.where(F.char_length("norm") < 40).select("cand_id", F.lit(None).cast("string").alias("ticket_key"), F.lit(1.0).alias("score"), F.lit("short").alias("message"))
 
     chain = [("short", short_messages), ("error_type", lambda c, k, g: dedup.dup_error_type(c, k, g.error_type_days))]
     cands = jobs.candidates(b.messages(spark, d), b.teams(spark), CONFIG)
-    return dedup.resolve_duplicates(cands, b.tickets(spark, d), processed(spark, d), CONFIG, chain).select("cand_id", "strategy_name", "decision")
+    return dedup.resolve_duplicates(cands, b.tickets(spark, d), processed(spark, d), CONFIG, chain).select("run_id", "seq", "strategy_name", "decision")
+
+
+def exact_strategies(store: DataFrame) -> list:
+    """The built-in strategies but for the similarity of texts."""
+    return [
+        ("fingerprint", lambda c, k, g: dedup.dup_fingerprint(c, store)),
+        ("loghash", lambda c, k, g: dedup.dup_label(c, k, "loghash")),
+        ("error_type", lambda c, k, g: dedup.dup_error_type(c, k, g.error_type_days)),
+    ]
+
+
+def told_before(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints, by logger, of what the orders service has said, for all its teams."""
+    rows = b.messages(spark, d).where(F.col("logger").endswith("orders.Service"))
+    return rows.select(F.when(F.col("service") == "en", "team-0").when(F.col("service") == "es", "team-2").otherwise("team-1").alias("team_id"), t.logger_fingerprint("logger", "message").alias("fingerprint")).distinct()
+
+
+def tickets_of_logins(spark: SparkSession, d: str) -> DataFrame:
+    """The tickets, and one for each message of the login service that is labelled with its hash."""
+    rows = b.messages(spark, d).where(F.col("logger").endswith("auth.Login"))
+    made = rows.select(
+        F.concat(F.lit("M-"), "seq").alias("key"), F.lit("OPS").alias("project"), F.col("message").alias("summary"), F.lit("").alias("description"), F.array(F.concat(F.lit("loghash-"), t.loghash("message"))).alias("labels"),
+        F.col("ts").alias("created"), F.lit("Open").alias("status"), F.lit("To Do").alias("status_category"), F.lit("Low").alias("priority"),
+    )
+    return b.tickets(spark, d).unionByName(made)
+
+
+TOLD = f"""told AS (SELECT DISTINCT CASE service WHEN 'en' THEN 'team-0' WHEN 'es' THEN 'team-2' ELSE 'team-1' END AS team_id, {q.short(q.key("logger", NORM, "message"))} AS fingerprint FROM messages WHERE ends_with(logger, 'orders.Service')),
+logins AS (SELECT {q.short(NORM)} AS loghash, arg_max('M-' || seq, (ts, 'M-' || seq)) AS ticket FROM messages WHERE ends_with(logger, 'auth.Login') GROUP BY 1)"""
+SNAPSHOT = f"""snapshot AS (SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM told WHERE told.team_id = c.team_id AND told.fingerprint IN (c.fingerprint, c.logger_fingerprint)) THEN 'fingerprint'
+WHEN c.project = 'OPS' AND l.ticket IS NOT NULL AND norm <> '' THEN 'loghash' WHEN r.ticket IS NOT NULL THEN 'error_type' END AS strategy_name, l.ticket AS by_hash, r.ticket AS by_type
+FROM cands c LEFT JOIN logins l ON l.loghash = c.loghash LEFT JOIN recent r ON r.run_id = c.run_id AND r.seq = c.seq)"""
+FOUND = "CASE strategy_name WHEN 'fingerprint' THEN 'duplicate-fingerprint' WHEN 'loghash' THEN 'duplicate-jira' WHEN 'error_type' THEN 'duplicate-error-type' END"
+
+
+@query(f"""WITH {CANDIDATES}, {RECENT.format("TIMESTAMP '" + AS_OF + "'")}, {TOLD}, {SNAPSHOT}
+SELECT run_id, seq, strategy_name, CASE strategy_name WHEN 'loghash' THEN by_hash WHEN 'error_type' THEN by_type END AS existing_key, {FOUND} AS decision FROM snapshot""")
+def resolve_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in chain without similarity, which SQL can't express."""
+    cands = jobs.candidates(b.messages(spark, d), b.teams(spark), CONFIG, AS_OF)
+    found = dedup.resolve_duplicates(cands, tickets_of_logins(spark, d), processed(spark, d), CONFIG, exact_strategies(told_before(spark, d)))
+    return found.select("run_id", "seq", "strategy_name", "existing_key", "decision")
 
 
 @query()
@@ -660,6 +755,46 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return streams.drained(streams.stream_first_seen(streams.stream_logs(spark, log_files(spark, d)), 24 * 3650)).select("log_key")
 
 
+BLOCKS = 8
+
+
+def blocks_of_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Logs as a stream that takes one block after the other; the logs of a block have one time, an hour after the one before."""
+    rows = b.logs(spark, d).select("seq", "message", "logger")
+    most = rows.agg(F.max("seq")).first()[0] or 0
+    block = F.floor(F.col("seq") * BLOCKS / (most + 1)).cast("int")
+    rows = rows.select("message", "logger", block.alias("block"), F.timestamp_seconds(F.lit(1704067200) + block * 3600).alias("ts"))
+    path = io.new_folder(spark, "blocks")
+    for k in range(BLOCKS):  # one file each, so that the stream takes them one by one
+        rows.where(F.col("block") == k).drop("block").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("message string, logger string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"""WITH RECURSIVE {b.LOGS}, {KEYED}, k AS (SELECT DISTINCT {q.key("logger", "norm", "message")} AS log_key, CAST(floor(seq * {BLOCKS} / ((SELECT max(doc_id) FROM documents) + 1)) AS INT) AS block FROM keyed),
+r AS (SELECT log_key, min(block) AS block FROM k GROUP BY 1 UNION ALL SELECT r.log_key, (SELECT min(block) FROM k WHERE k.log_key = r.log_key AND k.block >= r.block + 4) AS block FROM r WHERE EXISTS (SELECT 1 FROM k WHERE k.log_key = r.log_key AND k.block >= r.block + 4))
+SELECT log_key, TIMESTAMP '2024-01-01 00:00:00' + to_hours(block) AS ts FROM r""")
+def stream_first_seen_forgets(spark: SparkSession, d: str) -> DataFrame:
+    """A key comes again once it is forgotten. With a window of an hour and a block an hour, the watermark of a micro-batch is two
+    hours behind it, and a key goes at the end of the first one whose watermark is an hour beyond it: it comes again four blocks on."""
+    return streams.drained(streams.stream_first_seen(blocks_of_logs(spark, d), 1)).select("log_key", "ts")
+
+
+@query(f"""WITH {b.AUDIT}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, * FROM audit), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS late FROM audit)
+SELECT start, start + INTERVAL 1 HOUR AS "end", {TREND} FROM w, m GROUP BY 1, m.late HAVING start + INTERVAL 1 HOUR <= m.late""")
+def stream_trends(spark: SparkSession, d: str) -> DataFrame:
+    """As a stream: the windows that are over by the watermark."""
+    return streams.drained(streams.stream_trends(streamed(b.audit(spark, d).select("ts", "decision")), "1 hour"))
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events), m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m), g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 120 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k)
+SELECT * FROM g WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)""")
+def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """As a stream: the sessions that are over by the watermark."""
+    rows = b.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.drained(streams.error_bursts(streamed(rows), "120 minutes", ("user_id",)))
+
+
 @query(f"WITH {PROCESSED} SELECT doc_id AS cand_id FROM documents WHERE ('team-' || (doc_id % 4), {q.short(q.key('lang', q.norm_message('text'), 'text'))}) NOT IN (SELECT (team_id, fingerprint) FROM processed)")
 def stream_new_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     cands = b.table(spark, d, "documents").select(F.col("doc_id").alias("cand_id"), F.concat(F.lit("team-"), F.col("doc_id") % 4).alias("team_id"), t.fingerprint(F.col("lang"), "text").alias("fingerprint"))
@@ -703,6 +838,54 @@ def triage_tickets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("cand_id", "project", "summary", "description", F.array_join("labels", " ").alias("labels"), "severity")
 
 
+#: A run's rows one after the other, with what it has made so far.
+FOLD = f"""ordered AS (SELECT *, {FOUND} AS found, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM snapshot),
+f AS (SELECT run_id, 0 AS n, NULL::VARCHAR AS said, []::VARCHAR[] AS prints, []::VARCHAR[] AS hashes, []::VARCHAR[] AS kinds, 0 AS made FROM ordered GROUP BY 1 UNION ALL
+SELECT run_id, n, said, CASE WHEN said IN ('created', 'duplicate-error-type') THEN list_append(prints, fingerprint) ELSE prints END, CASE WHEN said = 'created' THEN list_append(hashes, loghash) ELSE hashes END,
+CASE WHEN said = 'created' AND error_type NOT IN ('', 'unknown') THEN list_append(kinds, error_type) ELSE kinds END, made + CASE WHEN said = 'created' THEN 1 ELSE 0 END
+FROM (SELECT f.run_id, o.n, f.prints, f.hashes, f.kinds, f.made, o.fingerprint, o.loghash, o.error_type, CASE WHEN NOT o.create_ticket THEN 'not-needed' WHEN found = 'duplicate-fingerprint' OR list_contains(f.prints, o.fingerprint) THEN 'duplicate-fingerprint'
+WHEN strategy_name = 'loghash' OR norm <> '' AND list_contains(f.hashes, o.loghash) THEN 'duplicate-jira' WHEN strategy_name = 'error_type' OR list_contains(f.kinds, o.error_type) THEN 'duplicate-error-type'
+WHEN cap > 0 AND f.made >= cap THEN 'cap-reached' ELSE 'created' END AS said FROM f JOIN ordered o ON o.run_id = f.run_id AND o.n = f.n + 1)),
+decided AS (SELECT o.* EXCLUDE (said), f.said FROM ordered o JOIN f ON f.run_id = o.run_id AND f.n = o.n)"""
+TRIAGED = f"WITH RECURSIVE {CANDIDATES}, {RECENT.format("TIMESTAMP '" + AS_OF + "'")}, {TOLD}, {SNAPSHOT}, {FOLD}"
+
+
+def _triage_exact(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    store = told_before(spark, d)
+    return jobs.triage_job(b.messages(spark, d), b.teams(spark), tickets_of_logins(spark, d), store, CONFIG, AS_OF, strategies=exact_strategies(store))
+
+
+@query(f"{TRIAGED} SELECT run_id, seq, fingerprint, error_type, severity, said AS decision, occurrences FROM decided")
+def triage_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job with the strategies that SQL can express."""
+    return _triage_exact(spark, d)["decisions"].select("run_id", "seq", "fingerprint", "error_type", "severity", "decision", "occurrences")
+
+
+@query(f"""{TRIAGED} SELECT team_id, fingerprint FROM told UNION SELECT team_id, fingerprint FROM decided WHERE said IN ('created', 'duplicate-error-type')
+UNION SELECT team_id, logger_fingerprint FROM decided WHERE said = 'created'""")
+def triage_exact_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """What the store of fingerprints holds after the job: it is written, and read again."""
+    path = io.new_folder(spark, "store")
+    io.write_fingerprints(_triage_exact(spark, d)["fingerprints"], path)
+    return io.read_fingerprints(spark, path)
+
+
+@query()
+def triage_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return _triage(spark, d)["fingerprints"]
+
+
+@query()
+def investigate_related(spark: SparkSession, d: str) -> DataFrame:
+    related = jobs.investigate_job(questions(spark, d), b.logs(spark, d), b.tickets(spark, d), CONFIG)["related"]
+    return related.select("question_id", "key", "score", "matched")
+
+
+@query()
+def investigate_summary(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.investigate_job(questions(spark, d), b.logs(spark, d), b.tickets(spark, d), CONFIG)["summary"]
+
+
 @query()
 def investigate_job(spark: SparkSession, d: str) -> DataFrame:
     return jobs.investigate_job(questions(spark, d), b.logs(spark, d), b.tickets(spark, d), CONFIG)["actions"]

@@ -27,10 +27,13 @@ def candidates(logs: DataFrame, teams: DataFrame, config: RunConfig, as_of=None,
     return settled(out)  # distinct errors only; all that follows reads this
 
 
-def triage_job(logs: DataFrame, teams: DataFrame, tickets: DataFrame, processed: DataFrame, config: RunConfig, as_of=None, answer: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
-    """decisions (an audit row a candidate), new_tickets, fingerprints (the store after the run)."""
+def triage_job(logs: DataFrame, teams: DataFrame, tickets: DataFrame, processed: DataFrame, config: RunConfig, as_of=None, answer: str | None = None, exact: bool = True, strategies=None) -> dict[str, DataFrame]:
+    """decisions (an audit row a candidate), new_tickets, fingerprints (the store after the run).
+
+    as_of: the time that tickets are looked at from; by default each log's own. strategies: see resolve_duplicates.
+    """
     cands = candidates(logs, teams, config, as_of, answer)
-    found = settled(dedup.resolve_duplicates(cands, tickets, processed, config))
+    found = settled(dedup.resolve_duplicates(cands, tickets, processed, config, strategies))
     said = dedup.resolve_in_run(found, config.dry_run, exact)
     rows = found.drop("decision").join(said.withColumnRenamed("in_run", "decision"), "cand_id")
     made = rows.where(F.col("decision").isin("created", "simulated"))
