@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import textscan as ts
 from faultline.llm.fmindex import suffix_array
+from faultline.llm.tables import cut_table
 
 _NAME, _VALUE = r"[^\s/>][^\s/>=]*", r"\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_NAME}(?:\s*=\s*(?:{_VALUE})?+)?+)*+)>", re.S)
@@ -32,6 +34,8 @@ HINTS = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses "
     "discussion footer contentinfo masthead copyright pagination pager toolbar search teaser teasers".split()
 )
+#: Words of HINTS that an article's own sections go by as well: they rule out only what is built as its name says (see built_apart).
+AMBIGUOUS = frozenset("discussion related search recommended recommendations respond responses social promotion subscription teaser teasers".split())
 PLACES = frozenset("area articles bar block bottom box button buttons col column container content form group header hero icons inner item items link links list main media outer page panel post posts primary row secondary section site slot stories text thread title top unit wrap wrapper".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond responses discussion".split())
 _ANY_MAIN = re.compile(r"<(article|main)\b|role\s*=\s*[\"']?main\b|articleBody", re.I)
@@ -55,6 +59,28 @@ def ruled_out(names: list[list[str]]) -> bool:
     return any(HINTS.intersection(n) and HINTS.union(PLACES).issuperset(n) for n in names)
 
 
+_LINK = re.compile(r"<a\b[^>]*>(.*?)(?:</a\s*>|\Z)", re.S | re.I)
+_SIGNED = re.compile(r"<time\b|(?:class|itemprop|rel)\s*=\s*[\"']?[^\"'>]*\b(?:author|byline|avatar|comment|date|reply|username)\b", re.I)
+_ANY_TAG = re.compile(r"<[^>]*>")
+
+
+def element_at(html: str, at: int, tag: str) -> str:
+    """What an element of this tag holds that opens before `at`: up to its end tag, or to the end of the page."""
+    depth = 1
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])", html[at:], re.I):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return html[at : at + m.start()]
+    return html[at:]
+
+
+def built_apart(inner: str) -> bool:
+    """Whether an element is a list of links (half of its text or more), or of entries with author or date marks (two or more)."""
+    size = lambda x: len("".join(_ANY_TAG.sub(" ", x).split()))
+    links = sum(size(x) for x in _LINK.findall(inner))
+    return links > 0 and 2 * links >= size(inner) or len(_SIGNED.findall(inner)) > 1
+
+
 class Page:
     """Parts a page into blocks. article: the blocks of the main text, or None if no element marks any; other: the rest.
 
@@ -62,7 +88,8 @@ class Page:
     holds, or what is empty, marks nothing: the next is tried.
 
     A class or id rules an element out if all its words do so (comments, site-footer). Where only one of its words would
-    (social-history), blocks of the article in it are suspect: they go if other pages of the host repeat them.
+    (social-history), or where articles have sections of that name too (discussion, related), blocks of the article in it are
+    suspect: they go if other pages of the host repeat them. An element of such a name goes as a whole if it is built so: see built_apart.
     """
 
     def __init__(self, html: str):
@@ -147,6 +174,8 @@ class Page:
                 inside += 1
             hidden = attributes.get("hidden", "false").lower() != "false" or attributes.get("aria-hidden", "").lower() == "true" or _NONE.search(attributes.get("style", ""))
             out = tag in APART or tag == "header" and not inside or ruled_out(names) and tag not in ("html", "body", "main") or bool(hidden)
+            if out and inside and tag not in APART and not hidden and all(AMBIGUOUS & set(n) for n in names if ruled_out([n])):
+                out = built_apart(element_at(html, at, tag))
             if "header" in marks and not inside and tag not in ("html", "body"):
                 out = True
             if out:
@@ -182,15 +211,21 @@ class Page:
                 self.kept.append(text)
 
 
+#: Hosts with over host_pages up to which their numbers (a name and an int each) are broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
+
 PARSED = "page_id {id}, url {url}, host string, salt int, draw long, marked boolean, suspect array<int>, text string, stream string"
 
 
-def parse(pages: DataFrame, hot: dict[str, int]) -> DataFrame:
+def parse(pages: DataFrame) -> DataFrame:
+    """pages: page_id, url, html, host, draw and shares, into how many the host's pages are dealt (null: not at all).
+
+    Pages alike in stream and article share a salt, so that they meet as one page.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ts.slices(batches, "html"):
-            hosts, draws = part.column("host").to_pylist(), part.column("draw").to_pylist()
             marked, suspect, text, stream = [], [], [], []
             for html in part.column("html").to_pylist():
                 page = Page(html or "")
@@ -198,7 +233,7 @@ def parse(pages: DataFrame, hot: dict[str, int]) -> DataFrame:
                 suspect.append(page.suspect)
                 text.append("\n".join(page.article or ()))
                 stream.append("\n".join(page.other + [page.article[i] for i in page.suspect] if page.article is not None else page.kept))
-            salt = [d % hot[h] if h in hot else -1 for h, d in zip(hosts, draws, strict=True)]
+            salt = [crc32(f"{x}\0{y}".encode()) % n if n else -1 for x, y, n in zip(stream, text, part.column("shares").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(salt, pa.int32()), part.column("draw"), pa.array(marked), pa.array(suspect, pa.list_(pa.int32())), pa.array(text, pa.string()), pa.array(stream, pa.string())],
                 ["page_id", "url", "host", "salt", "draw", "marked", "suspect", "text", "stream"],
@@ -298,16 +333,17 @@ def extract(pages: DataFrame, run_tokens: int = 10, host_pages: int = 2000, id_c
     hold are found by the hashes of all windows of run_tokens words and sent to the shares that hold them, so the result
     doesn't depend on how pages are dealt. n_boilerplate counts the covered words (for marked pages, among the words outside the article).
 
-    Null html gives an empty text, null urls are one host; rows that repeat are treated alike; an empty table gives no
-    rows. Other columns are not read.
+    Rows that repeat, and pages of a host that are alike in all their words, count as one page, so that their words aren't
+    repeated for that. Null html gives an empty text, null urls are one host; an empty table gives no rows. Other columns are not read.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_column).alias("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"), F.pmod(F.xxhash64(id_column, "url", "html"), F.lit(1 << 40)).alias("draw"))
-    counts = rows.groupBy("host").count()
-    hot = {r["host"]: -(-r["count"] // host_pages) for r in counts.where(F.col("count") > host_pages).collect()}
-    parsed = parse(rows, hot)
+    counts = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > host_pages)
+    large = cut_table(counts.select("host", F.ceil(F.col("n") / host_pages).cast("int").alias("shares")))
+    hot = large.count()
+    parsed = parse(rows.join(F.broadcast(large) if hot <= BROADCAST_HOSTS else large, "host", "left"))
     every = parsed.withColumn("name", F.lit(None).cast("long"))
-    if hot:  # pages are parsed again for the names: a second read takes less than the disk of a parsed copy
+    if hot:  # a host has over host_pages; pages are parsed again for the names: a second read takes less than the disk of a parsed copy
         every = every.unionByName(shared_windows(parsed.where("salt >= 0"), run_tokens), allowMissingColumns=True)
     ordered = every.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("name").desc_nulls_last(), "draw")
 
@@ -337,9 +373,13 @@ def extract(pages: DataFrame, run_tokens: int = 10, host_pages: int = 2000, id_c
     def finish(held: list[pa.RecordBatch], names: list[np.ndarray]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         streams = t.column("stream").to_pylist()
-        covered = repeated_tokens(streams, run_tokens)
+        whole = list(zip(streams, t.column("text").to_pylist(), strict=True))
+        place = {x: k for k, x in enumerate(dict.fromkeys(whole))}  # rows that repeat, and like pages, are one page
+        distinct = [x for x, _ in place]
+        covered = repeated_tokens(distinct, run_tokens)
         if names:
-            covered = [c | o for c, o in zip(covered, named_tokens(streams, run_tokens, np.concatenate(names)), strict=True)]
+            covered = [c | o for c, o in zip(covered, named_tokens(distinct, run_tokens, np.concatenate(names)), strict=True)]
+        covered = [covered[place[x]] for x in whole]
         text = []
         for i, (marked, suspect, article) in enumerate(zip(*(t.column(c).to_pylist() for c in ("marked", "suspect", "text")), strict=True)):
             blocks = streams[i].split("\n")

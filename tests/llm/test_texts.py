@@ -159,6 +159,30 @@ def test_one_word_of_a_class_only_makes_suspect(spark):
     assert told in got[9]
 
 
+def test_rows_that_repeat_are_one_page(spark):
+    """A page that stands twice gives what it gives alone: neither does its menu come back, nor does a suspect block go."""
+    menu = "<div>Home News About us Contact Imprint Privacy Terms and conditions of use here</div>"
+    rows = [(i, f"http://b.example.com/{i}", f"<body>{menu}<div>own words of page number {i} are kept, all of them that are here</div></body>") for i in range(4)]
+    rows.append((7, "http://c.example.com/7", "<article><p>the text</p><div class='social-history'>it is told only here and by no other page of all these</div></article>"))
+    schema = "page_id long, url string, html string"
+    alone = sorted(map(tuple, html.extract(spark.createDataFrame(rows, schema)).collect()))
+    assert alone[0][2] == "own words of page number 0 are kept, all of them that are here" and alone[4][2].endswith("of all these")
+    for host_pages in (2000, 3, 1):
+        again = html.extract(spark.createDataFrame(rows + [rows[0], rows[4], rows[0]], schema), host_pages=host_pages).collect()
+        assert sorted(map(tuple, again)) == sorted(alone + [alone[0], alone[0], alone[4]])
+
+
+def test_sections_that_articles_have_too():
+    for kept in ("<section class='discussion'><h2>Discussion</h2><p>We find that</p></section>", "<section class=related><p>Related work in the <a href=x>field</a></p></section>", "<div class='search'>hits of the search</div>"):
+        page = html.Page(f"<article><p>one</p>{kept}<p>two</p></article>")
+        assert len(page.article) > 2 and page.suspect and {page.article[0], page.article[-1]} == {"one", "two"}
+    for gone in (
+        "<section class='discussion'><div><span class=author>A</span><p>I say</p></div><div><span class=author>B</span><p>no</p></div></section>", "<div class=related><ul><li><a href=a>More of this</a><li><a href=b>And that</a></ul></div>",
+        "<div class='comments'><p>I say</p></div>", "<aside>x</aside>", "<div class=ad>buy</div>", "<div class=search><form>x <input></form></div>",
+    ):
+        assert html.Page(f"<article><p>one</p>{gone}<p>two</p></article>").article == ["one", "two"]
+
+
 def test_repeated_tokens_against_brute_force():
     rng = np.random.default_rng(6)
     shared = [rng.integers(0, 50, 14).tolist() for _ in range(4)]
