@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.io import cut_table, drop_tables, remove_folder, shared_folder
+
+__all__ = ["cut_table", "doc_key", "drop_tables", "read", "remove_folder", "shared_folder"]
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -19,22 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Only a session on one machine (tests) may go without: it gets a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-    return _own_folder(context.applicationId)
-
-
-@lru_cache(1)
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"faultline-{application}-")
-
-
 def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Adds key_id and key_text: rows that repeat both id and text share a key; a null id sorts last.
 
@@ -45,36 +28,3 @@ def doc_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     repeated = not df.groupBy(id_column).count().where("count > 1").isEmpty()
     text = F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))) if repeated else F.lit(0).cast("long")
     return df.withColumns({"key_id": F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)), "key_text": text})
-
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut_table(df: DataFrame, **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again, so that what follows doesn't compute it anew.
-
-    Once it is written, the shuffle files behind it are of no more use and are removed. drop_tables removes the table.
-    options: of the Parquet writer.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/faultline-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.cut_path = path
-    return table
-
-
-def drop_tables(*tables: DataFrame) -> None:
-    """Removes tables of cut_table. Nothing that still is to be computed may read them."""
-    for table in tables:
-        remove_folder(table.sparkSession, table.cut_path)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
