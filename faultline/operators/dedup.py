@@ -41,14 +41,14 @@ def with_fingerprints(cands: DataFrame) -> DataFrame:
 def route_to_teams(logs: DataFrame, teams: DataFrame, config: RunConfig, team: str | None = None) -> DataFrame:
     """Logs of the services of enabled teams, with team_id, project, cap, severity_rules and run_id (team|service).
 
-    The table of teams has a row a team and is broadcast: it is configuration, not data.
+    The table of teams is configuration; Spark broadcasts it if it is as small as that.
     """
     active = teams.where("enabled" if team is None else (F.col("enabled") & (F.col("team_id") == team)))
     routes = active.select(
         "team_id", F.col("project_key").alias("project"), F.explode("services").alias("service"), "env",
         F.coalesce("max_tickets_per_run", F.lit(config.max_tickets_per_run)).alias("cap"), "severity_rules",
     )
-    return logs.join(F.broadcast(routes), ["service", "env"]).withColumn("run_id", F.concat_ws("|", "team_id", "service"))
+    return logs.join(routes, ["service", "env"]).withColumn("run_id", F.concat_ws("|", "team_id", "service"))
 
 
 def occurrences(logs: DataFrame, run: str = "run_id") -> DataFrame:
