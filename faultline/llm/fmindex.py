@@ -5,6 +5,8 @@ Searches are vectorised over patterns: each step of a backward search is a few a
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 
 U = np.uint64
@@ -28,15 +30,86 @@ class Bits:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self.words[i >> 6] >> (i & 63).astype(U)) & U(1)).astype(bool)
 
+    def get_and_rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.get(i), self.rank(i)
+
+
+BLOCK = 15  # bits, so that a class takes four
+CLASS = np.bitwise_count(np.arange(1 << BLOCK, dtype=np.uint16))
+BLOCKS = np.argsort(CLASS, kind="stable").astype(np.uint16)  # all blocks by class, then by value
+FIRST = np.searchsorted(CLASS[BLOCKS], np.arange(BLOCK + 1))  # where each class begins among them
+OFFSET = np.empty(1 << BLOCK, np.int64)
+OFFSET[BLOCKS] = np.arange(1 << BLOCK) - FIRST[CLASS[BLOCKS]]
+WIDTH = np.array([(comb(BLOCK, c) - 1).bit_length() for c in range(BLOCK + 1)], np.uint8)  # bits of an offset
+FOUR = sum(WIDTH[(np.arange(1 << 16) >> s) & 15] for s in (0, 4, 8, 12))  # bits of the offsets of four classes
+NIBBLES, BYTES = U(0x0F0F0F0F0F0F0F0F), U(0x0101010101010101)
+
+
+class CompressedBits:
+    """A bit vector of block classes and offsets, near its entropy in size.
+
+    Of each block of 15 bits the class, its number of ones, takes 4 bits and its place among the blocks of that class 0 to
+    13. Sixteen classes are a word; the ones and the bits of offsets before each word are counted.
+    """
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.concatenate((bits, np.zeros(-len(bits) % (16 * BLOCK) + 16 * BLOCK, bool))).reshape(-1, BLOCK)
+        block = np.packbits(np.pad(padded, ((0, 0), (0, 1))), axis=1, bitorder="little").view(np.uint16).ravel()
+        kind = CLASS[block]
+        self.classes = (kind[::2] | kind[1::2] << 4).view(U)
+        ones = np.cumsum(kind, dtype=np.int64) - kind
+        width = WIDTH[kind]
+        start = np.cumsum(width, dtype=np.int64) - width
+        self.ones, self.starts = ones[::16].astype(np.uint32), start[::16].astype(np.uint32)
+        self.offsets = np.zeros((int(start[-1]) >> 6) + 2, U)
+        word, shift, value = start >> 6, (start & 63).astype(U), OFFSET[block].astype(U)
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        self.offsets[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+        over = np.flatnonzero((start & 63) + width > 64)
+        self.offsets[word[over] + 1] |= value[over] >> (U(64) - shift[over])
+
+    def nbytes(self) -> int:
+        return self.classes.nbytes + self.ones.nbytes + self.starts.nbytes + self.offsets.nbytes
+
+    def block(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block of position i, the position in it, and the ones before it."""
+        b = i // BLOCK
+        at = (i - b * BLOCK).astype(np.uint16)
+        w, shift = b >> 4, ((b & 15) << 2).astype(U)
+        word = self.classes[w]
+        below = word & ((U(1) << shift) - U(1))
+        kind = (word >> shift) & U(15)
+        before = ((below & NIBBLES) + (below >> U(4) & NIBBLES)) * BYTES >> U(56)
+        four = below[..., None].view(np.uint16)
+        p = self.starts[w].astype(np.int64)
+        for k in range(4):
+            p += FOUR[four[..., k]]
+        q, s = p >> 6, (p & 63).astype(U)
+        value = self.offsets[q] >> s | self.offsets[q + 1] << U(1) << (U(63) - s)
+        value &= (U(1) << WIDTH[kind].astype(U)) - U(1)
+        return BLOCKS[FIRST[kind] + value.astype(np.int64)], at, self.ones[w] + before.astype(np.int64)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i."""
+        return self.get_and_rank(i)[1]
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return self.get_and_rank(i)[0]
+
+    def get_and_rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block, at, before = self.block(i)
+        one = np.uint16(1)
+        return (block >> at & one).astype(bool), before + np.bitwise_count(block & ((one << at) - one))
+
 
 class WaveletMatrix:
-    def __init__(self, symbols: np.ndarray, sigma: int):
+    def __init__(self, symbols: np.ndarray, sigma: int, kind: type = Bits):
         self.levels = max(1, int(sigma - 1).bit_length())
         self.bits, self.zeros = [], []
         rest = symbols
         for level in range(self.levels - 1, -1, -1):
             one = ((rest >> level) & 1).astype(bool)
-            self.bits.append(Bits(one))
+            self.bits.append(kind(one))
             self.zeros.append(int(len(one) - one.sum()))
             rest = np.concatenate((rest[~one], rest[one]))
         self.first = np.zeros(sigma, np.int64)
@@ -55,7 +128,7 @@ class WaveletMatrix:
     def symbol_and_rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbol = np.zeros(len(i), np.int64)
         for k, bits in enumerate(self.bits):
-            one, ones = bits.get(i), bits.rank(i)
+            one, ones = bits.get_and_rank(i)
             symbol = symbol * 2 + one
             i = np.where(one, self.zeros[k] + ones, i - ones)
         return symbol, i - self.first[symbol]
@@ -91,18 +164,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """text: symbols from 0 to sigma - 1. Symbol 0 parts pieces and no pattern may hold it."""
+    """text: symbols from 0 to sigma - 1. Symbol 0 parts pieces and no pattern may hold it.
+
+    compressed: bit vectors of block classes and offsets. Frequent symbols should have small numbers then, so that the
+    upper levels are nearly all zeros.
+    """
 
-    def __init__(self, text: np.ndarray, sigma: int, sample: int = 8):
+    def __init__(self, text: np.ndarray, sigma: int, sample: int = 8, compressed: bool = False):
+        kind = CompressedBits if compressed else Bits
         text = np.append(text.astype(np.int64) + 1, 0)  # the end is smaller than all
         sigma += 1
         sa = suffix_array(text)
         bwt = text[sa - 1]
         self.n = len(text)
         self.less = np.concatenate(([0], np.cumsum(np.bincount(bwt, minlength=sigma))))
-        self.tree = WaveletMatrix(bwt, sigma)
+        self.tree = WaveletMatrix(bwt, sigma, kind)
         sampled = sa % sample == 0
-        self.marked = Bits(sampled)
+        self.marked = kind(sampled)
         self.places = sa[sampled]
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

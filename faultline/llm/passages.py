@@ -102,14 +102,16 @@ def match_shard(shard: list[np.ndarray], key_id: np.ndarray, n: np.ndarray, wind
 
     Ranges that reach the threshold are located and their least document compared with the segment's own.
     """
-    vocab, number = np.unique(np.concatenate(shard), return_inverse=True)
+    vocab, number, counts = np.unique(np.concatenate(shard), return_inverse=True, return_counts=True)
+    by_count = np.empty(len(vocab), np.int64)
+    by_count[np.argsort(-counts, kind="stable")] = np.arange(len(vocab))
     size = np.array([len(s) for s in shard], np.int64)
     start = np.cumsum(size + 1) - (size + 1)
     text = np.zeros((size + 1).sum(), np.int64)
     owner = np.repeat(np.arange(len(shard)), size + 1)
     inside = np.arange(len(text)) - start[owner] < size[owner]
-    text[inside] = number + 1
-    index = FMIndex(text, len(vocab) + 1)
+    text[inside] = by_count[number] + 1
+    index = FMIndex(text, len(vocab) + 1, compressed=True)
     ids = key_id[owner]
     matched, lo, hi = backward(index, text, start, size)
     whole = matched == size

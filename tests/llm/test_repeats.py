@@ -3,10 +3,11 @@
 from hashlib import sha256
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import passages, substrings
-from faultline.llm.fmindex import FMIndex, WaveletMatrix, suffix_array
+from faultline.llm.fmindex import Bits, CompressedBits, FMIndex, WaveletMatrix, suffix_array
 
 
 def brute_bytes(rows, length):
@@ -133,14 +134,28 @@ def test_passages_empty(no_docs):
     assert passages.remove_passages(no_docs).collect() == []
 
 
-def test_fm_index():
+def test_compressed_bits():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 14, 15, 16, 239, 240, 241, 5000):
+        for share in (0, 0.01, 0.5, 0.97, 1):
+            bits = rng.random(n) < share
+            packed, at = CompressedBits(bits), np.arange(n + 1)
+            assert packed.rank(at).tolist() == [0, *np.cumsum(bits).tolist()]
+            assert packed.get(at[:-1]).tolist() == bits.tolist()
+            assert (packed.rank(np.stack([at, at])) == Bits(bits).rank(at)).all()
+    rare = CompressedBits(rng.random(100_000) < 0.01)
+    assert rare.nbytes() * 8 < 0.7 * 100_000
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_fm_index(compressed):
     rng = np.random.default_rng(3)
     text = rng.integers(0, 5, 800)
     assert suffix_array(text).tolist() == sorted(range(800), key=lambda i: text[i:].tolist())
-    tree = WaveletMatrix(text, 5)
+    tree = WaveletMatrix(text, 5, CompressedBits if compressed else Bits)
     for c in range(5):
         assert tree.rank(np.full(801, c), np.arange(801)).tolist() == [0, *np.cumsum(text == c).tolist()]
-    index = FMIndex(text, 5)
+    index = FMIndex(text, 5, compressed=compressed)
     patterns = np.array([text[i : i + 4] for i in range(0, 790, 7)] + [[1, 1, 1, 1], [4, 3, 2, 1]])
     lo, hi = index.search(patterns)
     for p, a, b in zip(patterns, lo, hi):
