@@ -61,19 +61,25 @@ def backward(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.nda
     """Backward search of pieces of the indexed text: matching statistics of their ends, as far as the pieces reach.
 
     Returns the words matched and the range of suffixes of that match. A search ends when one suffix is left, the piece
-    itself; a piece is repeated if it matches in its whole length.
+    itself; a piece is repeated if it matches in its whole length. Pieces that matched the same words so far and go on
+    with the same one take the step together.
     """
+    sigma = len(index.less)
     lo, hi, matched = np.zeros(len(start), np.int64), np.full(len(start), index.n), np.zeros(len(start), np.int64)
     live = np.arange(len(start))
     for k in range(int(length.max(initial=0))):
         live = live[length[live] > k]
         c = text[start[live] + length[live] - 1 - k] + 1
-        low, high = index.less[c] + index.tree.rank(c, np.stack([lo[live], hi[live]]))
-        several = high - low > 1
-        live = live[several]
+        asked, which = np.unique(lo[live] * sigma + c, return_inverse=True)  # ranges of one step that begin alike are one
+        at, c = np.divmod(asked, sigma)
+        to = np.empty_like(at)
+        to[which] = hi[live]
+        low, high = index.less[c] + index.tree.rank(c, np.stack([at, to]))
+        several = (high - low > 1)[which]
+        live, which = live[several], which[several]
         if not len(live):
             break
-        lo[live], hi[live], matched[live] = low[several], high[several], k + 1
+        lo[live], hi[live], matched[live] = low[which], high[which], k + 1
     return matched, lo, hi
 
 
