@@ -9,6 +9,7 @@ from faultline.functions import text as t
 from faultline.operators import dedup, similarity
 from faultline.plans import catalog
 from faultline.sources import io
+from faultline.streaming import streams
 
 
 def optimized(df):
@@ -42,3 +43,11 @@ def test_neighbours(spark, tmp_path):
         want |= {x[0]: (x[2].lower(), y[2].lower()) for x, y in zip(own, own[1:])}
     assert {r.doc_id: (r.x, r.y) for r in pairs.collect()} == want
     assert "lead(" not in optimized(pairs)  # a window over a language is one task
+
+
+def test_state_of_first_seen_holds_hashes(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([("m", "l")], "message string, logger string").withColumn("ts", F.timestamp_seconds(F.lit(0))).write.parquet(path)
+    stream = streams.stream_first_seen(spark.readStream.schema("message string, logger string, ts timestamp").parquet(path), 1)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark [_key" in plan and stream.columns[-1] == "log_key"
