@@ -51,3 +51,9 @@ def test_state_of_first_seen_holds_hashes(spark, tmp_path):
     stream = streams.stream_first_seen(spark.readStream.schema("message string, logger string, ts timestamp").parquet(path), 1)
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "DeduplicateWithinWatermark [_key" in plan and stream.columns[-1] == "log_key"
+
+
+def test_masks_with_boundaries_of_ascii(spark):
+    rows = spark.createDataFrame([("é" + "a" * 20 + "ü é",)], "v string")
+    got = rows.select(t.mask_pii_basic("v", True).alias("sql"), t.mask_pii_basic("v").alias("python")).first()
+    assert got.sql == "é<TOKEN>ü é" and got.python == "é" + "a" * 20 + "ü é"
