@@ -1,12 +1,16 @@
 """Costly columns are computed once, and long texts are aligned in time."""
 
+import os
 import random
+import re
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import text as t
-from faultline.operators import dedup, similarity
+from faultline.operators import classify, dedup, similarity
 from faultline.plans import catalog
 from faultline.sources import io
 from faultline.streaming import streams
@@ -57,3 +61,12 @@ def test_masks_with_boundaries_of_ascii(spark):
     rows = spark.createDataFrame([("é" + "a" * 20 + "ü é",)], "v string")
     got = rows.select(t.mask_pii_basic("v", True).alias("sql"), t.mask_pii_basic("v").alias("python")).first()
     assert got.sql == "é<TOKEN>ü é" and got.python == "é" + "a" * 20 + "ü é"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_bounds_of_pairs_are_compiled(spark):
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # what Spark can't compile fails
+    try:
+        assert catalog.dup_similarity(spark, "/root/testdata/sf0.001").count() >= 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
