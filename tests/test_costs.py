@@ -70,3 +70,13 @@ def test_bounds_of_pairs_are_compiled(spark):
         assert catalog.dup_similarity(spark, "/root/testdata/sf0.001").count() >= 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_dup_label_is_its_sql(spark, tmp_path):
+    """Also where nothing is left of a text, and beside letters that are not ASCII's."""
+    texts = ["12345678", "99999999", "é123456 disk", "é654321 disk", "duplicate entry\x0bx for key", "duplicate entry y for key", "same words", "same words", None]
+    spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLES["dup_label"]).fetchall())
+    assert sorted(map(tuple, catalog.dup_label(spark, str(tmp_path)).collect())) == want and {0, 1, 3} <= {r[0] for r in want}
