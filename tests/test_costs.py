@@ -72,6 +72,17 @@ def test_bounds_of_pairs_are_compiled(spark):
         spark.conf.unset("spark.sql.codegen.fallback")
 
 
+def test_rules_see_plain_parts_first(spark):
+    texts = ["database link: connection did fail", "fail connection database", "error 412 is no error", "a bad\nrequest", "bad request", "no space is left", ""]
+    rows = spark.createDataFrame([(v,) for v in texts], "v string")
+    for rule in (*classify.RULES, classify.GENERIC):
+        any_of = re.compile("|".join(rule.patterns))
+        got = rows.select("v", classify.may_match(F.col("v"), rule.patterns).alias("may"), (classify.confidence(F.col("v"), rule) >= 0.8).alias("hit")).collect()
+        assert all(r.may or not any_of.search(r.v) for r in got) and all(r.hit for r in got if any_of.search(r.v))
+    plain = [r for r in classify.RULES if r.error_type == "disk-space"][0]
+    assert [r.may for r in rows.select(classify.may_match(F.col("v"), plain.patterns).alias("may")).collect()] == [v == "no space is left" for v in texts]
+
+
 def test_dup_label_is_its_sql(spark, tmp_path):
     """Also where nothing is left of a text, and beside letters that are not ASCII's."""
     texts = ["12345678", "99999999", "é123456 disk", "é654321 disk", "duplicate entry\x0bx for key", "duplicate entry y for key", "same words", "same words", None]
