@@ -21,13 +21,13 @@ HEAD = "<6q"  # bytes a symbol, base, rules, documents, symbols, ids
 SHARD = 1 << 19
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 6, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds: int = 16, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), symbols and where each document's symbols end.
 
     ids: of all documents, below base; ends: where each document's end. Each round counts the pairs of neighbours inside
     documents and replaces frequent ones (`least` times or more, the most frequent first) by new symbols: a pair is replaced
-    where it is the most frequent of those it overlaps. It ends when no pair is frequent, after `rounds`, or with `most` rules
-    (by default as many as keep symbols in two bytes, if ids do).
+    where it is the most frequent of those it overlaps. It ends when no pair is frequent, after a round that took away less than
+    1 of 64 symbols, after `rounds`, or with `most` rules (by default as many as keep symbols in two bytes, if ids do).
     """
     if most is None:
         most = (1 << 16) - base if base < 1 << 16 else 1 << 20
@@ -75,6 +75,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
         stay[place + 1] = False
         last[place] = last[place + 1]
         sym, last = sym[stay], last[stay]
+        if 64 * len(place) < len(stay):
+            break
     stops = np.zeros(len(ends), np.int64)
     some = np.diff(ends, prepend=0) > 0
     stops[some] = np.flatnonzero(last) + 1
