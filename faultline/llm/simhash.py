@@ -180,8 +180,9 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
     similarity 0.8, 1 in 2,000 of those of 0.82); sets of under SMALL shingles, whose bits are no fair sample, are spared that.
 
     Blocks are taken blocks_at_once at a time, which bounds the disk that their balls take. Every pair that meets and is
-    not of one class yet is settled, in two steps: first few pairs of each group, which join near copies to classes, then
-    all pairs across classes, large groups in tiles of `tile` texts. Sets travel to at most max(lot, texts / 2) pairs at a time.
+    not of one class yet is settled, in two steps: with the first blocks few pairs of each group, which join near copies to
+    classes (with later blocks nearly all of these are of one class already), then all pairs across classes, large groups in
+    tiles of `tile` texts. Sets travel to at most max(lot, texts / 2) pairs at a time.
 
     Rows without words are one node. Null texts have no words. An empty table gives no rows. Both results are tables of
     cut_table; all others are removed.
@@ -215,10 +216,11 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
         blocks = block_codes(nodes, start, blocks_at_once)
         reps = cut_table(blocks.groupBy("code").agg(F.min("node").alias("rep")))
         crowd = cut_table(ball_groups(reps))
-        sets = nodes.select("node", "n", "fp").join(classes, "node")
-        one, other = (sets.select(F.col("node").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in ("root", "n", "fp")]) for s in ("a", "b"))
-        few = few_pairs(blocks, reps, crowd).join(one, "a").join(other, "b").where("root_a <> root_b").where(alike)
-        classes = merged(classes, few.select("a", "b", "root_a", "root_b"))
+        if not start:
+            sets = nodes.select("node", "n", "fp").join(classes, "node")
+            one, other = (sets.select(F.col("node").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in ("root", "n", "fp")]) for s in ("a", "b"))
+            few = few_pairs(blocks, reps, crowd).join(one, "a").join(other, "b").where("root_a <> root_b").where(alike)
+            classes = merged(classes, few.select("a", "b", "root_a", "root_b"))
         met = open_pairs(blocks.join(classes, "node"), crowd, nodes.select("node", "n", "fp"), alike, tile)
         classes = merged(classes, met)
         drop_tables(reps, crowd, met)

@@ -236,3 +236,14 @@ def test_items_that_stand_twice_are_named_once(spark):
     bench = spark.createDataFrame([(7, "one two three"), (7, "four five six"), (None, "two three four"), (None, "three four five")], "item_id long, text string")
     for block in (2_000_000, 3):
         assert [r["items"] for r in decontaminate.phrase_hits(docs, bench, window=3, block_words=block).collect()] == [["", "7"]]
+
+
+def test_first_pairs_are_taken_once(spark, monkeypatch):
+    """Later blocks find nearly all of them in one class: they are all met across classes."""
+    calls, few = [], simhash.few_pairs
+    monkeypatch.setattr(simhash, "few_pairs", lambda *a: calls.append(1) or few(*a))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:30] + [f"x{i}"] + words[30:])) for i in range(3)] + [(9, "something else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(simhash.similar_classes(docs).collect())
+    assert len(calls) == 1 and got[9] == 9 and len(got) == 4
