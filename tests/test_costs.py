@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text as t
 from faultline.operators import classify, dedup, similarity
-from faultline.plans import catalog
+from faultline.plans import bases as b
+from faultline.plans import catalog, jobs
 from faultline.sources import io
 from faultline.streaming import streams
 
@@ -91,3 +92,15 @@ def test_dup_label_is_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = sorted(con.execute(catalog.ORACLES["dup_label"]).fetchall())
     assert sorted(map(tuple, catalog.dup_label(spark, str(tmp_path)).collect())) == want and {0, 1, 3} <= {r[0] for r in want}
+
+
+def test_candidates_deal_narrow_logs(spark, monkeypatch):
+    """first_seen sorts the rows of a task: a split of a file must not be one."""
+    seen = []
+    first_seen = dedup.first_seen
+    monkeypatch.setattr(dedup, "first_seen", lambda logs: seen.append(optimized(logs)) or first_seen(logs))
+    at = F.timestamp_seconds(F.lit(1704067200))
+    logs = spark.range(60).select(F.col("id").alias("seq"), F.lit("disk full").alias("message"), F.lit("l").alias("logger"), F.lit("en").alias("service"), F.lit("prod").alias("env"), at.alias("ts"))
+    got = jobs.candidates(logs, b.teams(spark), catalog.CONFIG).collect()
+    assert [(r.seq, r.seen, r.occurrences) for r in got] == [(0, 60, 60)]
+    assert "RepartitionByExpression [seq" in seen[0]
