@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -13,8 +13,8 @@ import numpy as np
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u2581"
 MARK = "\u2581"
 GAP = re.compile(f"(?<=[^{BLANKS}]) (?=[^{BLANKS}])")
-ODD_GAPS = tuple(dict.fromkeys([b + " " for b in BLANKS] + [" " + b for b in BLANKS]))
-ODD_ASCII = tuple(g for g in ODD_GAPS if g.isascii())
+OTHER_BLANKS = BLANKS.replace(" ", "")
+ASCII_BLANKS = "".join(b for b in OTHER_BLANKS if b.isascii())
 
 
 def chunks(text: str) -> list[str]:
@@ -23,11 +23,27 @@ def chunks(text: str) -> list[str]:
     No token reaches across such a space from the left: byte-level pre-tokens begin with it, and pieces hold the space's
     mark only as their first characters. So chunks can be encoded one by one.
     """
-    if text[:1] == " " or text[-1:] == " " or any(g in text for g in (ODD_ASCII if text.isascii() else ODD_GAPS)):
+    if text[:1] == " " or text[-1:] == " " or "  " in text:
         return GAP.split(text)
+    for b in ASCII_BLANKS if text.isascii() else OTHER_BLANKS:
+        if b in text and (b + " " in text or " " + b in text):
+            return GAP.split(text)
     return text.split(" ")
 
 
+class Numbers(dict[str, int]):
+    """Numbers of chunks. A chunk that has none yet gets the next one when it is asked for, and is listed in `fresh`."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.next, self.fresh = 0, []
+
+    def __missing__(self, chunk: str) -> int:
+        own = self[chunk] = self.next + len(self.fresh)
+        self.fresh.append(chunk)
+        return own
+
+
 class WordEncoder:
     """Encodes texts by their chunks. Subclasses call a library for the chunks that aren't known yet.
 
@@ -44,9 +60,8 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.known_first: dict[str, int] = {"": 0}
-        self.held = 0
+        self.known, self.known_first = Numbers(), Numbers()
+        self.n, self.used, self.held = 1, 0, 0  # chunks, their ids, their characters
         self.at, self.count, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def encode_joined(self, words: list[str]) -> list[int]:
@@ -56,47 +71,62 @@ class WordEncoder:
     def encode_alone(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def learn(self, fresh: list[str], known: dict[str, int], spaced: bool) -> None:
-        """Adds chunks, which stand after a space or (spaced=False) at the start of a text."""
-        plain = [c for c in fresh if " " not in c and MARK not in c] if spaced else []
+    def learn(self, fresh: list[str], spaced: bool) -> None:
+        """Adds chunks, which get the next numbers; they stand after a space or (spaced=False) at the start of a text."""
         parts: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        names: list[str] = []
-        for k in range(0, len(plain), 200):
-            own = plain[k : k + 200]
+        places: list[int] = []
+        left: list[int] = []
+        for lo in range(0, len(fresh), 200):
+            own = fresh[lo : lo + 200]
+            where = range(lo, lo + len(own))
+            if not spaced:
+                left += where
+                continue
+            joined = " ".join(own)
+            if joined.count(" ") >= len(own) or MARK in joined:
+                odd = [" " in c or MARK in c for c in own]
+                left += [k for k, o in zip(where, odd, strict=True) if o]
+                where = [k for k, o in zip(where, odd, strict=True) if not o]
+                own = [fresh[k] for k in where]
+            if not own:
+                continue
             ids = np.array(self.encode_joined(own), np.int32)
             begin = np.flatnonzero(self.starts[ids])
             if len(begin) == len(own) and not begin[0]:
                 parts.append(ids)
                 counts.append(np.diff(np.append(begin, len(ids))))
-                names += own
-        done = set(names)
-        left = [c for c in fresh if c not in done]
+                places += where
+            else:
+                left += where
         if left:
-            each = self.encode_alone([" " + c for c in left] if spaced else left)
+            each = self.encode_alone([" " + fresh[k] for k in left] if spaced else [fresh[k] for k in left])
             parts += [np.array(e, np.int32) for e in each]
             counts.append(np.array([len(e) for e in each], np.int64))
-            names += left
-        n = np.concatenate(counts)
-        base = len(self.count)
-        self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(n) - n))
-        self.count = np.concatenate((self.count, n))
-        self.flat = np.concatenate((self.flat, *parts))
-        known.update(zip(names, range(base, base + len(names)), strict=True))
-        self.held += sum(map(len, names))
-
-    def looked_up(self, words: list[str], known: dict[str, int], spaced: bool) -> np.ndarray:
+            places += left
+        n, ids = np.concatenate(counts), np.concatenate(parts)
+        self.at, self.count, self.flat = grown(self.at, self.n + len(n)), grown(self.count, self.n + len(n)), grown(self.flat, self.used + len(ids))
+        numbers = self.n + np.array(places)
+        self.at[numbers], self.count[numbers] = self.used + np.cumsum(n) - n, n
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.n, self.used, self.held = self.n + len(n), self.used + len(ids), self.held + sum(map(len, fresh))
+
+    def looked_up(self, words: list[str], known: Numbers, spaced: bool) -> np.ndarray:
         """The number under which each chunk is known; those that aren't yet are learnt."""
-        codes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(codes < 0).tolist()
-        if new:
-            self.learn(list({words[k] for k in new}), known, spaced)
-            codes[new] = [known[words[k]] for k in new]
+        known.next, known.fresh = self.n, []
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.fresh:
+            try:
+                self.learn(known.fresh, spaced)
+            except BaseException:
+                self.forget()  # chunks have numbers already
+                raise
+            known.fresh = []
         return codes
 
     def encode(self, texts: list[str], space_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin. space_first: a space goes before each text."""
-        if len(self.count) > self.words or self.held > self.letters:
+        if self.n > self.words or self.held > self.letters:
             self.forget()
         every = [chunks(t) for t in texts]
         n = np.fromiter(map(len, every), np.int64, len(every))
@@ -167,6 +197,15 @@ class PieceEncoder(WordEncoder):
         return self.library.encode([t[1:] for t in texts], num_threads=1)
 
 
+def grown(held: np.ndarray, size: int) -> np.ndarray:
+    """held, with room for size numbers: at least doubled, so that each is copied a few times at most."""
+    if size <= len(held):
+        return held
+    out = np.zeros(max(size, 2 * len(held)), held.dtype)
+    out[: len(held)] = held
+    return out
+
+
 @lru_cache(4)
 def byte_encoder(path: str, special: bool = True) -> ByteEncoder:
     return ByteEncoder(path, special)

@@ -31,7 +31,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
     """
     if most is None:
         most = (1 << 16) - base if base < 1 << 16 else 1 << 20
-    sym = ids.astype(np.int64)
+    sym = ids.astype(np.uint32)
     last = np.zeros(len(sym), bool)
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     rules = np.zeros((0, 2), np.int64)
@@ -40,13 +40,15 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
         if room <= 0 or len(sym) < 2:
             break
         span = base + len(rules)
-        pair = sym[:-1] * span + sym[1:]
-        pair[last[:-1]] = -1
+        kind = np.uint32 if span < 1 << 16 else np.uint64  # half the bytes to sort and to look up, as a rule
+        none = np.iinfo(kind).max  # no pair: both its symbols are below span
+        pair = sym[:-1].astype(kind) * kind(span) + sym[1:]
+        pair[last[:-1]] = none
         ordered = np.sort(pair)
         new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         times = np.diff(np.append(new, len(ordered)))
         keys = ordered[new]
-        often = np.flatnonzero((times >= least) & (keys >= 0))
+        often = np.flatnonzero((times >= least) & (keys != none))
         if not len(often):
             break
         chosen = often[np.lexsort((slots(keys[often]), -times[often]))[:room]]  # ties by a hash, as neighbours in a repeated passage tie
@@ -54,7 +56,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
         table = np.full(1 << 18, len(chosen), np.int32)  # of two pairs that share a slot the more frequent one stays
         table[slots(wanted)[::-1]] = np.arange(len(chosen))[::-1]
         r = table[slots(pair)]
-        r[np.append(wanted, -2)[r] != pair] = len(chosen)
+        r[(np.append(wanted, kind(none))[r] != pair) | last[:-1]] = len(chosen)
         # Of overlapping pairs the more frequent goes first; of a run of one pair, as in aaaa, every second one.
         before, after = np.append(len(chosen), r[:-1]), np.append(r[1:], len(chosen))
         hit = (r < len(chosen)) & (r <= before) & (r <= after)
@@ -68,7 +70,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
         if not len(place):
             break
         name = np.cumsum(worth) - 1 + span
-        made = wanted[worth]
+        made = wanted[worth].astype(np.int64)
         rules = np.concatenate((rules, np.stack((made // span, made % span), axis=1)))
         sym[place] = name[r[place]]
         stay = np.ones(len(sym), bool)
@@ -84,7 +86,9 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 8, rounds:
 
 
 def slots(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
 def pack(ids: np.ndarray, ends: np.ndarray, base: int, **options: int) -> bytes:

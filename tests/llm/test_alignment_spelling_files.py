@@ -237,3 +237,30 @@ def test_queries_of_given_tables(spark):
         ids = plain.encode([text or ""])[0].tolist() + [2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_words_are_learnt_in_one_step_whatever_they_hold():
+    """Fresh words that stand in one batch with odd ones get the ids of their own place; what fails leaves nothing known."""
+    own = ByteEncoder(A)
+    texts = [" ".join(f"w{k}x" if k % 7 else ("a▁b", "é,\nIs", "<|endoftext|>", "x\t\ty")[k % 4] for k in range(j, j + 450)) for j in (0, 100, 100)]
+    ids, of = own.encode(texts)
+    assert [ids[x:y].tolist() for x, y in zip(of, of[1:])] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.at.base is None and own.n <= len(own.at) and sorted([*own.known.values(), *own.known_first.values()])[2:] == list(range(1, own.n))
+    joined, own.encode_joined = own.encode_joined, None
+    with pytest.raises(TypeError):
+        own.encode(["some fresh words"])
+    own.encode_joined = joined
+    ids, _ = own.encode(["some fresh words"])
+    assert ids.tolist() == own.library.encode("some fresh words", add_special_tokens=False).ids
+
+
+def test_pairs_of_two_byte_symbols_take_four_bytes():
+    """Ids near the limit of two bytes, where a pair is the largest number of 32 bits but a few, and pairs across documents."""
+    rng = np.random.default_rng(2)
+    for base in (50_001, 65_530, 65_536, 70_000):
+        ids = base - 1 - rng.integers(0, 3, 30_000)
+        ends = np.sort(rng.integers(0, 30_000, 500))
+        ends[-1] = 30_000
+        own = grammar.Shard(grammar.pack(ids, ends, base))
+        assert own.ids().tolist() == ids.tolist() and own.width == (2 if base < 65_536 or not len(own.rules) and base == 65_536 else 4)
+        assert all(own.document(k).tolist() == ids[ends[k - 1] if k else 0 : ends[k]].tolist() for k in range(len(ends)))
