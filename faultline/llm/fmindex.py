@@ -41,15 +41,19 @@ FIRST = np.searchsorted(CLASS[BLOCKS], np.arange(BLOCK + 1))  # where each class
 OFFSET = np.empty(1 << BLOCK, np.int64)
 OFFSET[BLOCKS] = np.arange(1 << BLOCK) - FIRST[CLASS[BLOCKS]]
 WIDTH = np.array([(comb(BLOCK, c) - 1).bit_length() for c in range(BLOCK + 1)], np.uint8)  # bits of an offset
-FOUR = sum(WIDTH[(np.arange(1 << 16) >> s) & 15] for s in (0, 4, 8, 12))  # bits of the offsets of four classes
-NIBBLES, BYTES = U(0x0F0F0F0F0F0F0F0F), U(0x0101010101010101)
+MASK = (U(1) << WIDTH.astype(U)) - U(1)
+#: Of four classes the ones (times 256) and the bits of offsets; sixteen classes have at most 240 and 208.
+FOUR = sum(((np.arange(1 << 16) >> s & 15) << 8) + WIDTH[(np.arange(1 << 16) >> s) & 15] for s in (0, 4, 8, 12)).astype(np.uint16)
+#: The ones of each of BLOCKS before each of its bits.
+BEFORE = np.bitwise_count(BLOCKS[:, None] & ((np.uint16(1) << np.arange(16, dtype=np.uint16)) - np.uint16(1))).ravel()
+LOW, BYTE_PAIRS, ONES = U(0xFFFFFFFF), U(0x00FF00FF00FF00FF), U(0x0001000100010001)
 
 
 class CompressedBits:
     """A bit vector of block classes and offsets, near its entropy in size.
 
     Of each block of 15 bits the class, its number of ones, takes 4 bits and its place among the blocks of that class 0 to
-    13. Sixteen classes are a word; the ones and the bits of offsets before each word are counted.
+    13. Sixteen classes are a word; the ones and the bits of offsets before each word are counted, in one number of 64 bits.
     """
 
     def __init__(self, bits: np.ndarray):
@@ -60,7 +64,7 @@ class CompressedBits:
         ones = np.cumsum(kind, dtype=np.int64) - kind
         width = WIDTH[kind]
         start = np.cumsum(width, dtype=np.int64) - width
-        self.ones, self.starts = ones[::16].astype(np.uint32), start[::16].astype(np.uint32)
+        self.heads = ones[::16].astype(U) << U(32) | start[::16].astype(U)
         self.offsets = np.zeros((int(start[-1]) >> 6) + 2, U)
         word, shift, value = start >> 6, (start & 63).astype(U), OFFSET[block].astype(U)
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -69,37 +73,40 @@ class CompressedBits:
         self.offsets[word[over] + 1] |= value[over] >> (U(64) - shift[over])
 
     def nbytes(self) -> int:
-        return self.classes.nbytes + self.ones.nbytes + self.starts.nbytes + self.offsets.nbytes
+        return self.classes.nbytes + self.heads.nbytes + self.offsets.nbytes
 
     def block(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The block of position i, the position in it, and the ones before it."""
+        """Which of BLOCKS position i lies in, the position in it, and the ones before it."""
         b = i // BLOCK
-        at = (i - b * BLOCK).astype(np.uint16)
-        w, shift = b >> 4, ((b & 15) << 2).astype(U)
-        word = self.classes[w]
-        below = word & ((U(1) << shift) - U(1))
-        kind = (word >> shift) & U(15)
-        before = ((below & NIBBLES) + (below >> U(4) & NIBBLES)) * BYTES >> U(56)
-        four = below[..., None].view(np.uint16)
-        p = self.starts[w].astype(np.int64)
-        for k in range(4):
-            p += FOUR[four[..., k]]
-        q, s = p >> 6, (p & 63).astype(U)
-        value = self.offsets[q] >> s | self.offsets[q + 1] << U(1) << (U(63) - s)
-        value &= (U(1) << WIDTH[kind].astype(U)) - U(1)
-        return BLOCKS[FIRST[kind] + value.astype(np.int64)], at, self.ones[w] + before.astype(np.int64)
+        at = i - b * BLOCK
+        w = b >> 4
+        word = self.classes.take(w)
+        shift = ((b & 15) << 2).view(U)
+        kind = (word >> shift & U(15)).view(np.int64)
+        word &= (U(1) << shift) - U(1)
+        four = word.view(np.uint16)
+        sums = FOUR.take(four).view(U)  # of four groups of classes; they are added by one product, as each part stays below 256
+        sums = ((sums & BYTE_PAIRS) * ONES >> U(48)) + ((sums >> U(8) & BYTE_PAIRS) * ONES >> U(48) << U(32))
+        sums += self.heads.take(w)
+        p = sums & LOW
+        q, s = (p >> U(6)).view(np.int64), p & U(63)
+        value = self.offsets.take(q) >> s
+        value |= self.offsets.take(q + 1) << U(1) << (U(63) - s)
+        value &= MASK.take(kind)
+        return FIRST.take(kind) + value.view(np.int64), at, (sums >> U(32)).view(np.int64)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
-        return self.get_and_rank(i)[1]
+        block, at, before = self.block(i)
+        return before + BEFORE.take(block << 4 | at)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return self.get_and_rank(i)[0]
+        block, at, _ = self.block(i)
+        return (BLOCKS.take(block) >> at & 1).astype(bool)
 
     def get_and_rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         block, at, before = self.block(i)
-        one = np.uint16(1)
-        return (block >> at & one).astype(bool), before + np.bitwise_count(block & ((one << at) - one))
+        return (BLOCKS.take(block) >> at & 1).astype(bool), before + BEFORE.take(block << 4 | at)
 
 
 class WaveletMatrix:
@@ -137,7 +144,7 @@ class WaveletMatrix:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Sorts all suffixes by doubling; a suffix that ends first is the smaller one. Only unsettled groups are sorted on."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    order = np.argsort(text.astype(np.uint16) if n and text.max() < 1 << 16 else text, kind="stable")  # a radix sort for two bytes
     keys = text[order]
     head = np.concatenate(([True], keys[1:] != keys[:-1]))
     start = np.maximum.accumulate(np.where(head, np.arange(n), 0))

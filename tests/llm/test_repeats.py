@@ -161,3 +161,19 @@ def test_fm_index(compressed):
     for p, a, b in zip(patterns, lo, hi):
         want = [i for i in range(797) if (text[i : i + 4] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+@pytest.mark.parametrize("block", [(1 << 15) - 1, 0b1111111, 0b11111111, 0b101010101010101, 0])
+def test_words_of_one_class_fill_their_counters(block):
+    """Sixteen equal blocks have the most ones, or the most bits of offsets, that a word's counters have to hold."""
+    bits = np.tile((block >> np.arange(15)) & 1, 16 * 40).astype(bool)
+    at = np.arange(len(bits) + 1).reshape(1, -1)
+    packed = CompressedBits(bits)
+    assert (packed.rank(at)[0] == np.append(0, np.cumsum(bits))).all() and (packed.get(at[:, :-1])[0] == bits).all() and packed.heads.dtype == np.uint64
+
+
+def test_suffixes_of_many_symbols():
+    rng = np.random.default_rng(3)
+    for top in (3, 65_536, 65_537, 200_000):
+        text = np.append(rng.integers(0, top, 300), [top - 1, 0])
+        assert suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
