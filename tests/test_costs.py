@@ -104,3 +104,25 @@ def test_candidates_deal_narrow_logs(spark, monkeypatch):
     got = jobs.candidates(logs, b.teams(spark), catalog.CONFIG).collect()
     assert [(r.seq, r.seen, r.occurrences) for r in got] == [(0, 60, 60)]
     assert "RepartitionByExpression [seq" in seen[0]
+
+
+def test_jobs_normalize_messages_once(spark, tmp_path, monkeypatch):
+    """Not once more to count raw messages, for each strategy that reads tickets' labels, or for each use of the store."""
+    mask = t.MESSAGE_MASKS[1][0]
+    spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 20 AS user_id", "'view' AS event_type", "1.0 AS value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "some text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = str(tmp_path)
+    seen = []
+
+    def kept(df):
+        seen.append(optimized(df).count(mask))
+        return settled(df)
+
+    settled = jobs.settled
+    for module in (jobs, io, dedup):
+        monkeypatch.setattr(module, "settled", kept)
+    jobs.candidates(b.messages(spark, d), b.teams(spark), catalog.CONFIG, catalog.AS_OF)
+    assert seen == [1]
+    del seen[:]
+    catalog._triage_exact(spark, d)
+    assert sorted(seen)[-4:] == [0, 1, 1, 1]  # store, tickets, candidates
