@@ -177,7 +177,8 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
     any block. With 24 blocks a pair of similarity 0.8 meets with probability 0.95, of 0.85 with 0.99. Pairs that meet are
     decided by the Jaccard similarity of their sets of shingles (named by 32 bits). Before that go pairs whose numbers of
     shingles rule it out, and pairs that differ in more bits than expected by 2.5 standard deviations (1 in 160 of those of
-    similarity 0.8, 1 in 2,000 of those of 0.82); sets of under SMALL shingles, whose bits are no fair sample, are spared that.
+    similarity 0.8, 1 in 2,000 of those of 0.82); sets of under SMALL shingles, whose bits are no fair sample, are spared that
+    and decided at once by their shingles, which are few enough to travel with them. A pair counts in the first block it meets in.
 
     Blocks are taken blocks_at_once at a time, which bounds the disk that their balls take. Every pair that meets and is
     not of one class yet is settled, in two steps: with the first blocks few pairs of each group, which join near copies to
@@ -193,6 +194,7 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
     drop_tables(wide)
     lot = max(lot, nodes.count() // 2)
     alike = alike_in_bits(similarity, 64 * lanes)
+    known = nodes.select("node", "n", "fp", F.when(F.col("n") < SMALL / similarity, F.col("codes")).alias("few"))
     classes = cut_table(nodes.select("node", F.col("node").alias("root")))
 
     settled: list[DataFrame] = []  # pairs decided already
@@ -217,11 +219,11 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
         reps = cut_table(blocks.groupBy("code").agg(F.min("node").alias("rep")))
         crowd = cut_table(ball_groups(reps))
         if not start:
-            sets = nodes.select("node", "n", "fp").join(classes, "node")
-            one, other = (sets.select(F.col("node").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in ("root", "n", "fp")]) for s in ("a", "b"))
+            sets = known.join(classes, "node")
+            one, other = (sets.select(F.col("node").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in ("root", "n", "fp", "few")]) for s in ("a", "b"))
             few = few_pairs(blocks, reps, crowd).join(one, "a").join(other, "b").where("root_a <> root_b").where(alike)
             classes = merged(classes, few.select("a", "b", "root_a", "root_b"))
-        met = open_pairs(blocks.join(classes, "node"), crowd, nodes.select("node", "n", "fp"), alike, tile)
+        met = open_pairs(blocks.join(classes, "node"), crowd, known, alike, tile)
         classes = merged(classes, met)
         drop_tables(reps, crowd, met)
     drop_tables(*settled)
@@ -231,11 +233,22 @@ def similar_nodes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
 
 
 def alike_in_bits(similarity: float, bits: int) -> Column:
-    """Whether sets of n_a and n_b shingles with the bits fp_a and fp_b may be similar: see similar_nodes."""
+    """Whether sets of n_a and n_b shingles with the bits fp_a and fp_b may be similar: see similar_nodes.
+
+    few_a and few_b: the shingles of sets of fewer than SMALL / similarity, which decide where either set is small.
+    """
     share = acos(2 * similarity / (1 + similarity)) / pi
     differ = F.aggregate(F.zip_with("fp_a", "fp_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     near = differ <= int(share * bits + 2.5 * sqrt(share * (1 - share) * bits))
-    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & ((F.least("n_a", "n_b") < SMALL) | near)
+    shared = F.size(F.array_intersect("few_a", "few_b"))
+    decided = F.when(F.least("n_a", "n_b") < SMALL, shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).otherwise(near)
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & decided
+
+
+def met_before(code: str) -> Column:
+    """Whether nodes with the bits fp_a and fp_b also meet in a block before that of the code: with 2 differing bits at most."""
+    halves = F.flatten(F.zip_with("fp_a", "fp_b", lambda p, q: F.array(F.shiftrightunsigned(p.bitwiseXOR(q), 32), p.bitwiseXOR(q).bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return F.exists(F.slice(halves, F.lit(1), F.shiftright(code, 32).cast("int")), lambda x: F.bit_count(x) <= 2)
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -306,9 +319,10 @@ def few_pairs(blocks: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame
 
 def open_pairs(blocks: DataFrame, crowd: DataFrame, sets: DataFrame, alike: Column, tile: int) -> DataFrame:
     """(a, b, root_a, root_b), distinct, a table: all pairs of nodes of different roots whose codes in a block are equal or
-    share a ball, and that are alike.
+    share a ball, but in no block before it, and that are alike.
 
-    blocks: (node, code, root); sets: (node, n, fp). Only groups of codes that hold several roots are looked at. Of two codes
+    blocks: (node, code, root); sets: (node, n, fp, few). A pair that meets in many blocks is one row of the join, so near copies,
+    which share most of theirs, don't multiply it; pairs that meet in blocks of an earlier call were decided then. Only groups of codes that hold several roots are looked at. Of two codes
     that met the larger is home, and the nodes of the other visit it. Home's largest class, its top, is set apart: nodes of
     that class visit only nodes beyond it, so that many near copies of one class don't meet each other again. Home nodes are
     dealt to tiles of about `tile`, which visitors visit one by one.
@@ -331,14 +345,14 @@ def open_pairs(blocks: DataFrame, crowd: DataFrame, sets: DataFrame, alike: Colu
     every = F.flatten(F.transform("codes", lambda c: F.transform(F.filter("codes", lambda d: home_to(c, d)), lambda d: pair(c, d))))  # at most 33 codes
     own = groups.where("lo <> hi").select(F.col("code").alias("c"), F.col("code").alias("d"), "top", "tiles", F.lit(True).alias("beyond"))
     met = cut_table(held.select(F.explode(every).alias("p")).select("p.*").unionByName(own))
-    side = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("node", "root", "n", "fp")]
+    side = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("node", "root", "n", "fp", "few")]
     homes = blocks.join(met.select("c", "top", "tiles").distinct(), F.col("code") == F.col("c")).join(sets, "node")
     homes = homes.select("c", *side("a"), F.expr("cast(pmod(xxhash64(node), tiles) as int)").alias("i"), (F.col("root") != F.col("top")).alias("open"))
     guests = blocks.join(met, F.col("code") == F.col("d")).join(sets, "node").select("c", "d", "top", "tiles", "beyond", *side("b"))
 
     def visited(homes: DataFrame, guests: DataFrame) -> DataFrame:
         there = guests.withColumn("i", F.explode(F.expr("sequence(0, tiles - 1)"))).drop("tiles", "beyond")
-        pairs = homes.join(there, ["c", "i"]).where("root_a <> root_b and (c <> d or root_a = top or node_a < node_b)").where(alike)
+        pairs = homes.join(there, ["c", "i"]).where("root_a <> root_b and (c <> d or root_a = top or node_a < node_b)").where(alike & ~met_before("c"))
         ordered = F.when(F.col("node_a") < F.col("node_b"), F.struct(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b"))
         return pairs.select(ordered.otherwise(F.struct(F.col("node_b").alias("a"), F.col("node_a").alias("b"), F.col("root_b").alias("root_a"), F.col("root_a").alias("root_b"))).alias("p")).select("p.*")
 

@@ -6,6 +6,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, embeddings, queries, simhash
 from faultline.llm import textscan as ts
@@ -247,3 +248,24 @@ def test_first_pairs_are_taken_once(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = dict(simhash.similar_classes(docs).collect())
     assert len(calls) == 1 and got[9] == 9 and len(got) == 4
+
+
+def test_pair_counts_in_its_first_block(spark):
+    """Texts that meet in many blocks are one row, of the first of these; blocks of a later call give nothing for them."""
+    rng = np.random.default_rng(3)
+    a, b, near, far = 5, 7, [int(x) for x in rng.integers(0, 2**62, 12)], [int(x) for x in rng.integers(0, 2**62, 12)]
+    late = far[:6] + near[6:]  # meets both, but in later blocks only
+    nodes = spark.createDataFrame([(a, 100, near, None), (b, 100, [x ^ 1 for x in near], None), (9, 100, late, None)], "node long, n long, fp array<long>, codes array<int>").withColumn("few", F.col("codes"))
+    classes = nodes.select("node", F.col("node").alias("root"))
+    got = []
+    for start in (0, 12):
+        blocks = simhash.block_codes(nodes, start, 12)
+        crowd = simhash.ball_groups(blocks.groupBy("code").agg(F.min("node").alias("rep")))
+        got.append(sorted((r.a, r.b) for r in simhash.open_pairs(blocks.join(classes, "node"), crowd, nodes, F.lit(True), 2000).collect()))
+    assert got == [[(5, 7)], [(5, 9), (7, 9)]]
+
+
+def test_small_sets_are_decided_at_once(spark):
+    rows = [(10, 10, list(range(10)), [*range(9), 77]), (10, 10, list(range(10)), [*range(8), 77, 78]), (31, 38, list(range(31)), list(range(38)))]
+    pairs = spark.createDataFrame([(n, m, [0], [-1], x, y) for n, m, x, y in rows], "n_a long, n_b long, fp_a array<long>, fp_b array<long>, few_a array<int>, few_b array<int>")
+    assert [r[0] for r in pairs.select(simhash.alike_in_bits(0.8, 64)).collect()] == [True, False, True]
