@@ -77,6 +77,14 @@ def test_one_large_run_on_many_tasks(spark):
     assert got.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_large_runs_are_dealt_once(spark):
+    """The fold up to the cap reads the rows where the first one did, without another shuffle."""
+    rows = [(i, "r" if i % 9 else None, "OPS", 500 - i, 3, f"f{i % 50}", f"h{i % 40}", f"k{i % 30}", True, None, None) for i in range(500)]
+    got = dedup.resolve_in_run(spark.createDataFrame(rows, CANDS), rows_a_task=20)
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1  # that of small runs
+    assert {r.cand_id: r.in_run for r in got.collect()} == plain_fold(rows)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
