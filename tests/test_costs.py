@@ -94,6 +94,17 @@ def test_dup_label_is_its_sql(spark, tmp_path):
     assert sorted(map(tuple, catalog.dup_label(spark, str(tmp_path)).collect())) == want and {0, 1, 3} <= {r[0] for r in want}
 
 
+def test_ticket_descriptions_are_their_sql(spark, tmp_path):
+    """Also of empty and null texts and sources, marks of quotes, and letters and spaces that are not ASCII's."""
+    texts = ["", None, "plain", "disk Original Log: full", "Original Log:", "É.", "é123456 disk", "disk é1234567890ab", "mañana.web.log", "İstanbul", "http://x\u00a0y", "\u00a0failed to get file size by name \u2003", "x" * 4100, "{"]
+    rows = [(i, v, s) for i, (v, s) in enumerate((v, s) for v in texts for s in ("web", "", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLES["ticket_descriptions"]).fetchall())
+    assert sorted(map(tuple, catalog.ticket_descriptions(spark, str(tmp_path)).collect())) == want and want[0][1:] == ("\nweb", "")
+
+
 def test_candidates_deal_narrow_logs(spark, monkeypatch):
     """first_seen sorts the rows of a task: a split of a file must not be one."""
     seen = []
