@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from faultline import schemas
@@ -147,6 +148,48 @@ def test_duplicates_of_tickets(spark):
     assert labelled["A-1"] == ["datadog-log", "loghash-h"] and labelled["A-4"] == ["loghash-abc"]
 
 
+def test_sketches_bound_ratios(spark):
+    rng = random.Random(11)
+    words = ["a", "an", "the", "disk", "disc", "full", "timeout", "time", "out", "error500", "0", "x" * 300, "connection", "connections", "noitcennoc"]
+    text = lambda: " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 5, 12])))
+    both = [(text(), text()) for _ in range(1500)] + [("a b", "b a"), ("a", "a b"), ("", ""), ("", "a"), ("abc", "cab")]
+    x, y = similarity.Sketches([a for a, _ in both]), similarity.Sketches([c for _, c in both])
+    i = np.arange(len(both))
+    top = similarity.tops(x, x.held(), i, y, i)
+    found = similarity.with_ratio(spark.createDataFrame([(k, a, c) for k, (a, c) in enumerate(both)], "i int, a string, c string"), "a", "c", "r")
+    ratio = {r.i: r.r or 0.0 for r in found.collect()}
+    assert all(ratio[k] <= top[k] + 1e-9 for k in i) and sum(top[k] < 0.8 for k in i) > 300
+    assert all(abs(ratio[k] - similarity.ratio_of(*both[k])) < 1e-9 for k in i)
+
+
+def test_sketches_leave_all_that_counts(spark, monkeypatch):
+    """The same scores with and without them, whatever the thresholds, also where tickets come in many blocks; and far fewer pairs."""
+    rng = random.Random(12)
+    words = ["database", "connection", "failed", "timeout", "gateway", "orders", "disk", "full", "user", "token", "expired", "report", "kafka", "offset"]
+    said = lambda k: " ".join(rng.choices(words, k=k))
+    tickets = tickets_of(spark, [(f"A-{i}", said(6), f"Original Log: {said(9)}" if i % 2 else said(20), ["datadog-log"], i + 1, "Open") for i in range(24)]).coalesce(1)
+    held = [(r.summary, r.description.split(": ")[-1]) for r in tickets.collect()]
+    asked = [(i, "OPS", said(6), said(rng.choice([3, 9, 30])), NOW, rng.choice(["timeout", "x", None]), rng.choice(["kafka", None, "y"])) for i in range(40)]
+    asked += [(40 + i, "OPS", a if i % 3 else said(5), c + " " + said(i % 2), NOW, "timeout", "kafka") for i, (a, c) in enumerate(held)]
+    q = spark.createDataFrame(asked, "query_id long, project string, title string, message string, as_of timestamp, error_type string, logger string").coalesce(1)
+    seen = []
+
+    def counted(pairs, *rest):
+        left = may_count(pairs, *rest, block=block)
+        seen.append((pairs.count(), left.count(), left.distinct().count()))
+        return left
+
+    may_count = similarity.may_count
+    for config in (RunConfig(), RunConfig(similarity_threshold=0.6, partial_log_threshold=0.5)):
+        monkeypatch.setattr(similarity, "may_count", lambda pairs, *_: pairs)
+        want = sorted(map(tuple, similarity.dup_similarity(q, tickets, config).collect()))
+        monkeypatch.setattr(similarity, "may_count", counted)
+        for block in (similarity.TICKETS, 9) if config == RunConfig() else (similarity.TICKETS,):
+            assert sorted(map(tuple, similarity.dup_similarity(q, tickets, config).collect())) == want and len(want) > 20
+    assert all(left == once for _, left, once in seen) and seen[0][1] < seen[0][0] * 3 / 4 and seen[0] == seen[1]
+    assert similarity.dup_similarity(q.limit(0), tickets, RunConfig()).collect() == [] == similarity.dup_similarity(q, tickets.limit(0), RunConfig()).collect()
+
+
 def test_seen(spark):
     df = dedup.with_keys(logs_of(spark, ["Error 123456 in a@b.com", "Error 999999 in c@d.com", "Other"])).withColumn("run_id", F.lit("r"))
     assert sorted((r.seq, r.seen) for r in dedup.first_seen(df).collect()) == [(0, 2), (2, 1)]
